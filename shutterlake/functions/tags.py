@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,12 +116,13 @@ def merge_blocks(*blocks: Column) -> Column:
     Written with map_filter so that no session-wide duplicate-key policy is needed.
     """
     empty = F.create_map().cast("map<string,string>")
-    merged = F.coalesce(blocks[0], empty)
-    for block in blocks[1:]:
-        later = F.coalesce(block, empty)
-        kept = F.map_filter(merged, lambda k, _, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
-    return merged
+
+    def over(earlier: Column, later: Column) -> Column:
+        kept = F.map_filter(earlier, lambda key, _: ~F.map_contains_key(later, key))
+        return F.map_concat(kept, later)
+
+    filled = [F.coalesce(block, empty) for block in blocks]
+    return reduce(over, filled)
 
 
 def frame_rate(rate: Column) -> Column:

@@ -146,23 +146,29 @@ def _first_close_band(a: Column, b: Column, radius: int) -> Column:
     return choice
 
 
-def _band_join(groups: DataFrame, threshold: int) -> DataFrame:
+def _bands(groups: DataFrame) -> DataFrame:
+    """(rep, h, band, value): the four 16-bit bands of each hash."""
+    bands = F.array(
+        *[
+            F.struct(F.lit(i).alias("band"), _band(F.col("h"), i).alias("value"))
+            for i in range(BANDS)
+        ]
+    )
+    return groups.select("rep", "h", F.explode(bands).alias("b")).select("rep", "h", "b.*")
+
+
+def _band_join(groups: DataFrame, threshold: int, against: DataFrame | None = None) -> DataFrame:
     """Exact: at distance <= T some 16-bit band differs in at most T // 4 bits.
 
     One side lists its bands, the other probes every value within that radius. Buckets that hold
     more than BUSY_BUCKET hashes (flat images share bands) are compared block-wise instead of by
     listing candidates. A pair is reported by its first close band only, so no distinct is needed.
+    ``groups`` is compared with itself (each pair once) or with ``against``.
     """
     radius = threshold // BANDS
-    bands = F.array(
-        *[
-            F.struct(F.lit(i).alias("band"), _band(F.col("h"), i).alias("value"))
-            for i in range(BANDS)
-        ]
-    )
-    base = groups.select("rep", "h", F.explode(bands).alias("b")).select("rep", "h", "b.*")
+    base = _bands(groups if against is None else against)
     masks = F.array(*[F.lit(m) for m in _neighbour_masks(radius)])
-    probes = base.select(
+    probes = _bands(groups).select(
         "rep", "h", "band",
         F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"),
     )
@@ -171,26 +177,30 @@ def _band_join(groups: DataFrame, threshold: int) -> DataFrame:
         base.groupBy("band", "value").count().filter(F.col("count") > BUSY_BUCKET)
         .select("band", "value", F.ceil(F.col("count") / BUSY_BUCKET).cast("int").alias("base_tiles"))
     )
-    quiet_base = base.join(F.broadcast(busy), ["band", "value"], "left_anti")
-    a, b = probes.alias("a"), quiet_base.alias("b")
+    crowded = not busy.isEmpty()
+    quiet_base = base.join(F.broadcast(busy), ["band", "value"], "left_anti") if crowded else base
+    distance = hamming_long(F.col("a.h"), F.col("b.h"))
+    joined = probes.alias("a").join(quiet_base.alias("b"), ["band", "value"])
+    if against is None:
+        joined = joined.filter(F.col("a.rep") < F.col("b.rep"))
     quiet = (
-        a.join(b, ["band", "value"])
-        .filter(F.col("a.rep") < F.col("b.rep"))
-        .filter(hamming_long(F.col("a.h"), F.col("b.h")) <= threshold)
+        joined.filter(distance <= threshold)
         .filter(F.col("band") == _first_close_band(F.col("a.h"), F.col("b.h"), radius))
         .select(
-            F.col("a.rep").alias("media_item_id"),
-            F.col("b.rep").alias("matching_item_id"),
-            hamming_long(F.col("a.h"), F.col("b.h")).cast("int").alias("hamming_distance"),
+            F.least("a.rep", "b.rep").alias("media_item_id"),
+            F.greatest("a.rep", "b.rep").alias("matching_item_id"),
+            distance.cast("int").alias("hamming_distance"),
         )
     )
-    if busy.isEmpty():
+    if not crowded:
         return quiet
-    return quiet.unionByName(_busy_buckets(base, probes, busy, threshold, radius))
+    return quiet.unionByName(
+        _busy_buckets(base, probes, busy, threshold, radius, against is None)
+    )
 
 
 def _busy_buckets(base: DataFrame, probes: DataFrame, busy: DataFrame, threshold: int,
-                  radius: int) -> DataFrame:
+                  radius: int, same: bool) -> DataFrame:
     hot_probes = probes.join(F.broadcast(busy), ["band", "value"])
     probe_tiles = hot_probes.groupBy("band", "value").agg(
         F.ceil(F.count("*") / BUSY_BUCKET).cast("int").alias("probe_tiles")
@@ -209,15 +219,17 @@ def _busy_buckets(base: DataFrame, probes: DataFrame, busy: DataFrame, threshold
         for start in range(0, len(ha), 512):
             diff = ha[start:start + 512, None] ^ hb[None, :]
             distance = np.bitwise_count(diff)
-            hit = (distance <= threshold) & (ida[start:start + 512, None] < idb[None, :])
+            hit = distance <= threshold
+            if same:
+                hit &= ida[start:start + 512, None] < idb[None, :]
             for earlier in range(band):
                 part = (diff >> np.uint64(BAND_BITS * earlier)) & np.uint64(0xFFFF)
                 hit &= np.bitwise_count(part) > radius
             rows, cols = np.nonzero(hit)
             out.append(
                 pd.DataFrame({
-                    "media_item_id": ida[start:start + 512][rows],
-                    "matching_item_id": idb[cols],
+                    "media_item_id": np.minimum(ida[start:start + 512][rows], idb[cols]),
+                    "matching_item_id": np.maximum(ida[start:start + 512][rows], idb[cols]),
                     "hamming_distance": distance[rows, cols].astype(np.int32),
                 })
             )
@@ -250,6 +262,40 @@ def _tile_join(groups: DataFrame, threshold: int) -> DataFrame:
     return self_tiles(hashes, "rep", kernel, PAIR_SCHEMA, tiles)
 
 
+def near_duplicates_between(arrivals: DataFrame, pool: DataFrame,
+                            threshold: int = DEFAULT_DISTANCE) -> DataFrame:
+    """Links of new items to the pool and to each other, in the form of ``near_duplicate_join``.
+
+    Only the arrivals probe; the pool is listed by band once and never compared with itself.
+    """
+    old = hash_groups(pool.join(arrivals.select("id"), "id", "left_anti"))
+    new = hash_groups(arrivals)
+    if threshold < BAND_BITS:
+        across = _band_join(new, threshold, against=old)
+    else:
+        across = _cross_hash_tiles(new, old, threshold)
+    return across.unionByName(near_duplicate_join(arrivals, threshold))
+
+
+def _cross_hash_tiles(new: DataFrame, old: DataFrame, threshold: int) -> DataFrame:
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ha, hb = (d["h"].to_numpy().view(np.uint64) for d in (a, b))
+        small, large, distance = scored_pairs(
+            a, b, False, "rep",
+            lambda start, stop: np.bitwise_count(ha[start:stop, None] ^ hb[None, :]),
+            lambda d: d <= threshold,
+        )
+        return pd.DataFrame({
+            "media_item_id": small, "matching_item_id": large,
+            "hamming_distance": distance.astype(np.int32),
+        })
+
+    return cross_tiles(
+        new.select("rep", "h"), old.select("rep", "h"), "rep", "rep", kernel, PAIR_SCHEMA,
+        tile_count(new.count()), tile_count(old.count()),
+    )
+
+
 # --- match tables -----------------------------------------------------------------------------
 
 def canonical_match_insert(existing: DataFrame, found: DataFrame, left: str,

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.operators.facegraph import similarity_join, similarity_search
+from shutterlake.operators.facegraph import similarity_join, similarity_search, vector_groups
 
 
 def face_pairs_for_batch(batch: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
     """(feature_id, matching_feature_id, similarity) of pairs with at least one new face.
 
-    ``batch`` and ``pool`` have id and embedding. New against old is one scan of the pool (or
-    bounded blocks for a large batch); new against new is the ordinary join of the batch.
+    ``batch`` and ``pool`` have id and embedding. Each distinct new vector is compared with each
+    distinct old one (a scan of the pool, or bounded blocks for a large batch), then the batch with
+    itself; copies are linked to their lowest id as in ``similarity_join``.
     """
-    old = pool.join(batch.select("id"), "id", "left_anti")
-    across = similarity_search(batch, old, threshold).select(
+    old = vector_groups(pool.join(batch.select("id"), "id", "left_anti"))
+    new = vector_groups(batch)
+    across = similarity_search(
+        new.select(F.col("rep").alias("id"), "embedding"),
+        old.select(F.col("rep").alias("id"), "embedding"),
+        threshold,
+    ).select(
         F.least("query_id", "feature_id").alias("feature_id"),
         F.greatest("query_id", "feature_id").alias("matching_feature_id"),
         "similarity",
