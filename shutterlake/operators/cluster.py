@@ -189,6 +189,8 @@ def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, thres
         .join(waves.select("id", "embedding"), "id")
         .join(waiting, "component", "left_semi")
     )
+    # fresh column identities: both sides come from the same table
+    members = members.select(*[F.col(c).alias(c) for c in members.columns])
 
     def both(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if len(block) == 0:

@@ -87,19 +87,20 @@ def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
     vectors = groups.select("rep", "embedding")
     tiles = tile_count(vectors.count())
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
         a = matrix(left["embedding"])
         b = a if same else matrix(right["embedding"])
         if a.shape[1] != b.shape[1]:
             raise ValueError("vectors differ in length")
-        small, large, score = scored_pairs(
+        strips = scored_pairs(
             left, right, same, "rep",
             lambda start, stop: a[start:stop] @ b.T,
-            lambda s: s >= threshold,
-        )
-        return pd.DataFrame(
-            {"feature_id": small, "matching_feature_id": large, "similarity": score}
+            lambda score: score >= threshold,
         )
+        for small, large, score in strips:
+            yield pd.DataFrame(
+                {"feature_id": small, "matching_feature_id": large, "similarity": score}
+            )
 
     return self_tiles(vectors, "rep", kernel, PAIR_SCHEMA, tiles)
 

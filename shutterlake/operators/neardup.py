@@ -241,23 +241,27 @@ def _busy_buckets(base: DataFrame, probes: DataFrame, busy: DataFrame, threshold
     )
 
 
+def _close_hashes(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: int):
+    hl, hr = (part["h"].to_numpy().view(np.uint64) for part in (left, right))
+    strips = scored_pairs(
+        left, right, same, "rep",
+        lambda start, stop: np.bitwise_count(hl[start:stop, None] ^ hr[None, :]),
+        lambda distance: distance <= threshold,
+    )
+    for small, large, distance in strips:
+        yield pd.DataFrame({
+            "media_item_id": small, "matching_item_id": large,
+            "hamming_distance": distance.astype(np.int32),
+        })
+
+
 def _tile_join(groups: DataFrame, threshold: int) -> DataFrame:
     """Block-wise XOR and popcount, for thresholds too wide for bands."""
     hashes = groups.select("rep", "h")
     tiles = tile_count(hashes.count())
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        hl = left["h"].to_numpy().view(np.uint64)
-        hr = right["h"].to_numpy().view(np.uint64)
-        small, large, distance = scored_pairs(
-            left, right, same, "rep",
-            lambda start, stop: np.bitwise_count(hl[start:stop, None] ^ hr[None, :]),
-            lambda d: d <= threshold,
-        )
-        return pd.DataFrame({
-            "media_item_id": small, "matching_item_id": large,
-            "hamming_distance": distance.astype(np.int32),
-        })
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
+        return _close_hashes(left, right, same, threshold)
 
     return self_tiles(hashes, "rep", kernel, PAIR_SCHEMA, tiles)
 
@@ -279,16 +283,7 @@ def near_duplicates_between(arrivals: DataFrame, pool: DataFrame,
 
 def _cross_hash_tiles(new: DataFrame, old: DataFrame, threshold: int) -> DataFrame:
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ha, hb = (d["h"].to_numpy().view(np.uint64) for d in (a, b))
-        small, large, distance = scored_pairs(
-            a, b, False, "rep",
-            lambda start, stop: np.bitwise_count(ha[start:stop, None] ^ hb[None, :]),
-            lambda d: d <= threshold,
-        )
-        return pd.DataFrame({
-            "media_item_id": small, "matching_item_id": large,
-            "hamming_distance": distance.astype(np.int32),
-        })
+        return pd.concat(_close_hashes(a, b, False, threshold))
 
     return cross_tiles(
         new.select("rep", "h"), old.select("rep", "h"), "rep", "rep", kernel, PAIR_SCHEMA,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import Any, Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,10 @@ def tile_count(rows: int, tile_rows: int = TILE_ROWS) -> int:
 
 def self_tiles(df: DataFrame, id_col: str, kernel: Callable, schema: str,
                tiles: int) -> DataFrame:
-    """Every unordered pair of rows meets exactly once in ``kernel(left, right, same)``."""
+    """Every unordered pair of rows meets exactly once in ``kernel(left, right, same)``.
+
+    The kernel yields frames strip by strip, so a task holds one strip of results at a time.
+    """
     own = F.pmod(F.xxhash64(id_col), F.lit(tiles)).cast("int")
     spread = (
         df.withColumn("_own", own)
@@ -36,12 +40,16 @@ def self_tiles(df: DataFrame, id_col: str, kernel: Callable, schema: str,
         .drop("_other")
     )
 
-    def compare(key, block: pd.DataFrame) -> pd.DataFrame:
+    def compare(
+        key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]
+    ) -> Iterator[pd.DataFrame]:
+        block = pd.concat(batches, ignore_index=True)
         i, j = key
         if i == j:
-            return kernel(block, block, True)
-        first = (block["_own"] == i).to_numpy()
-        return kernel(block[first], block[~first], False)
+            yield from kernel(block, block, True)
+        else:
+            first = (block["_own"] == i).to_numpy()
+            yield from kernel(block[first], block[~first], False)
 
     return spread.groupBy("_i", "_j").applyInPandas(compare, schema)
 
@@ -65,6 +73,8 @@ def cross_tiles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     spread_right = right.withColumn("_j", F.pmod(F.xxhash64(right_id), rt).cast("int")).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), (lt - 1).cast("int")))
     )
+    # fresh column identities: both sides may come from the same table
+    spread_right = spread_right.select(*[F.col(c).alias(c) for c in spread_right.columns])
     on = [*keys, "_i", "_j"]
     names = [part.split()[0] for part in schema.split(",")]
 
@@ -85,10 +95,9 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def scored_pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool, id_col: str,
-                 score: Callable, keep: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(smaller id, larger id, score) of the kept pairs, strip by strip."""
+                 score: Callable, keep: Callable) -> Iterator[tuple]:
+    """(smaller ids, larger ids, scores) of the kept pairs, one strip at a time."""
     lid, rid = left[id_col].to_numpy(), right[id_col].to_numpy()
-    small, large, values = [], [], []
     for start in range(0, len(lid), STRIP_ROWS):
         stop = min(start + STRIP_ROWS, len(lid))
         scores = score(start, stop)
@@ -97,9 +106,4 @@ def scored_pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool, id_col: st
             hit &= lid[start:stop, None] < rid[None, :]
         rows, cols = np.nonzero(hit)
         a, b = lid[start:stop][rows], rid[cols]
-        small.append(np.minimum(a, b))
-        large.append(np.maximum(a, b))
-        values.append(scores[rows, cols])
-    if not small:
-        return np.array([], np.int64), np.array([], np.int64), np.array([])
-    return np.concatenate(small), np.concatenate(large), np.concatenate(values)
+        yield np.minimum(a, b), np.maximum(a, b), scores[rows, cols]

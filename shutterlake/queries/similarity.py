@@ -79,16 +79,18 @@ def near_duplicate_join(lib: Library):
       FROM text_group a JOIN text_group b ON a.rep < b.rep) WHERE hamming_distance <= 10
     UNION ALL SELECT g.rep, h.id, 0 FROM text_hash h JOIN text_group g USING (hash) WHERE h.id <> g.rep""",
        {"text_hash": """
-          SELECT doc_id AS id, array_to_string(list_transform(range(0, 64),
-            lambda i: CASE WHEN instr(substr(md5(text), CAST(i // 8 + 1 AS INTEGER), 1),
-              substr('01234567', CAST(i % 8 + 1 AS INTEGER), 1)) > 0 THEN '1' ELSE '0' END), '') AS hash
+          SELECT doc_id AS id, array_to_string(list_transform(
+            string_split(substr(md5(lang || '|' || source || '|' || n_chars), 1, 12) || substr(md5(text), 1, 4), ''),
+            lambda d: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101',
+              '1110','1111'][instr('0123456789abcdef', d)]), '') AS hash
           FROM documents""",
         "text_group": "SELECT hash, min(id) AS rep FROM text_hash GROUP BY hash"})
 def near_duplicate_join_banded(lib: Library):
-    """Hashes with few set bits, as flat images have: many share a band."""
-    digits = [F.substring(F.md5("text"), n + 1, 1) for n in range(8)]
-    bits = [F.when(digits[i // 8] == str(i % 8), "1").otherwise("0") for i in range(64)]
-    items = lib.raw("documents").select(F.col("doc_id").alias("id"), F.concat(*bits).alias("hash"))
+    """Hashes that share three of four bands between texts of one source, language and length."""
+    kind = F.substring(F.md5(F.concat_ws("|", "lang", "source", "n_chars")), 1, 12)
+    digits = F.concat(kind, F.substring(F.md5("text"), 1, 4))
+    bits = F.lpad(F.conv(digits, 16, 2), 64, "0")
+    items = lib.raw("documents").select(F.col("doc_id").alias("id"), bits.alias("hash"))
     return neardup.near_duplicate_join(items, 10)
 
 
