@@ -12,7 +12,15 @@ def hash_bits(block: Column) -> Column:
     """64 coefficients -> 64 characters: above the median of the last 63, or not."""
     ac_sorted = F.array_sort(F.slice(block, 2, HASH_BITS - 1))
     median = F.element_at(ac_sorted, HASH_BITS // 2)
-    return F.array_join(F.transform(block, lambda x: F.when(x > median, "1").otherwise("0")), "")
+    # One-element array as a binding, so that the median is sorted out once and not per coefficient.
+    bound = F.array(F.struct(block.alias("values"), median.alias("median")))
+    bits = F.transform(
+        bound,
+        lambda b: F.array_join(
+            F.transform(b["values"], lambda x: F.when(x > b["median"], "1").otherwise("0")), ""
+        ),
+    )
+    return F.element_at(bits, 1)
 
 
 def bits_to_long(bits: Column) -> Column:

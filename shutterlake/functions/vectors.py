@@ -34,9 +34,15 @@ def dot(left: Column, right: Column) -> Column:
 def l2_normalise(vector: Column) -> Column:
     """v / |v|; the zero vector stays zero."""
     norm = F.sqrt(F.aggregate(_double(vector), F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(
-        _double(vector), lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))
+    # One-element array as a binding, so that the norm is computed once and not per element.
+    bound = F.array(F.struct(_double(vector).alias("values"), norm.alias("norm")))
+    scaled = F.transform(
+        bound,
+        lambda b: F.transform(
+            b["values"], lambda x: F.when(b["norm"] > 0, x / b["norm"]).otherwise(F.lit(0.0))
+        ),
     )
+    return F.element_at(scaled, 1)
 
 
 def cosine(left: Column, right: Column) -> Column:

@@ -141,7 +141,7 @@ def last_admin_violations(changes: DataFrame, access: DataFrame) -> DataFrame:
 
 def group_write_decision(requests: DataFrame, access: DataFrame, components: DataFrame,
                          members: DataFrame) -> DataFrame:
-    """(user_id, group_id, read_only, allowed, reason) for writes to group-shared rows.
+    """Adds allowed and reason to requests (user_id, group_id, read_only) to group-shared rows.
 
     System admins may; others must be members of the group and the row must not be read-only; a
     request without a group is allowed.
@@ -166,9 +166,7 @@ def group_write_decision(requests: DataFrame, access: DataFrame, components: Dat
         requests.join(admins, "user_id", "left")
         .join(inside, ["user_id", "group_id"], "left")
         .withColumn("reason", reason)
-        .select(
-            "user_id", "group_id", "read_only", F.col("reason").isNull().alias("allowed"), "reason"
-        )
+        .select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
     )
 
 

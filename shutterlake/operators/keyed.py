@@ -95,10 +95,10 @@ def dense_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
     local = F.row_number().over(Window.partitionBy("_b").orderBy(*keys))
     return (
-        marked.withColumn("_n", local)
+        marked.withColumn("_local", local)
         .join(F.broadcast(offsets), "_b")
-        .withColumn(name, (F.col("_offset") + F.col("_n")).cast("bigint"))
-        .drop("_b", "_n", "_offset")
+        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
+        .drop("_b", "_local", "_offset")
     )
 
 
@@ -121,10 +121,10 @@ def number_within(df: DataFrame, group: list[str], id_col: str, order: list[str]
     )
     local = Window.partitionBy(*group, "_range").orderBy(id_col, *order)
     return (
-        marked.withColumn("_n", F.row_number().over(local))
+        marked.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*group, "_range"])
-        .withColumn(name, (F.col("_offset") + F.col("_n")).cast("bigint"))
-        .drop("_range", "_n", "_offset")
+        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
+        .drop("_range", "_local", "_offset")
     )
 
 
