@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.files import file_class, is_media_file, split_path
 from shutterlake.operators import catalogue, keyed
+from shutterlake.operators.stats import table_counts
+from shutterlake.plans.indexing import index_listing
 from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
+from shutterlake.session import shared_dir
+from shutterlake.sources.media import media_file_scan as media_file_scan_source
+from shutterlake.sources.media import media_file_stream
+from shutterlake.sources.tables import TableStore, log_rows
+from shutterlake.sources.tables import read_table as read_stored
+from shutterlake.streaming import flows
 
 PAGE_FILES = {
     "page_file": r"""
@@ -92,8 +103,6 @@ def find_or_create(lib: Library):
 
 
 def _by_word():
-    from pyspark.sql import Window
-
     return Window.orderBy("word")
 
 
@@ -116,8 +125,6 @@ def cascade_delete(lib: Library):
 
 
 def _counts(tables):
-    from shutterlake.operators.stats import table_counts
-
     return table_counts(tables).select(
         F.col("what").alias("table_name"), F.col("rows").alias("left_rows"))
 
@@ -303,3 +310,60 @@ def prune_empty_folders(lib: Library):
     UNION ALL SELECT 'faces', count(*) FROM feature""")
 def index_summary(lib: Library):
     return catalogue.index_summary(files=lib.file, items=lib.media_item, faces=lib.feature)
+
+
+# --- files and tables on storage ---
+
+MEDIA_BYTES = """
+    SELECT 'lang=' || lang || '/source=' || source AS dir,
+      CAST(sum(len(CAST(doc_id AS VARCHAR)) + len(CAST(n_chars AS VARCHAR)) + 2) AS BIGINT) AS size, 'image' AS type
+    FROM documents GROUP BY ALL"""
+
+
+def _media_tree(lib: Library) -> str:
+    """A folder tree of .jpg files holding the numbers of all documents, by language and source."""
+    root = f"{shared_dir(lib.spark).rstrip('/')}/media-{uuid.uuid4().hex}"
+    lib.raw("documents").select("lang", "source", "doc_id", "n_chars").write.partitionBy(
+        "lang", "source").option("extension", "jpg").csv(root)
+    return root
+
+
+def _relative(column: str):
+    return F.regexp_extract(column, "(lang=.*)$", 1)
+
+
+@query(MEDIA_BYTES)
+def media_file_scan(lib: Library):
+    listed = media_file_scan_source(lib.spark, _media_tree(lib), media_only=True, checksum="md5")
+    return listed.groupBy(_relative("dir").alias("dir"), "type").agg(F.sum("size").alias("size"))
+
+
+@query(MEDIA_BYTES)
+def incremental_ingest(lib: Library):
+    """The same tree taken in by a file stream, each batch indexed into versioned tables."""
+    root = _media_tree(lib)
+    store = TableStore(lib.spark, f"{root}-tables")
+    flows.stream_ingest(
+        media_file_stream(lib.spark, root),
+        lambda batch, _: index_listing(store, batch, root), f"{root}-checkpoint", once=True,
+    ).awaitTermination()
+    paths = store.read("path").select(F.col("id").alias("path_id"), "dir")
+    return store.read("file").join(paths, "path_id").groupBy(
+        _relative("dir").alias("dir"), "type").agg(F.sum("size").alias("size"))
+
+
+@query("SELECT id, name, type, start_date, hash FROM media_item")
+def read_table(lib: Library):
+    store = TableStore(lib.spark, f"{shared_dir(lib.spark).rstrip('/')}/tables-{uuid.uuid4().hex}")
+    store.write("media_item", lib.media_item.filter("type = 'video'"))
+    store.write("media_item", lib.media_item)
+    return read_stored(lib.spark, store.root, "media_item").select("id", "name", "type", "start_date", "hash")
+
+
+@query("SELECT id AS item_id, CASE WHEN action = 'delete' THEN user_id ELSE 1 END AS user_id, action FROM change WHERE action <> 'progress'")
+def append_log(lib: Library):
+    store = TableStore(lib.spark, f"{shared_dir(lib.spark).rstrip('/')}/log-{uuid.uuid4().hex}")
+    changes = lib.change.withColumnRenamed("id", "item_id")
+    store.append_log(log_rows(changes.filter("action IN ('create', 'update')").drop("user_id")))
+    store.append_log(log_rows(changes.filter("action = 'delete'")))
+    return store.read_log().select("item_id", "user_id", "action")
