@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from shutterlake.operators.facegraph import (
 from shutterlake.operators.graph import connected_components
 from shutterlake.operators.keyed import number_within, page
 from shutterlake.operators.tiles import cross_tiles, matrix, tile_count
-from shutterlake.session import cut_lineage
+from shutterlake.session import cut_lineage, shared_dir
 
 CLUSTER_THRESHOLD = 0.55
 THRESHOLD_RANGE = (0.40, 0.70)
@@ -28,6 +30,9 @@ CANDIDATES_KEPT = 5
 
 WAVE_ROWS = 20_000     # faces of one component placed by one task at a time
 WHOLE_PERSON_ROWS = 8192
+FACE_SCHEMA = "component BIGINT, id BIGINT, embedding ARRAY<FLOAT>, wave INT"
+PLACED = "component BIGINT, id BIGINT, cluster BIGINT"
+PLACED_SCHEMA = f"{PLACED}, wave INT"
 HISTOGRAM_BINS = 1024
 HISTOGRAM_LEVELS = 4   # 2 / 1024**4 < 2e-12: bins end narrower than rounding noise
 
@@ -146,26 +151,30 @@ def capped_average_linkage(faces: DataFrame, threshold: float = CLUSTER_THRESHOL
     joined = units.join(component, "id", "left")
     lonely = joined.filter("component IS NULL").select("id", F.col("id").alias("cluster"))
     crowd = joined.filter("component IS NOT NULL")
-    waves = cut_lineage(
-        number_within(crowd, ["component"], "id", [], "_seq").withColumn(
-            "_wave", F.floor((F.col("_seq") - 1) / wave_rows).cast("int")
-        )
-    )
-    last = waves.agg(F.max("_wave")).first()[0]
+    # Kept as tables in the shared folder: a wave reads its own partition of the faces and the
+    # placements so far, and the plan does not grow from wave to wave.
+    spark = faces.sparkSession
+    work = f"{shared_dir(spark).rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    number_within(crowd, ["component"], "id", [], "_seq").select(
+        "component", "id", "embedding",
+        F.floor((F.col("_seq") - 1) / wave_rows).cast("int").alias("wave"),
+    ).write.partitionBy("wave").parquet(f"{work}/faces")
+    waves = spark.read.schema(FACE_SCHEMA).parquet(f"{work}/faces")
+    last = waves.agg(F.max("wave")).first()[0]
     if last is None:
         return lonely
-    done: DataFrame | None = None
     for wave in range(last + 1):
-        rows = waves.filter(F.col("_wave") == wave).select("component", "id", "embedding")
-        placed = cut_lineage(_place_wave(rows, done, waves, threshold, cap))
-        done = placed if done is None else done.unionByName(placed)
+        rows = waves.filter(F.col("wave") == wave).select("component", "id", "embedding")
+        done = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed") if wave else None
+        _place_wave(rows, done, waves, threshold, cap).write.mode("overwrite").parquet(
+            f"{work}/placed/wave={wave}"
+        )
+    done = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed")
     return lonely.unionByName(done.select("id", "cluster"))
 
 
 def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, threshold: float,
                 cap: int) -> DataFrame:
-    schema = "component BIGINT, id BIGINT, cluster BIGINT"
-
     def place(block: pd.DataFrame, members: pd.DataFrame | None) -> pd.DataFrame:
         block = block.sort_values("id")
         open_clusters = []
@@ -181,7 +190,7 @@ def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, thres
         )
 
     if done is None:
-        return rows.groupBy("component").applyInPandas(lambda b: place(b, None), schema)
+        return rows.groupBy("component").applyInPandas(lambda b: place(b, None), PLACED)
     waiting = rows.select("component").distinct()
     still_open = done.join(waiting, "component", "left_semi").groupBy("cluster").count()
     members = (
@@ -197,7 +206,7 @@ def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, thres
             return pd.DataFrame({"component": [], "id": [], "cluster": []})
         return place(block, known)
 
-    return rows.groupBy("component").cogroup(members.groupBy("component")).applyInPandas(both, schema)
+    return rows.groupBy("component").cogroup(members.groupBy("component")).applyInPandas(both, PLACED)
 
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:
@@ -226,7 +235,7 @@ def person_scores(reps: DataFrame, linked: DataFrame,
     sized = linked.join(sizes, "person_id")
     small = sized.filter(F.col("n") <= WHOLE_PERSON_ROWS)
     large_people = sizes.filter(F.col("n") > WHOLE_PERSON_ROWS)
-    rep_rows, linked_rows = reps.count(), linked.count()
+    rep_tiles = tile_count(reps)
     schema = "rep_id BIGINT, person_id BIGINT, score DOUBLE"
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -252,13 +261,14 @@ def person_scores(reps: DataFrame, linked: DataFrame,
     scored = cross_tiles(
         reps.select("rep_id", "embedding"), small.select("person_id", "embedding"),
         "rep_id", "person_id", kernel, schema,
-        tile_count(rep_rows), tile_count(linked_rows),
+        rep_tiles, tile_count(linked),
     )
     if large_people.isEmpty():
         return scored
     return scored.unionByName(
-        _large_person_scores(reps, sized.filter(F.col("n") > WHOLE_PERSON_ROWS), min_score,
-                             tile_count(rep_rows))
+        _large_person_scores(
+            reps, sized.filter(F.col("n") > WHOLE_PERSON_ROWS), min_score, rep_tiles
+        )
     )
 
 
@@ -322,7 +332,7 @@ def _large_person_scores(reps: DataFrame, faces: DataFrame, min_score: float, re
         if state is None:
             counted = cross_tiles(
                 vectors.withColumn("lo", F.lit(lowest)), blocks, "rep_id", "feature_id",
-                _bin_kernel(step, bins), schema, rep_tiles, tile_count(blocks.count(), chunk_rows),
+                _bin_kernel(step, bins), schema, rep_tiles, tile_count(blocks),
             )
         else:
             left = state.select(*pair, "lo").join(vectors, "rep_id").join(people, "person_id")

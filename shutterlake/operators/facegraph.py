@@ -85,7 +85,7 @@ def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD) ->
 
 def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
     vectors = groups.select("rep", "embedding")
-    tiles = tile_count(vectors.count())
+    tiles = tile_count(vectors)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
         a = matrix(left["embedding"])
@@ -164,7 +164,7 @@ def similarity_search(queries: DataFrame, features: DataFrame,
 
     return cross_tiles(
         asked, table, "query_id", "feature_id", kernel, schema,
-        tile_count(asked.count()), tile_count(table.count()),
+        tile_count(asked), tile_count(table),
     )
 
 

@@ -259,7 +259,7 @@ def _close_hashes(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold
 def _tile_join(groups: DataFrame, threshold: int) -> DataFrame:
     """Block-wise XOR and popcount, for thresholds too wide for bands."""
     hashes = groups.select("rep", "h")
-    tiles = tile_count(hashes.count())
+    tiles = tile_count(hashes)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
         return _close_hashes(left, right, same, threshold)
@@ -288,7 +288,7 @@ def _cross_hash_tiles(new: DataFrame, old: DataFrame, threshold: int) -> DataFra
 
     return cross_tiles(
         new.select("rep", "h"), old.select("rep", "h"), "rep", "rep", kernel, PAIR_SCHEMA,
-        tile_count(new.count()), tile_count(old.count()),
+        tile_count(new), tile_count(old),
     )
 
 

@@ -1,7 +1,7 @@
 """All-against-all comparison in bounded blocks.
 
-Rows are hashed to tiles of a few thousand; each pair of tiles is one small group that numpy
-compares at once, and only rows the kernel keeps leave the task. Nothing here depends on how the
+Rows are hashed to tiles of some thousand rows; each pair of tiles is one group that numpy
+compares strip by strip, and only rows the kernel keeps leave the task. Nothing here depends on how the
 values are distributed: a tile's size is set by the row count alone, so skewed values cannot
 produce a large task.
 """
@@ -17,12 +17,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE_ROWS = 4096
-STRIP_ROWS = 512  # rows of the left block handled per matrix product
+MOST_TILE_ROWS = 16_384   # 64 MB of doubles at 512 dimensions
+LEAST_TILE_ROWS = 1024
+STRIP_ROWS = 512          # rows of the left block handled per matrix product
 
 
-def tile_count(rows: int, tile_rows: int = TILE_ROWS) -> int:
-    return max(1, math.ceil(rows / tile_rows))
+def tile_count(df: DataFrame) -> int:
+    """How many tiles to cut a table into.
+
+    Every row is copied once per tile, so tiles are as large as memory allows, but small enough to
+    give all cores a pair of tiles to work on.
+    """
+    rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    busy = math.ceil(math.sqrt(4 * cores))
+    return max(1, math.ceil(rows / MOST_TILE_ROWS), min(busy, math.ceil(rows / LEAST_TILE_ROWS)))
 
 
 def self_tiles(df: DataFrame, id_col: str, kernel: Callable, schema: str,

@@ -62,7 +62,7 @@ def test_hamming_unequal_length_fails(spark):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, busy):
     """busy=3 sends most buckets through the block-wise path."""
     monkeypatch.setattr(neardup, "BUSY_BUCKET", busy)
-    monkeypatch.setattr(neardup, "tile_count", lambda rows: max(1, rows // 40))
+    monkeypatch.setattr(neardup, "tile_count", lambda df: 3)
     items = hash_fixture(np.random.default_rng(threshold), 120)
     df = spark.createDataFrame([*items, (900, None), (901, "")], "id long, hash string")
     found = neardup.near_duplicate_join(df, threshold)
@@ -153,7 +153,7 @@ def features(spark, ids, matrix):
 
 @pytest.mark.parametrize("tiles", [1, 4])
 def test_similarity_join_equals_brute_force(spark, monkeypatch, tiles):
-    monkeypatch.setattr(facegraph, "tile_count", lambda rows: tiles)
+    monkeypatch.setattr(facegraph, "tile_count", lambda df: tiles)
     rng = np.random.default_rng(3)
     base = unit(rng, 150)
     vectors_ = np.vstack([base, base[:1].repeat(30, axis=0), base[7:8]])
@@ -184,7 +184,7 @@ def test_search_small_and_blocked_agree(spark, monkeypatch):
     queries = df.filter("id < 9")
     small = rows(facegraph.similarity_search(queries, df, 0.2), "query_id", "feature_id")
     monkeypatch.setattr(facegraph, "MAX_LITERAL_QUERIES", 3)
-    monkeypatch.setattr(facegraph, "tile_count", lambda rows: 3)
+    monkeypatch.setattr(facegraph, "tile_count", lambda df: 3)
     assert rows(facegraph.similarity_search(queries, df, 0.2), "query_id", "feature_id") == small
 
 
