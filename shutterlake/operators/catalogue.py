@@ -147,7 +147,7 @@ def build_folder_tree(directories: DataFrame, root: str | None = None,
 def ordinals(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Zero-based position of each row in the order of ``keys``, over the whole table.
 
-    Range-partitioned sort, checkpointed so that partitions stay what they are; each partition is
+    Range-partitioned sort, written out so that positions stay what they are; each partition is
     shifted by the sizes of those before it (one row per partition, so that window is bounded).
     """
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)

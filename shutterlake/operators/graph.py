@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating large-star / small-star contraction (Kiveris et al., SoCC 2014). Each half-round is
     a min-aggregate, which combines before the shuffle, and an equi-join with one row per key, which
-    adaptive execution splits where a hub is skewed. Rounds end in a reliable checkpoint.
+    adaptive execution splits where a hub is skewed. Each round is written to the
+    shared folder.
     """
     state = cut_lineage(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -56,7 +57,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .join(lowest, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter("u <> v")
-        .distinct()
     )
 
 
@@ -81,7 +81,7 @@ def reachable(edges: DataFrame, sources: DataFrame, depth: int = 10, src: str =
               dst: str = "dst") -> DataFrame:
     """(source, node, hops): nodes within ``depth`` hops of each source id, sources excluded.
 
-    Level-synchronous: one join per hop, each level checkpointed, ends early on an empty frontier.
+    Level-synchronous: one join per hop, each level written out, ends early on an empty frontier.
     """
     links = cut_lineage(undirected(edges, src, dst).distinct())
     start = sources.select(F.col("id").alias("source")).distinct()

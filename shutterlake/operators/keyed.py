@@ -27,9 +27,11 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[str | Column] | None
     return rows.select("_row.*").select(*df.columns)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on every key."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def same_keys(keys: list[str], left: str, right: str) -> Column:
+    """Null-safe equality on every key of two aliased tables."""
+    return reduce(
+        lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+    )
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str],
@@ -40,8 +42,9 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str],
 
 
 def new_rows(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    known = target.select(*keys)
-    return rows.join(known, same_keys(rows, known, keys), "left_anti")
+    """Rows whose key the target does not have."""
+    known = target.select(*keys).alias("known")
+    return rows.alias("new").join(known, same_keys(keys, "new", "known"), "left_anti")
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "update",
@@ -55,13 +58,8 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "
     if mode == "ignore":
         return insert_ignore(target, updates, keys, order)
     latest = one_per_key(updates, keys, order, last=True)
-    if order:
-        latest = latest.select(*[c for c in latest.columns if c in target.columns])
     old = target.withColumn("_old", F.lit(True)).alias("o")
     new = latest.withColumn("_new", F.lit(True)).alias("n")
-    on = reduce(
-        lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    )
     columns = []
     for name in target.columns:
         if name not in latest.columns:
@@ -71,7 +69,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "
             columns.append(value.alias(name))
         else:
             columns.append(F.coalesce(F.col(f"n.{name}"), F.col(f"o.{name}")).alias(name))
-    return old.join(new, on, "full_outer").select(*columns)
+    return old.join(new, same_keys(keys, "o", "n"), "full_outer").select(*columns)
 
 
 def delete_rows(target: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:

@@ -151,14 +151,15 @@ class Library:
 
     @cached_property
     def person_feature(self) -> DataFrame:
-        return self.raw("embeddings").filter(F.col("vec_id") % 3 == 0).select(
+        """A face is linked to the person of its label when its first value is above 0.05."""
+        return self.raw("embeddings").filter(F.col("embedding")[0].cast("double") > 0.05).select(
             F.col("vec_id").alias("id"), F.col("vec_id").alias("feature_id"),
             F.col("label").cast("bigint").alias("person_id"),
         )
 
     @cached_property
     def face_rejection(self) -> DataFrame:
-        return self.raw("embeddings").filter(F.col("vec_id") % 5 == 1).select(
+        return self.raw("embeddings").filter(F.col("embedding")[1].cast("double") > 0.1).select(
             F.col("vec_id").alias("id"), F.col("vec_id").alias("feature_id"),
             ((F.col("label") + 1) % 10).cast("bigint").alias("person_id"),
             F.lit("2024-01-01").alias("created_at"),
@@ -391,10 +392,10 @@ CTES: dict[str, str] = {
           CAST(embedding AS DOUBLE[]) AS embedding, vec_id % 17 = 0 AS ignored FROM embeddings""",
     "person_feature": """
         SELECT vec_id AS id, vec_id AS feature_id, CAST(label AS BIGINT) AS person_id
-        FROM embeddings WHERE vec_id % 3 = 0""",
+        FROM embeddings WHERE CAST(embedding[1] AS DOUBLE) > 0.05""",
     "face_rejection": """
         SELECT vec_id AS id, vec_id AS feature_id, CAST((label + 1) % 10 AS BIGINT) AS person_id
-        FROM embeddings WHERE vec_id % 5 = 1""",
+        FROM embeddings WHERE CAST(embedding[2] AS DOUBLE) > 0.1""",
     "hash_item": """
         SELECT vec_id AS id,
           array_to_string(list_transform(embedding, lambda x: CASE WHEN x >

@@ -14,7 +14,7 @@ def face_triage(features: DataFrame, person_features: DataFrame, rejections: Dat
                 min_score: float = cluster.CANDIDATE_MIN_SCORE) -> DataFrame:
     """(representative_id, feature_ids, size, top_score, top_person_id, tier) of unlinked faces.
 
-    Clusters are computed once and kept (checkpoint); order pages with ``cluster.cluster_order``.
+    Clusters are computed once and written out; order pages with ``cluster.cluster_order``.
     """
     faces = cluster.unlinked_features(features, person_features)
     summary = cut_lineage(

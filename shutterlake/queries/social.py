@@ -18,6 +18,21 @@ SUMMARY = {
 }
 
 
+MERGES = {
+    "merge_pair": """SELECT c_custkey AS source_id, target_id FROM customer
+        JOIN (SELECT c_nationkey, min(c_custkey) AS target_id FROM customer WHERE c_acctbal >= 2000 GROUP BY ALL) USING (c_nationkey)
+        WHERE c_acctbal < 2000""",
+}
+
+
+def _merges(lib: Library):
+    """Persons with a low balance fold into the first of their nation with a higher one."""
+    customer = lib.raw("customer")
+    targets = customer.filter("c_acctbal >= 2000").groupBy("c_nationkey").agg(F.min("c_custkey").alias("target_id"))
+    return customer.filter("c_acctbal < 2000").join(targets, "c_nationkey").select(
+        F.col("c_custkey").alias("source_id"), "target_id")
+
+
 @query("""SELECT DISTINCT person_id FROM person_name WHERE name ILIKE '%build%'""")
 def search_people(lib: Library):
     return people.search_people(lib.person_name, "Build")
@@ -40,11 +55,9 @@ def people_page(lib: Library):
 @query("""
     SELECT coalesce(m.target_id, f.person_id) AS person_id, f.feature_id, min(f.id) AS id
     FROM person_feature f LEFT JOIN merge_pair m ON m.source_id = f.person_id GROUP BY ALL""",
-       {"merge_pair": "SELECT c_custkey AS source_id, c_custkey - 5 AS target_id FROM customer WHERE c_custkey BETWEEN 5 AND 9"})
+       MERGES)
 def merge_people(lib: Library):
-    """The second five persons with faces fold into the first five."""
-    merges = lib.person.filter("id BETWEEN 5 AND 9").select(
-        F.col("id").alias("source_id"), (F.col("id") - 5).alias("target_id"))
+    merges = _merges(lib)
     tables = {"person": lib.person, "person_name": lib.person_name, "person_feature": lib.person_feature,
               "person_contact": lib.person_contact, "person_address": lib.person_address}
     merged, _ = people.merge_people(tables, merges)
@@ -52,11 +65,12 @@ def merge_people(lib: Library):
 
 
 @query("""
-    SELECT c_custkey % 100 AS target_id, 0 AS reassigned, count(*) AS names_moved
-    FROM customer JOIN person_name n ON n.person_id = c_custkey WHERE c_custkey >= 100 GROUP BY ALL""")
+    SELECT target_id, count(DISTINCT feature_id) AS reassigned, count(DISTINCT name_id) AS names_moved FROM (
+      SELECT target_id, f.feature_id, NULL AS name_id FROM merge_pair m JOIN person_feature f ON f.person_id = m.source_id
+      UNION ALL SELECT target_id, NULL, n.id FROM merge_pair m JOIN person_name n ON n.person_id = m.source_id)
+    GROUP BY ALL""", MERGES)
 def merge_people_report(lib: Library):
-    merges = lib.person.filter("id >= 100").select(
-        F.col("id").alias("source_id"), (F.col("id") % 100).alias("target_id"))
+    merges = _merges(lib)
     tables = {"person": lib.person, "person_name": lib.person_name, "person_feature": lib.person_feature}
     return people.merge_people(tables, merges)[1]
 
