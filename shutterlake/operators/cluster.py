@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions.scalars import round_half_up
 from shutterlake.functions.vectors import l2_normalise
 from shutterlake.operators.facegraph import (
-    distinct_vector_pairs,
+    component_links,
     vector_groups,
     with_valid_embedding,
 )
@@ -120,16 +120,13 @@ def cluster_components(faces: DataFrame, threshold: float) -> DataFrame:
     least threshold**1.5, so clusters never cross components of the graph at that similarity.
     """
     groups = vector_groups(faces)
-    pairs = distinct_vector_pairs(groups, threshold**1.5 - 1e-9)
+    between = component_links(groups, threshold**1.5 - 1e-9)
     links = (
         faces.join(groups.filter("copies > 1").select("embedding", "rep"), "embedding")
         .filter("id <> rep")
         .select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     )
-    edges = pairs.select(
-        F.col("feature_id").alias("src"), F.col("matching_feature_id").alias("dst")
-    ).unionByName(links)
-    return connected_components(edges)
+    return connected_components(between.unionByName(links))
 
 
 def capped_average_linkage(faces: DataFrame, threshold: float = CLUSTER_THRESHOLD,

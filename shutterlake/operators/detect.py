@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +17,7 @@ from shutterlake.session import cut_lineage
 NMS_THRESHOLD = 0.3
 NMS_TOP_K = 5000
 MAX_FACES = 20
-WHOLE_IMAGE_BOXES = 10_000
-SMALL_IMAGE_BOXES = 64
+WHOLE_IMAGE_BOXES = 1000
 
 BOX = "image_id", "box_id", "x", "y", "width", "height", "score"
 
@@ -44,9 +41,9 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = NMS_THRESHOLD,
                       top_k: int = NMS_TOP_K, whole: int = WHOLE_IMAGE_BOXES) -> DataFrame:
     """Greedy suppression per image: best score first, ties by box_id.
 
-    ``boxes`` has image_id, box_id, x, y, width, height, score. An image of up to ``whole`` boxes
-    (a detector grid has 8400 anchors) is folded in one row, inside the JVM. Larger groups are
-    settled by ``_suppress_large`` without being gathered.
+    ``boxes`` has image_id, box_id, x, y, width, height, score. An image of up to ``whole`` boxes is
+    folded in one row, inside the JVM. Larger ones are settled in rounds (``_suppress_large``)
+    without being gathered.
     """
     sizes = boxes.groupBy("image_id").agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") > whole).select("image_id")
@@ -55,7 +52,7 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = NMS_THRESHOLD,
     usual = boxes.join(large, "image_id", "left_anti")
     crowded = boxes.join(large, "image_id", "left_semi")
     return _suppress_whole(usual, threshold, top_k).unionByName(
-        _suppress_large(crowded, threshold, top_k)
+        _suppress_large(crowded, threshold, top_k, whole)
     )
 
 
@@ -84,46 +81,33 @@ def _suppress_whole(boxes: DataFrame, threshold: float, top_k: int) -> DataFrame
     )
 
 
-def _suppress_large(boxes: DataFrame, threshold: float, top_k: int) -> DataFrame:
-    """Exact greedy suppression as a fixpoint over the overlap graph.
+def _suppress_large(boxes: DataFrame, threshold: float, top_k: int, head_rows: int) -> DataFrame:
+    """Exact greedy suppression of huge images, in rounds.
 
-    A box is kept once no undecided better box overlaps it, dropped once a kept better box does.
+    Each round folds the best ``head_rows`` undecided boxes of every image and then drops, in
+    parallel, all other boxes that a box kept in this round overlaps too much. Only kept boxes are
+    ever compared with the rest, so overlapping pairs are not listed. An image leaves when it has
+    ``top_k`` kept boxes or nothing undecided.
     """
-    pairs = _grid_pairs(boxes, threshold)
-    score = boxes.select("image_id", "box_id", "score")
-    scored = pairs.join(score, ["image_id", "box_id"]).join(
-        score.select("image_id", F.col("box_id").alias("other_id"), F.col("score").alias("_other")),
-        ["image_id", "other_id"],
-    )
-    first = (F.col("score") > F.col("_other")) | (
-        (F.col("score") == F.col("_other")) & (F.col("box_id") < F.col("other_id"))
-    )
-    open_edges = cut_lineage(
-        scored.select(
-            "image_id",
-            F.when(first, F.col("box_id")).otherwise(F.col("other_id")).alias("strong"),
-            F.when(first, F.col("other_id")).otherwise(F.col("box_id")).alias("weak"),
+    left = cut_lineage(boxes.select(*BOX))
+    kept: DataFrame | None = None
+    while not left.isEmpty():
+        head = cut_lineage(_best_per_image(left, head_rows))
+        now = cut_lineage(_suppress_whole(head, threshold, top_k))
+        kept = now if kept is None else cut_lineage(kept.unionByName(now))
+        full = kept.groupBy("image_id").count().filter(F.col("count") >= top_k)
+        winners = now.groupBy("image_id").agg(
+            F.collect_list(F.struct("x", "y", "width", "height")).alias("_kept")
         )
-    )
-    key = ["image_id", "box_id"]
-    dropped = None
-    while not open_edges.isEmpty():
-        weak = open_edges.select("image_id", F.col("weak").alias("box_id")).distinct()
-        strong = open_edges.select("image_id", F.col("strong").alias("box_id")).distinct()
-        kept_now = strong.join(weak, key, "left_anti").withColumnRenamed("box_id", "strong")
-        hit = cut_lineage(
-            open_edges.join(kept_now, ["image_id", "strong"], "left_semi")
-            .select("image_id", F.col("weak").alias("box_id")).distinct()
+        box = F.struct("x", "y", "width", "height")
+        left = cut_lineage(
+            left.join(head.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti")
+            .join(full.select("image_id"), "image_id", "left_anti")
+            .join(winners, "image_id")
+            .filter(~F.exists("_kept", lambda k: iou(k, box) > threshold))
+            .select(*BOX)
         )
-        dropped = hit if dropped is None else dropped.unionByName(hit)
-        left = open_edges.join(kept_now, ["image_id", "strong"], "left_anti")
-        for end in ("weak", "strong"):
-            left = left.join(hit.withColumnRenamed("box_id", end), ["image_id", end], "left_anti")
-        open_edges = cut_lineage(left)
-    kept = boxes if dropped is None else boxes.join(dropped, key, "left_anti")
-    kept = kept.select(*BOX)
-    crowded = kept.groupBy("image_id").count().filter(F.col("count") > top_k)
-    return kept if crowded.isEmpty() else _best_per_image(kept, top_k)
+    return _best_per_image(kept, top_k)
 
 
 def _best_per_image(boxes: DataFrame, top_k: int, salts: int = 64) -> DataFrame:
@@ -164,73 +148,12 @@ def drop_crowded(boxes: DataFrame, most: int = MAX_FACES) -> DataFrame:
     return boxes.join(crowded, "image_id", "left_anti")
 
 
-def overlapping_pairs(boxes: DataFrame, threshold: float = NMS_THRESHOLD,
-                      small: int = SMALL_IMAGE_BOXES) -> DataFrame:
-    """(image_id, box_id, other_id, iou), box_id < other_id, of boxes overlapping by more than this.
-
-    Images of up to ``small`` boxes are joined on the image; larger ones meet in grid cells.
-    """
-    sizes = boxes.groupBy("image_id").agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > small).select("image_id")
-    plain = boxes.select("image_id", F.struct(*BOX[1:6]).alias("b"))
-    usual = plain if large.isEmpty() else plain.join(large, "image_id", "left_anti")
-    pairs = (
-        usual.alias("a")
-        .join(usual.alias("c"), "image_id")
-        .filter(F.col("a.b.box_id") < F.col("c.b.box_id"))
-        .withColumn("iou", iou(F.col("a.b"), F.col("c.b")))
-        .filter(F.col("iou") > threshold)
-        .select(
-            "image_id", F.col("a.b.box_id").alias("box_id"),
-            F.col("c.b.box_id").alias("other_id"), "iou",
-        )
-    )
-    if large.isEmpty():
-        return pairs
-    return pairs.unionByName(
-        _grid_pairs(boxes.join(large, "image_id", "left_semi"), threshold)
+def overlap_with_best(boxes: DataFrame) -> DataFrame:
+    """(image_id, box_id, best_id, iou): each box against the best-scored box of its image."""
+    best = boxes.groupBy("image_id").agg(
+        F.min_by(F.struct(*BOX[1:6]), F.struct(-F.col("score"), F.col("box_id"))).alias("_best")
     )
-
-
-def _grid_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Overlapping pairs without comparing a whole image with itself; ``threshold`` > 0.
-
-    IoU above t bounds the ratio of the longer sides by 1/t. Boxes are filed under the power-of-two
-    class of their longer side and the cell (of that size) their corner lies in; a box looks only
-    into its own and the next larger classes, at the cells where a partner's corner can lie.
-    """
-    filed = boxes.filter("width > 0 AND height > 0").select(
-        "image_id", F.struct(*BOX[1:6]).alias("b"),
-        F.floor(F.log2(F.greatest("width", "height"))).cast("int").alias("_class"),
-    )
-    reach = math.ceil(math.log2(1 / threshold))
-    size = F.pow(F.lit(2.0), F.col("_class"))
-
-    def cells(start: str, length: str):
-        low, high = F.col(f"b.{start}"), F.col(f"b.{start}") + F.col(f"b.{length}")
-        # a partner of this class is less than two cells long, so its corner is at most two before
-        return F.sequence(F.floor(low / size) - 2, F.floor(high / size))
-
-    probes = (
-        filed.withColumn("_own", F.col("_class"))
-        .withColumn("_class", F.explode(F.sequence(F.col("_own"), F.col("_own") + reach)))
-        .withColumn("_gx", F.explode(cells("x", "width")))
-        .withColumn("_gy", F.explode(cells("y", "height")))
-    )
-    home = filed.withColumns({
-        "_gx": F.floor(F.col("b.x") / size), "_gy": F.floor(F.col("b.y") / size),
-    })
-    a, c = F.col("p.b"), F.col("h.b")
-    return (
-        probes.alias("p")
-        .join(home.alias("h"), ["image_id", "_class", "_gx", "_gy"])
-        .filter((F.col("_class") > F.col("_own")) | (a["box_id"] < c["box_id"]))
-        .withColumn("iou", iou(a, c))
-        .filter(F.col("iou") > threshold)
-        .select(
-            "image_id",
-            F.least(a["box_id"], c["box_id"]).alias("box_id"),
-            F.greatest(a["box_id"], c["box_id"]).alias("other_id"),
-            "iou",
-        )
+    return boxes.join(best, "image_id").select(
+        "image_id", "box_id", F.col("_best.box_id").alias("best_id"),
+        iou(F.col("_best"), F.struct(*BOX[1:6])).alias("iou"),
     )

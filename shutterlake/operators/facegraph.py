@@ -17,6 +17,7 @@ from shutterlake.operators.graph import reachable, undirected
 from shutterlake.operators.keyed import page
 from shutterlake.operators.neardup import canonical_match_insert
 from shutterlake.operators.tiles import (
+    STRIP_ROWS,
     cross_tiles,
     matrix,
     scored_pairs,
@@ -105,6 +106,42 @@ def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
     return self_tiles(vectors, "rep", kernel, PAIR_SCHEMA, tiles)
 
 
+def component_links(groups: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst) links that connect the same vectors as all pairs >= threshold do.
+
+    Each pair of tiles contracts its hits to local components and emits one link per member, so the
+    output is linear in the rows compared however dense the similarity graph is.
+    """
+    vectors = groups.select("rep", "embedding")
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
+        a = matrix(left["embedding"])
+        b = a if same else matrix(right["embedding"])
+        ids = left["rep"].to_numpy()
+        if not same:
+            ids = np.concatenate([ids, right["rep"].to_numpy()])
+        ids, order = np.sort(ids), np.argsort(ids)
+        place = np.empty(len(order), dtype=np.int64)   # row -> position by id
+        place[order] = np.arange(len(order))
+        label = np.arange(len(ids))
+        offset = 0 if same else len(left)
+        for start in range(0, len(a), STRIP_ROWS):
+            rows, cols = np.nonzero(a[start:start + STRIP_ROWS] @ b.T >= threshold)
+            u, v = place[rows + start], place[cols + offset]
+            while True:
+                low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+                apart = low < high
+                if not apart.any():
+                    break
+                np.minimum.at(label, high[apart], low[apart])
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
+        moved = label != np.arange(len(ids))
+        yield pd.DataFrame({"src": ids[label[moved]], "dst": ids[moved]})
+
+    return self_tiles(vectors, "rep", kernel, "src BIGINT, dst BIGINT", tile_count(vectors))
+
+
 def expand_matches(pairs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     """Every match of the wanted ids, copies spelled out: (id, other_id).
 

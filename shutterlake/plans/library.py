@@ -213,15 +213,11 @@ class Library:
 
     @cached_property
     def person_address(self) -> DataFrame:
-        """Each person linked to the addresses of their nation whose number ends like theirs."""
-        left = self.raw("customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 4).alias("m"))
-        right = self.raw("supplier").select(
-            "s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_suppkey") % 4).alias("m")
-        )
-        return left.join(right, ["c_nationkey", "m"]).select(
-            (F.col("c_custkey") * 1_000_000 + F.col("s_suppkey")).alias("id"),
-            F.col("s_suppkey").alias("address_id"), F.col("c_custkey").alias("person_id"),
-            F.lit("home").alias("type"), (F.col("m") == 0).alias("preferred"),
+        """Fifteen people share an address."""
+        return self.raw("customer").select(
+            F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 15).alias("address_id"),
+            F.col("c_custkey").alias("person_id"), F.lit("home").alias("type"),
+            (F.col("c_nationkey") < 20).alias("preferred"),
         )
 
     @cached_property
@@ -416,9 +412,8 @@ CTES: dict[str, str] = {
         SELECT o_orderkey AS id, o_custkey AS person_id, 'tel:' || o_orderkey AS contact,
           o_orderpriority AS type FROM orders""",
     "person_address": """
-        SELECT c_custkey * 1000000 + s_suppkey AS id, s_suppkey AS address_id,
-          c_custkey AS person_id, 'home' AS type, c_custkey % 4 = 0 AS preferred
-        FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 4 = c_custkey % 4""",
+        SELECT c_custkey AS id, c_custkey // 15 AS address_id,
+          c_custkey AS person_id, 'home' AS type, c_nationkey < 20 AS preferred FROM customer""",
     "user": """
         SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS person_id
         FROM customer""",

@@ -9,17 +9,6 @@ from shutterlake.operators import detect
 from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
 
-IOU = {
-    "iou_pair": """
-        SELECT *, ix * iy / (aw * ah + bw * bh - ix * iy) AS iou FROM (
-          SELECT a.image_id, a.box_id, b.box_id AS other_id, a.width AS aw, a.height AS ah, b.width AS bw, b.height AS bh,
-            greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) AS ix,
-            greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) AS iy
-          FROM box a JOIN box b ON a.image_id = b.image_id AND a.box_id < b.box_id)
-        WHERE ix > 0 AND iy > 0""",
-}
-
-
 def _anchors(lib: Library):
     """Raw detector rows from lineitem: one anchor each, small integer box and landmark values."""
     number = F.col("l_linenumber").cast("double")
@@ -63,9 +52,15 @@ def decode_anchors(lib: Library):
         F.element_at("landmarks", 3).alias("left_eye_x"), F.element_at("landmarks", 10).alias("left_mouth_y"))
 
 
-@query("SELECT image_id, box_id, other_id, round(iou, 6) AS iou FROM iou_pair WHERE iou > 0.3", IOU)
+@query("""
+    SELECT image_id, box_id, best_id, round(CASE WHEN ix * iy = 0 THEN 0 ELSE ix * iy / (b.width * b.height + w * h - ix * iy) END, 6) AS iou FROM (
+      SELECT b.*, t.b.box_id AS best_id, t.b.w AS w, t.b.h AS h,
+        greatest(0, least(t.b.x + t.b.w, b.x + b.width) - greatest(t.b.x, b.x)) AS ix,
+        greatest(0, least(t.b.y + t.b.h, b.y + b.height) - greatest(t.b.y, b.y)) AS iy
+      FROM box b JOIN (SELECT image_id, min({'r': -score, 'box_id': box_id, 'x': x, 'y': y, 'w': width, 'h': height}) AS b
+        FROM box GROUP BY ALL) t USING (image_id)) b""")
 def iou(lib: Library):
-    return detect.overlapping_pairs(lib.box, 0.3).withColumn("iou", F.round("iou", 6))
+    return detect.overlap_with_best(lib.box).withColumn("iou", F.round("iou", 6))
 
 
 @query("""

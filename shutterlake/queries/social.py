@@ -117,12 +117,12 @@ def addresses_of(lib: Library):
     SELECT person_id, address_id, preferred AND person_id NOT IN (SELECT person_id FROM fresh WHERE preferred) AS preferred FROM person_address
     UNION ALL SELECT person_id, address_id, preferred FROM fresh""",
        {"fresh": """SELECT c_custkey AS person_id, s_suppkey AS address_id, c_acctbal > 5000 AS preferred
-          FROM customer JOIN supplier ON s_suppkey = c_custkey // 3
+          FROM customer JOIN supplier ON s_suppkey = c_custkey // 12
           WHERE (c_custkey, s_suppkey) NOT IN (SELECT person_id, address_id FROM person_address)"""})
 def apply_address_links(lib: Library):
     batch = lib.raw("customer").select(
         F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("person_id"),
-        F.floor(F.col("c_custkey") / 3).alias("address_id"), F.lit("work").alias("type"),
+        F.floor(F.col("c_custkey") / 12).alias("address_id"), F.lit("work").alias("type"),
         (F.col("c_acctbal") > 5000).alias("preferred"))
     done = people.apply_address_links(lib.person_address, lib.address, batch)
     return done.select("person_id", "address_id", "preferred")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.operators import cluster
 from shutterlake.operators.graph import connected_components
-from shutterlake.operators.facegraph import similarity_join
+from shutterlake.operators.facegraph import component_links, vector_groups
 from shutterlake.plans import triage
 from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
@@ -64,14 +64,14 @@ def normalised_centroid(lib: Library):
         "link": "SELECT feature_id AS a, matching_feature_id AS b FROM face_pair UNION SELECT matching_feature_id, feature_id FROM face_pair",
         "closure": "SELECT a AS node, b AS other FROM link UNION SELECT node, b FROM closure JOIN link ON a = other"})
 def connected_faces(lib: Library):
-    edges = similarity_join(lib.feature, EDGES)
-    return connected_components(edges, "feature_id", "matching_feature_id")
+    """Components of the similarity graph, from links that are linear in the faces compared."""
+    return connected_components(component_links(vector_groups(lib.feature), EDGES))
 
 
 @query()
 def capped_average_linkage(lib: Library):
     faces = cluster.unlinked_features(lib.feature, lib.person_feature)
-    return cluster.capped_average_linkage(faces, threshold=0.40)
+    return cluster.capped_average_linkage(faces)
 
 
 @query()

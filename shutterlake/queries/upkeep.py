@@ -8,7 +8,8 @@ from shutterlake.operators import maintain
 from shutterlake.operators.facegraph import similarity_join
 from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
-from shutterlake.queries.similarity import EDGES, PAIRS, _pairs
+from shutterlake.queries.similarity import PAIRS, _pairs
+from shutterlake.schema import table_schema
 
 
 def _star(rows: str, key: str, item: str) -> str:
@@ -207,7 +208,7 @@ def orphan_places(lib: Library):
       (SELECT count(*) FROM folder f WHERE NOT EXISTS (SELECT 1 FROM folder_entry e JOIN folder u ON u.id = e.folder_id
         WHERE u.path = f.path OR starts_with(u.path, f.path || '/'))) AS folders""")
 def clean_report(lib: Library):
-    no_matches = similarity_join(lib.feature, EDGES).limit(0).withColumn("id", F.lit(0).cast("bigint"))
+    no_matches = lib.spark.createDataFrame([], table_schema("feature_match"))
     tables = {
         "feature": lib.located_face, "feature_match": no_matches, "media_match": stored_matches(lib),
         "media_item": lib.media_item, "keyword": lib.keyword, "media_item_keyword": lib.media_item_keyword,

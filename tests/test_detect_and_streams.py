@@ -48,13 +48,17 @@ def test_suppression_equals_greedy(spark, whole, top_k):
     assert got == greedy(data, 0.3, top_k)
 
 
-@pytest.mark.parametrize("small", [64, 0])
-def test_overlapping_pairs(spark, small):
-    data = random_boxes(2, 90) + [(0, 900, 0.0, 0.0, 1000.0, 1000.0, 0.5)]
-    got = rows(detect.overlapping_pairs(spark.createDataFrame(data, BOX), 0.3, small), "image_id", "box_id", "other_id")
-    expected = sorted((a[0], a[1], b[1]) for a in data for b in data
-                      if a[0] == b[0] and a[1] < b[1] and overlap(a, b) > 0.3)
-    assert got == expected
+def test_suppression_of_one_dense_image(spark):
+    """Thousands of boxes on one spot: few are kept and pairs are never listed."""
+    data = [(1, i, float(i % 3), 0.0, 50.0, 50.0, 1 - i / 5000) for i in range(4000)] + [(1, 9000, 500.0, 0.0, 5.0, 5.0, 0.0)]
+    got = rows(detect.suppress_overlaps(spark.createDataFrame(data, BOX), 0.3, 5000, 100), "box_id")
+    assert got == [(0,), (9000,)]
+
+
+def test_overlap_with_best(spark):
+    data = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 5.0, 0.0, 10.0, 10.0, 0.5), (1, 3, 50.0, 0.0, 1.0, 1.0, 0.4)]
+    got = rows(detect.overlap_with_best(spark.createDataFrame(data, BOX)), "box_id", "best_id", "iou")
+    assert got == [(1, 1, 1.0), (2, 1, pytest.approx(1 / 3)), (3, 1, 0.0)]
 
 
 def test_alignment_recovers_rotation_scale_and_shift(spark):
