@@ -1,6 +1,7 @@
 """A media library derived from the benchmark tables, as DataFrames and as SQL text.
 
-``Library`` builds every catalogue table from the parquet files; ``CTES`` has the same definitions
+``Library`` builds every catalogue table from the parquet files (tables with assigned ids are
+written once, as stored tables are); ``CTES`` has the same definitions
 in DuckDB SQL for the result checks. Each table covers all rows of its source.
 """
 
@@ -16,6 +17,7 @@ from shutterlake.functions.files import file_class
 from shutterlake.functions.hashing import hash_bits
 from shutterlake.operators.catalogue import build_folder_tree
 from shutterlake.operators.keyed import dense_number
+from shutterlake.session import cut_lineage
 
 
 class Library:
@@ -65,9 +67,9 @@ class Library:
     @cached_property
     def path(self) -> DataFrame:
         dirs = self.listing.select("dir").distinct()
-        return dense_number(dirs, ["dir"], "id").select(
+        return cut_lineage(dense_number(dirs, ["dir"], "id").select(
             "id", "dir", F.lit(1).cast("bigint").alias("host_id")
-        )
+        ))
 
     @cached_property
     def file(self) -> DataFrame:
@@ -99,7 +101,7 @@ class Library:
 
     @cached_property
     def folder(self) -> DataFrame:
-        return build_folder_tree(self.page_dirs)
+        return cut_lineage(build_folder_tree(self.page_dirs))
 
     @cached_property
     def folder_entry(self) -> DataFrame:
@@ -120,9 +122,8 @@ class Library:
 
     @cached_property
     def keyword(self) -> DataFrame:
-        return dense_number(self.part_words.select("word").distinct(), ["word"], "id").select(
-            "id", "word"
-        )
+        words = self.part_words.select("word").distinct()
+        return cut_lineage(dense_number(words, ["word"], "id").select("id", "word"))
 
     @cached_property
     def media_item_keyword(self) -> DataFrame:
@@ -230,7 +231,7 @@ class Library:
     @cached_property
     def component(self) -> DataFrame:
         segments = self.raw("customer").select(F.col("c_mktsegment").alias("key")).distinct()
-        return dense_number(segments, ["key"], "id").select("id", "key")
+        return cut_lineage(dense_number(segments, ["key"], "id").select("id", "key"))
 
     @cached_property
     def user_access(self) -> DataFrame:

@@ -257,7 +257,7 @@ def link_item_files(lib: Library):
 
 @query("""SELECT id, name, parent_id, path FROM folder""")
 def build_folder_tree(lib: Library):
-    return lib.folder
+    return catalogue.build_folder_tree(lib.page_dirs)
 
 
 @query("""

@@ -161,7 +161,7 @@ def person_of_feature(lib: Library):
           WHERE vec_id NOT IN (SELECT feature_id FROM person_feature) GROUP BY ALL""")
 def apply_assignments(lib: Library):
     batch = lib.feature.select(F.col("label").cast("bigint").alias("person_id"), F.col("id").alias("feature_id"))
-    nobody = batch.withColumn("person_id", F.lit(-5).cast("bigint"))
+    nobody = batch.withColumn("person_id", -F.col("feature_id") - 5)
     return people.apply_assignments(lib.person_feature, lib.person, batch.unionByName(nobody))[1]
 
 
