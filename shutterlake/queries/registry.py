@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from shutterlake.plans.library import Library, with_tables
+from shutterlake.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -17,6 +18,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Library(spark, sf_dir))
 
 

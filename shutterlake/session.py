@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,27 @@ def build_session(app: str = "shutterlake", master: str | None = None, **conf: s
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Executors need not have it installed, and the driver may run from any folder.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="shutterlake-package-")
+    archive = shutil.make_archive(f"{folder}/shutterlake", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
 
 
 def shared_dir(spark: SparkSession) -> str:
