@@ -251,3 +251,15 @@ def test_connected_components(spark, seed):
 def test_connected_components_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long")
     assert {r["component"] for r in graph.connected_components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("tiles", [1, 4])
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_component_links_connect_like_all_pairs(spark, monkeypatch, tiles, threshold):
+    monkeypatch.setattr(facegraph, "tile_count", lambda df: tiles)
+    df = features(spark, range(140), unit(np.random.default_rng(9), 140))
+    pairs = facegraph.similarity_join(df, threshold)
+    expected = rows(graph.connected_components(pairs, "feature_id", "matching_feature_id"))
+    links = facegraph.component_links(facegraph.vector_groups(df), threshold)
+    assert links.count() <= 140 * tiles * (tiles + 1) // 2
+    assert rows(graph.connected_components(links)) == expected
