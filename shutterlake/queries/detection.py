@@ -101,7 +101,7 @@ def crop_box(lib: Library):
 
 
 @query("""
-    SELECT image_id, box_id, 0.0 AS a, round(-1.0 / box_id, 6) AS b,
+    SELECT image_id, box_id, CAST(0 AS DOUBLE) AS a, round(-1.0 / box_id, 6) AS b,
       round(-1.0 * width / box_id, 6) AS tx, round(1.0 * width / box_id, 6) AS ty FROM box""")
 def alignment_transform(lib: Library):
     """Undoes a quarter turn, a scale and a shift that were applied to the aligned points."""

@@ -67,7 +67,7 @@ EXPOSURE = {
       CAST(p_size * 60 AS DOUBLE) AS width, CAST(p_size * 40 AS DOUBLE) AS height,
       p_type AS headline,
       CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '|') ELSE p_name END AS keywords,
-      CASE WHEN p_size % 7 <> 0 THEN p_size * 1.5 END AS latitude,
+      CASE WHEN p_size % 7 <> 0 THEN CAST(p_size * 1.5 AS DOUBLE) END AS latitude,
       CASE WHEN p_size % 7 <> 0 THEN 'POINT(-' || p_size || '.25 ' ||
         CASE WHEN p_size % 2 = 0 THEN CAST(p_size * 3 // 2 AS VARCHAR) ELSE CAST(p_size * 3 // 2 AS VARCHAR) || '.5' END || ')' END AS wkt
     FROM part""")
