@@ -93,3 +93,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_contamination(documents, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query()
+def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.licences import licence_report, scan_licences
+
+    return licence_report(scan_licences(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.pii import digest_columns, find_pii
+
+    return digest_columns(find_pii(table(spark, sf_dir, "documents")))
