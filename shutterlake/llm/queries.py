@@ -107,3 +107,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.pii import digest_columns, find_pii
 
     return digest_columns(find_pii(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.secrets import digest_columns, find_secrets, learn_formats
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_columns(find_secrets(documents, formats=learn_formats(documents)))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.toxicity import held_out, score_texts, train
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(documents, table(spark, sf_dir, "labels"))
+    return score_texts(documents, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
