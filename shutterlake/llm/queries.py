@@ -125,3 +125,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(documents, table(spark, sf_dir, "labels"))
     return score_texts(documents, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.nearest import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
