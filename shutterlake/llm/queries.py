@@ -139,3 +139,24 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+        FROM d, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+    size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    link AS (SELECT x, y FROM inter JOIN size AS p ON p.doc_id = x JOIN size AS q ON q.doc_id = y
+        WHERE 100 * c >= 90 * (p.n + q.n - c)),
+    way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach AS (WITH RECURSIVE t(a, b) AS (SELECT x, y FROM way UNION SELECT t.a, way.y FROM t JOIN way ON t.b = way.x)
+        SELECT a, min(b) AS low FROM t GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+    FROM d LEFT JOIN size USING (doc_id) LEFT JOIN reach ON a = doc_id""")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
