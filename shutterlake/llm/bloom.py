@@ -12,36 +12,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23
+BITS = 1 << 23  # 1 MB; a power of two
 PROBES = 4
 
 
 class Bloom:
     def __init__(self, words: np.ndarray):
-        self.words = words  # uint64, BITS / 64 of them
+        self.words = words  # uint64
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         """For each 64-bit hash, whether it may have been put in."""
         found = np.ones(len(hashes), dtype=bool)
-        for position in _positions(hashes):
+        for position in _positions(hashes, 64 * len(self.words)):
             bit = self.words[position >> np.uint64(6)] >> (position & np.uint64(63))
             found &= (bit & np.uint64(1)).astype(bool)
         return found
 
 
-def _positions(hashes: np.ndarray) -> list[np.ndarray]:
+def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return [(hashes + np.uint64(i) * step) & np.uint64(BITS - 1) for i in range(PROBES)]
+    return [(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)]
 
 
-def build_bloom(hashes: DataFrame) -> Bloom:
+def build_bloom(hashes: DataFrame, bits: int = BITS) -> Bloom:
     """Of a table with one long column; each task sends at most one row per filter word."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(BITS // 64, dtype=np.uint64)
+        words = np.zeros(bits // 64, dtype=np.uint64)
         for batch in batches:
             values = np.asarray(batch.column(0).drop_null()).astype(np.int64).view(np.uint64)
-            for position in _positions(values):
+            for position in _positions(values, bits):
                 np.bitwise_or.at(words, (position >> np.uint64(6)).astype(np.int64),
                                  np.uint64(1) << (position & np.uint64(63)))
         used = np.flatnonzero(words)
@@ -49,7 +49,7 @@ def build_bloom(hashes: DataFrame) -> Bloom:
             [pa.array(used.astype(np.int64)), pa.array(words[used].view(np.int64))], names=["at", "bits"])
 
     parts = hashes.mapInArrow(fill, "at long, bits long")
-    words = np.zeros(BITS // 64, dtype=np.uint64)
+    words = np.zeros(bits // 64, dtype=np.uint64)
     merged = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     words[merged["at"].to_numpy(dtype=np.int64)] = merged["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return Bloom(words)

@@ -160,3 +160,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
