@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from shutterlake.llm.bloom import build_bloom
-from shutterlake.llm.common import byte_texts
+from shutterlake.llm.common import byte_texts, fresh_prefix
 from shutterlake.llm.shingles import PigeonholeKeys, WordHashes, set_hash, shingle_set
 from shutterlake.operators.graph import connected_components
 from shutterlake.session import cut_lineage
@@ -292,3 +293,42 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     return sized.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one_per_component(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                           text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose id is the smallest of its component, with all their columns.
+
+    Rows that repeat an id are one document, which stays if one of its texts has the id as component, by
+    the row with the smallest text. Rows without an id stay. Only rows that a Bloom filter takes for
+    dropped or repeated ones are shuffled.
+    """
+    found = cut_lineage(near_duplicates(documents, width, percent, id_col, text_col))
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    doubtful = cut_lineage(ids.filter("n > 1 OR NOT stays"))
+    bloom = documents.sparkSession.sparkContext.broadcast(build_bloom(doubtful.select(F.xxhash64("doc_id"))))
+    prefix = fresh_prefix(documents)
+    probe, hit = f"{prefix}probe", f"{prefix}hit"
+    key = F.col(id_col).cast("long")
+    probed = documents.withColumn(probe, F.when(key.isNotNull(), F.xxhash64(key)))
+    at = len(documents.columns)
+    schema = StructType([*documents.schema.fields, StructField(hit, BooleanType())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.asarray(batch.column(at).is_valid())
+            values = np.asarray(batch.column(at).fill_null(0)).astype(np.int64).view(np.uint64)
+            held = bloom.value.holds(values) & known
+            yield batch.set_column(at, hit, pa.array(held))
+
+    judged = probed.mapInArrow(judge, schema)
+    sure = judged.filter(~F.col(hit)).drop(hit)
+    doubt = judged.filter(F.col(hit)).drop(hit).withColumn(probe, key)
+    info = doubtful.select(F.col("doc_id").alias(probe), F.col("n").alias(f"{prefix}n"), F.col("stays").alias(f"{prefix}stays"))
+    resolved = doubt.join(info, probe, "left").filter(F.coalesce(f"{prefix}stays", F.lit(True)))
+    single = resolved.filter(F.coalesce(f"{prefix}n", F.lit(1)) == 1)
+    first = Window.partitionBy(probe).orderBy(F.col(text_col).asc_nulls_last())
+    repeated = resolved.filter(F.col(f"{prefix}n") > 1).withColumn(hit, F.row_number().over(first)).filter(F.col(hit) == 1)
+    columns = documents.columns
+    return sure.select(*columns).unionByName(single.select(*columns)).unionByName(repeated.select(*columns))
