@@ -122,9 +122,10 @@ def test_toxicity_odd_rows(spark, odd, nothing):
 
 
 def test_toxicity_slices_agree(spark):
-    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
-    whole, cut = train(documents, labels), train(documents, labels, slice_entries=5)
+    sf = SF_DIR.replace("sf0.001", "sf0.01")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole, cut = train(documents, labels), train(documents, labels, slice_entries=15)
     assert cut.slices > 1
     one = {r["doc_id"]: r["score"] for r in score_texts(documents, whole).collect()}
     other = {r["doc_id"]: r["score"] for r in score_texts(documents, cut).collect()}
@@ -176,9 +177,9 @@ def test_nearest_recall_and_scores(spark):
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
-    rows += [(100 + i, [1.0, 0, 0, 0, 0]) for i in range(30)]  # copies
-    rows += [(200, None), (201, [0.0] * 5), (202, [1.0, None, 0, 0, 0]), (203, [float("nan")] * 5),
-             (204, [float("inf"), 0, 0, 0, 0]), (205, [1.0, 2.0]), (None, [1.0, 0, 0, 0, 0]), (100, [1.0, 0, 0, 0, 0])]
+    rows += [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)]  # copies
+    rows += [(200, None), (201, [0.0] * 5), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [float("nan")] * 5),
+             (204, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (205, [1.0, 2.0]), (None, [1.0, 0.0, 0.0, 0.0, 0.0]), (100, [1.0, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     out = nearest_neighbours(df, F.col("vec_id") % 20 == 0, bits=16).collect()
     assert {r["query_id"] for r in out} == {0, 20, 40, 100, 120}
