@@ -76,6 +76,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def matrix(column) -> np.ndarray:
     """A column of equally long lists as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 

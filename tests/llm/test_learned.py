@@ -256,5 +256,5 @@ def test_packing_keeps_all_words_without_conflicts(spark, nothing):
 def test_packing_odd_rows(spark, odd):
     df = odd.withColumn("source", F.lit(None).cast("string")).withColumn("piece", F.lit("x"))
     rows = pack_documents(df, capacity=1000).collect()
-    assert sum(r["n_words"] for r in rows) == sum(len((t or "").split()) for t in [r["text"] for r in df.collect()])
-    assert sum(r["bin_id"] is None for r in rows) == sum(not (r["text"] or "").split() for r in df.collect())
+    assert sum(r["n_words"] for r in rows) == sum(len((t or "").encode().split()) for t in [r["text"] for r in df.collect()])
+    assert sum(r["bin_id"] is None for r in rows) == sum(not (r["text"] or "").encode().split() for r in df.collect())
