@@ -120,23 +120,24 @@ def admin_counts(access: DataFrame, components: DataFrame,
 
 
 def last_admin_violations(changes: DataFrame, access: DataFrame) -> DataFrame:
-    """Changes (user_id, component_id, level) that leave a component without an admin.
+    """Changes (user_id, component_id, level) that must be refused, or a component has no admin left.
 
-    Level null means removal. The admins other than the changed user are the component's admins
-    minus the user's own rows, so two aggregates and two joins answer for all changes at once.
+    Level null means removal. The batch is applied in the order of user ids: where it lowers every
+    admin of a component, the one with the highest id stays. Users raised in the same batch do not
+    count yet. Lowering anyone in a component that has no admin is refused too. Aggregates and
+    equi-joins only, so a component of any size is split over tasks.
     """
-    admins = access.filter(F.col("level") >= ADMIN_LEVEL)
+    admins = access.filter(F.col("level") >= ADMIN_LEVEL).select("component_id", "user_id").distinct()
     total = admins.groupBy("component_id").agg(F.count("*").alias("_all"))
-    own = admins.groupBy("component_id", "user_id").agg(F.count("*").alias("_own"))
     lowered = changes.filter(F.coalesce("level", F.lit(0)) < ADMIN_LEVEL)
-    left = (
-        lowered.join(total, "component_id", "left")
-        .join(own, ["component_id", "user_id"], "left")
-        .withColumn(
-            "admins_left", F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))
-        )
+    hit = (
+        lowered.select("component_id", "user_id").distinct()
+        .join(admins, ["component_id", "user_id"], "left_semi")
+        .groupBy("component_id").agg(F.count("*").alias("_lowered"), F.max("user_id").alias("_last"))
     )
-    return left.filter("admins_left = 0").select("user_id", "component_id", "level")
+    judged = lowered.join(total, "component_id", "left").join(hit, "component_id", "left")
+    refused = F.col("_all").isNull() | ((F.col("_lowered") == F.col("_all")) & (F.col("user_id") == F.col("_last")))
+    return judged.filter(refused).select("user_id", "component_id", "level")
 
 
 def group_write_decision(requests: DataFrame, access: DataFrame, components: DataFrame,
@@ -159,8 +160,8 @@ def group_write_decision(requests: DataFrame, access: DataFrame, components: Dat
     reason = (
         F.when(F.coalesce("_level", F.lit(0)) >= ADMIN_LEVEL, F.lit(None))
         .when(F.col("group_id").isNull(), F.lit(None))
-        .when(F.col("_member").isNull(), "User is not a member of the specified group")
-        .when(F.col("read_only"), "Read-only access — modifications are not allowed")
+        .when(F.col("_member").isNull(), "not_member")
+        .when(F.col("read_only"), "read_only")
     )
     return (
         requests.join(admins, "user_id", "left")

@@ -28,9 +28,9 @@ def activity_merge(lib: Library):
     return access.activity_merge(_activity(lib), delta)
 
 
-@query("SELECT user_id, hour, minute, count FROM activity ORDER BY user_id, hour, minute LIMIT 200")
+@query("SELECT user_id, hour, minute, count FROM activity")
 def activity_of_user(lib: Library):
-    return access.activity_of_user(_activity(lib)).orderBy("user_id", "hour", "minute").limit(200)
+    return access.activity_of_user(_activity(lib))
 
 
 @query("""
@@ -108,10 +108,11 @@ GRANTS = {
 }
 
 
-@query("""SELECT g.user_id, g.component_id, g.level - 1 AS level FROM granted g WHERE g.level - 1 < 5 AND NOT EXISTS (
-          SELECT 1 FROM granted o WHERE o.component_id = g.component_id AND o.level >= 5 AND o.user_id <> g.user_id)""", GRANTS)
+@query("""SELECT g.user_id, g.component_id, g.level - 1 AS level FROM granted g
+          LEFT JOIN (SELECT component_id, max(user_id) AS last FROM granted WHERE level >= 5 GROUP BY ALL) a USING (component_id)
+          WHERE last IS NULL OR g.user_id = last""", GRANTS)
 def last_admin_violations(lib: Library):
-    """Everyone one level down, over many small components."""
+    """Everyone one level down, over many small components, so that all admins of each are lowered together."""
     granted = lib.raw("customer").select(
         F.col("c_custkey").alias("id"), F.col("c_custkey").alias("user_id"),
         (F.col("c_nationkey") * 100 + F.floor(F.col("c_custkey") / 200)).cast("bigint").alias("component_id"),
@@ -123,8 +124,8 @@ def last_admin_violations(lib: Library):
     SELECT o_orderkey AS id, o_custkey AS user_id, r.group_id, r.read_only, reason IS NULL AS allowed, reason FROM (
       SELECT o_orderkey, o_custkey, o_orderkey % 25 AS group_id, o_orderstatus = 'P' AS read_only,
         CASE WHEN EXISTS (SELECT 1 FROM user_access a JOIN component k ON k.id = a.component_id WHERE k.key = 'MACHINERY' AND a.user_id = o_custkey AND a.level >= 5) THEN NULL
-             WHEN NOT EXISTS (SELECT 1 FROM user_group_user g WHERE g.user_id = o_custkey AND g.user_group_id = o_orderkey % 25) THEN 'User is not a member of the specified group'
-             WHEN o_orderstatus = 'P' THEN 'Read-only access — modifications are not allowed' END AS reason
+             WHEN NOT EXISTS (SELECT 1 FROM user_group_user g WHERE g.user_id = o_custkey AND g.user_group_id = o_orderkey % 25) THEN 'not_member'
+             WHEN o_orderstatus = 'P' THEN 'read_only' END AS reason
       FROM orders) r""")
 def group_write_decision(lib: Library):
     requests = lib.raw("orders").select(
