@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import contains_ignore_case
+from shutterlake.operators.graph import MAX_ROUNDS
 from shutterlake.operators.keyed import assign_ids, cascade_delete, new_rows, page
+from shutterlake.session import cut_lineage
 
 RATING_RANGE = (1, 5)
 
@@ -67,16 +69,30 @@ def people_page(names: DataFrame, links: DataFrame, features: DataFrame, q: str
                           names, links, features)
 
 
+def final_targets(merges: DataFrame) -> DataFrame:
+    """(source_id, target_id) with every chain followed to its end, by pointer doubling."""
+    move = cut_lineage(merges.filter("source_id <> target_id").groupBy("source_id").agg(
+        F.min("target_id").alias("target_id")
+    ))
+    for _ in range(MAX_ROUNDS):
+        onward = move.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("_next"))
+        if move.join(onward, "target_id", "left_semi").isEmpty():
+            return move
+        move = cut_lineage(move.join(onward, "target_id", "left").select(
+            "source_id", F.coalesce("_next", "target_id").alias("target_id")))
+        if not move.filter("source_id = target_id").isEmpty():
+            break
+    raise ValueError("the merges form a cycle")
+
+
 def merge_people(t: dict[str, DataFrame], merges: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, report): ``merges(source_id, target_id)`` folds each source into its target.
 
     Faces move unless the target has them (the oldest link wins among several sources), names move
-    as not preferred, contacts and addresses go with the source. A person cannot be a source twice,
-    nor source and target in one batch.
+    as not preferred, contacts and addresses go with the source. A target that is a source itself
+    passes on to its own target; a cycle is an error. The lowest target of a repeated source counts.
     """
-    move = merges.filter("source_id <> target_id").groupBy("source_id").agg(
-        F.min("target_id").alias("target_id")
-    )
+    move = final_targets(merges)
     by_person = move.select(F.col("source_id").alias("person_id"), "target_id")
     links = t["person_feature"]
     tagged = links.join(by_person, "person_id", "left")

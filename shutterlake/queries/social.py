@@ -19,18 +19,25 @@ SUMMARY = {
 
 
 MERGES = {
-    "merge_pair": """SELECT c_custkey AS source_id, target_id FROM customer
-        JOIN (SELECT c_nationkey, min(c_custkey) AS target_id FROM customer WHERE c_acctbal >= 2000 GROUP BY ALL) USING (c_nationkey)
-        WHERE c_acctbal < 2000""",
+    "nation_target": "SELECT c_nationkey, min(c_custkey) AS target_id FROM customer WHERE c_acctbal >= 2000 GROUP BY ALL",
+    "merge_pair": """SELECT c_custkey AS source_id,
+          CASE WHEN c_nationkey <= 12 THEN (SELECT min(target_id) FROM nation_target) ELSE target_id END AS target_id
+        FROM customer JOIN nation_target USING (c_nationkey) WHERE c_acctbal < 2000
+        UNION ALL SELECT target_id, (SELECT min(target_id) FROM nation_target) FROM nation_target
+        WHERE c_nationkey <= 12 AND target_id <> (SELECT min(target_id) FROM nation_target)""",
 }
 
 
 def _merges(lib: Library):
-    """Persons with a low balance fold into the first of their nation with a higher one."""
+    """Persons with a low balance fold into the first of their nation with a higher one, and half of those
+    into the first of all: chains of two."""
     customer = lib.raw("customer")
     targets = customer.filter("c_acctbal >= 2000").groupBy("c_nationkey").agg(F.min("c_custkey").alias("target_id"))
-    return customer.filter("c_acctbal < 2000").join(targets, "c_nationkey").select(
+    low = customer.filter("c_acctbal < 2000").join(targets, "c_nationkey").select(
         F.col("c_custkey").alias("source_id"), "target_id")
+    first = targets.agg(F.min("target_id")).scalar()
+    return low.unionByName(targets.filter("c_nationkey <= 12").select(
+        F.col("target_id").alias("source_id"), first.alias("target_id")))
 
 
 @query("""SELECT DISTINCT person_id FROM person_name WHERE name ILIKE '%build%'""")
