@@ -153,11 +153,10 @@ def features_of_item(lib: Library):
             CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, value AS longitude
           FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
 def gps_items(lib: Library):
+    info = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("value").alias("v")))
     items = lib.raw("events").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.lit("image").alias("type"),
-        F.col("props").alias("info"), "value")
-    found = browse.gps_items(items.drop("value"), latitude="$.k", longitude="$.k")
-    return found.drop("longitude").join(items.select("id", F.col("value").alias("longitude")), "id")
+        F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.lit("image").alias("type"), info.alias("info"))
+    return browse.gps_items(items, latitude="$.k", longitude="$.v")
 
 
 @query("""
@@ -165,13 +164,12 @@ def gps_items(lib: Library):
       CASE WHEN count(*) >= 100 THEN 'large' WHEN count(*) >= 10 THEN 'medium' ELSE 'small' END AS size_class
     FROM (SELECT lat, lon, CAST(floor((lon + 180) / 360 * 4096 / 50) AS BIGINT) AS cell_x,
         CAST(floor((0.5 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / (2 * pi())) * 4096 / 50) AS BIGINT) AS cell_y
-      FROM (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) * 0.8 AS lat, value AS lon FROM events
-            WHERE value < 180))
+      FROM (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) * 0.8 AS lat, value % 360 - 180 AS lon FROM events))
     GROUP BY ALL""")
 def map_clusters(lib: Library):
-    points = lib.raw("events").filter("value < 180").select(
+    points = lib.raw("events").select(
         (F.get_json_object("props", "$.k").cast("double") * 0.8).alias("latitude"),
-        F.col("value").alias("longitude"))
+        (F.col("value") % 360 - 180).alias("longitude"))
     return browse.map_clusters(points, zoom=4).select(
         "cell_x", "cell_y", "items", F.round("latitude", 6).alias("latitude"), "west", "east", "size_class")
 

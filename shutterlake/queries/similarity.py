@@ -40,12 +40,12 @@ def _pairs(threshold: float) -> dict[str, str]:
 
 
 def pixel_images(lib: Library):
-    """Grey images made of the whole text of each document, 32 pixels wide."""
-    data = F.encode("text", "UTF-8")
-    height = F.floor(F.octet_length("text") / 32).cast("int")
+    """Grey images made of the whole text of each document, 32 pixels wide; the last row is filled up with black."""
+    height = F.greatest(F.ceil(F.octet_length("text") / 32).cast("int"), F.lit(1))
+    data = F.rpad(F.encode("text", "UTF-8"), height * 32, F.lit(b"\0"))
     return lib.raw("documents").select(
         F.col("doc_id").alias("id"), F.lit(32).alias("width"), height.alias("height"),
-        F.lit(1).alias("channels"), data.alias("data")).filter("height > 0")
+        F.lit(1).alias("channels"), data.alias("data"))
 
 
 @query()
