@@ -87,14 +87,18 @@ def reachable(edges: DataFrame, sources: DataFrame, depth: int = 10, src: str =
     start = sources.select(F.col("id").alias("source")).distinct()
     visited = start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"))
     frontier = visited
+    before = visited.filter("false")
     for hop in range(1, depth + 1):
         step = (
             frontier.select("source", "node")
             .join(links, "node")
             .select("source", F.col("neighbour").alias("node"))
             .distinct()
-            .join(visited.select("source", "node"), ["source", "node"], "left_anti")
+            # links go both ways: a step leads at most one level back
+            .join(before.select("source", "node"), ["source", "node"], "left_anti")
+            .join(frontier.select("source", "node"), ["source", "node"], "left_anti")
         )
+        before = frontier
         frontier = cut_lineage(step.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break

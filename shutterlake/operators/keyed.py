@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.schema import DELETE_RULES
+from shutterlake.session import cut_lineage
 
 ID_BUCKETS_HEX = 3  # 16**3 = 4096 numbering buckets
 
@@ -151,7 +152,8 @@ def find_or_create(dim: DataFrame, wanted: DataFrame, keys: list[str],
 def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
     """Removes ids (column ``id``) from ``table`` and applies the delete rules below it.
 
-    Tables not present in ``tables`` are skipped. Every level is one anti-join per child column.
+    Tables not present in ``tables`` are skipped. Every level is one anti-join per child column; the
+    ids of a child are only gathered, and written once, where it has children of its own.
     """
     out = dict(tables)
     doomed = ids.select("id").distinct()
@@ -170,8 +172,8 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
                 .drop("_gone")
                 .select(*rows.columns)
             )
-        elif "id" in rows.columns:
-            gone = rows.join(keys, column, "left_semi").select("id")
+        elif any(above == child and below in out for below, _, above, _ in DELETE_RULES):
+            gone = cut_lineage(rows.join(keys, column, "left_semi").select("id"))
             out = cascade_delete(out, child, gone)
         else:
             out[child] = rows.join(keys, column, "left_anti")
