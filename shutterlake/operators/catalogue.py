@@ -94,9 +94,12 @@ def build_item_info(metadata: DataFrame) -> DataFrame:
 
 
 def link_item_files(links: DataFrame, grouped_files: DataFrame) -> DataFrame:
-    """The link table plus one row per file of each item (media_item_id, file_id, is_primary)."""
+    """The link table plus one row per file of each item (media_item_id, file_id, is_primary).
+
+    A link that exists takes over whether its file is the primary.
+    """
     wanted = grouped_files.select("media_item_id", "file_id", "is_primary")
-    return upsert(links, wanted, ["media_item_id", "file_id"], mode="ignore")
+    return upsert(links, wanted, ["media_item_id", "file_id"])
 
 
 def folder_paths(directories: DataFrame, root: str | None = None) -> DataFrame:
@@ -107,7 +110,7 @@ def folder_paths(directories: DataFrame, root: str | None = None) -> DataFrame:
     distinct = directories.select("dir").distinct()
     if root is not None:
         top = root.rstrip("/").rsplit("/", 1)[-1]
-        relative = F.regexp_replace(F.substring("dir", len(root.rstrip("/")) + 1, 1_000_000), "^/", "")
+        relative = F.regexp_replace(F.expr(f"substring(dir, {len(root.rstrip('/')) + 1})"), "^/", "")
         distinct = distinct.select(
             F.concat_ws("/", F.lit(top), F.when(relative != "", relative)).alias("dir")
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.files import file_class
 from shutterlake.operators import catalogue, keyed
+from shutterlake.schema import DELETE_RULES
 from shutterlake.session import cut_lineage
 from shutterlake.sources.tables import TableStore
 
@@ -16,7 +17,9 @@ def index_listing(store: TableStore, listing: DataFrame, root: str, host_id: int
     """Registers a scan (dir, name, extension, size, hash) and writes the tables it changes.
 
     Known files get their new size and hash, groups of known files refresh their item, the rest
-    become new items. ``metadata`` (dir, name, extension and the columns of ``metadata_by_type``)
+    become new items. A scan may hold part of a group only: files of the same group that are known
+    already take part in the choice of the primary, so ingest in pieces ends like ingest at once.
+    ``metadata`` (dir, name, extension and the columns of ``metadata_by_type``)
     supplies dates and info, ``hashes`` (dir, name, extension, phash) perceptual hashes of primary
     files. Returns the versions written. Running it twice on one scan changes nothing.
     """
@@ -27,13 +30,14 @@ def index_listing(store: TableStore, listing: DataFrame, root: str, host_id: int
     written["file"] = store.write("file", catalogue.register_files(store.read("file"), scan, paths))
     files = store.read("file")
 
-    ids = files.select(F.col("id").alias("file_id"), "name", "extension", "path_id").join(
-        paths.select(F.col("id").alias("path_id"), "dir"), "path_id"
-    )
-    grouped = cut_lineage(
-        catalogue.pick_primary(scan).join(ids, ["dir", "name", "extension"])
-        .select("dir", "base_name", "name", "extension", "file_id", "is_primary")
+    known = files.join(paths.select(F.col("id").alias("path_id"), "dir"), "path_id")
+    touched = catalogue.group_files(scan).select("dir", "base_name").distinct()
+    whole = cut_lineage(
+        catalogue.group_files(known).join(touched, ["dir", "base_name"], "left_semi")
+        .select(F.col("id").alias("file_id"), "dir", "name", "extension", "size", "hash")
     )
+    grouped = cut_lineage(catalogue.pick_primary(whole).select(
+        "dir", "base_name", "name", "extension", "file_id", "is_primary"))
     links = store.read("media_item_file")
     items = store.read("media_item")
     owners = catalogue.split_new_existing(grouped, links)
@@ -109,9 +113,10 @@ def remove_orphans(store: TableStore, on_disk: DataFrame) -> dict[str, int]:
 
     Child rows go with their parents; returns how many parents of each kind were removed.
     """
-    names = ["file", "media_item", "path", "media_item_file", "folder", "folder_entry", "feature",
-             "media_item_keyword", "media_match", "person_feature", "feature_match", "user_rating"]
-    tables = {n: store.read(n) for n in names if store.version(n)}
+    names = ["file", "media_item", "path", "folder"]
+    for parent in names:  # grows while it is walked: every table that a removed row can reach
+        names += [child for child, _, above, _ in DELETE_RULES if above == parent and child not in names]
+    tables = {n: store.read(n) for n in names if store.has(n) or n in ("folder_entry", "media_item_file")}
     gone = catalogue.split_orphans(
         tables["file"], tables["path"], tables["media_item_file"], tables["media_item"], on_disk
     )

@@ -340,11 +340,11 @@ def media_file_scan(lib: Library):
 
 @query(MEDIA_BYTES)
 def incremental_ingest(lib: Library):
-    """The same tree taken in by a file stream, each batch indexed into versioned tables."""
+    """The same tree taken in by a file stream in several batches, each indexed into versioned tables."""
     root = _media_tree(lib)
     store = TableStore(lib.spark, f"{root}-tables")
     flows.stream_ingest(
-        media_file_stream(lib.spark, root),
+        media_file_stream(lib.spark, root, files_per_batch=40),
         lambda batch, _: index_listing(store, batch, root), f"{root}-checkpoint", once=True,
     ).awaitTermination()
     paths = store.read("path").select(F.col("id").alias("path_id"), "dir")
@@ -366,4 +366,4 @@ def append_log(lib: Library):
     changes = lib.change.withColumnRenamed("id", "item_id")
     store.append_log(log_rows(changes.filter("action IN ('create', 'update')").drop("user_id")))
     store.append_log(log_rows(changes.filter("action = 'delete'")))
-    return store.read_log().select("item_id", "user_id", "action")
+    return read_stored(lib.spark, store.root, "media_log").select("item_id", "user_id", "action")

@@ -60,12 +60,17 @@ def stream_progress(lib: Library):
     WHERE feature_id IN (SELECT id FROM feature WHERE label IN ('7', '8', '9'))
       OR matching_feature_id IN (SELECT id FROM feature WHERE label IN ('7', '8', '9'))""", _pairs(PAIRS))
 def stream_match(lib: Library):
-    """Faces of three labels arrive, the others are the pool."""
+    """Faces of three labels arrive in several batches, the others are catalogued."""
     out, checkpoint = _folders(lib, "match")
-    arrivals = _stream(lib, "embeddings").filter("label IN (7, 8, 9)").select(F.col("vec_id").alias("id"), "embedding")
-    pool = lib.feature.filter("label NOT IN ('7', '8', '9')").select("id", "embedding")
+    faces = lib.raw("embeddings").filter("label IN (7, 8, 9)").select(
+        F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 3).alias("part"))
+    faces.repartition(3, "part").drop("part").write.parquet(f"{out}-in")
+    arrivals = (lib.spark.readStream.schema("id BIGINT, embedding ARRAY<FLOAT>")
+                .option("maxFilesPerTrigger", 1).parquet(f"{out}-in"))
+    catalogued = lib.feature.filter("label NOT IN ('7', '8', '9')").select("id", "embedding")
     flows.stream_match(
-        arrivals, lambda batch, _: face_pairs_for_batch(batch, pool, PAIRS), out, checkpoint, once=True
+        arrivals, lambda batch, known: face_pairs_for_batch(batch, known, PAIRS), out, f"{out}-pool",
+        checkpoint, once=True, catalogued=catalogued,
     ).awaitTermination()
     return lib.spark.read.parquet(out).select(
         "feature_id", "matching_feature_id", F.round("similarity", 6).alias("similarity"))

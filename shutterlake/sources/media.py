@@ -72,11 +72,9 @@ def image_pixels(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def media_file_stream(spark: SparkSession, directory: str) -> DataFrame:
+def media_file_stream(spark: SparkSession, directory: str, files_per_batch: int | None = None) -> DataFrame:
     """Newly arriving files; the query's checkpoint remembers what it has seen."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_STREAM_SCHEMA)
-        .option("recursiveFileLookup", True)
-        .load(directory)
-    )
+    reader = spark.readStream.format("binaryFile").schema(BINARY_STREAM_SCHEMA).option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(directory)

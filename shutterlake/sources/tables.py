@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import iso_timestamp
 from shutterlake.schema import table_schema
 
+LOG = "media_log"
+
 
 class TableStore:
     """Tables under one root; every write of a table makes a new version folder.
@@ -15,25 +19,37 @@ class TableStore:
     Parquet has no merge and a job cannot overwrite the folder it reads, so a new state goes to
     ``root/name/v=<n>`` and readers take the highest version that has a ``_SUCCESS`` mark. A writer
     that dies half-way leaves a version no reader looks at.
+
+    Audit rows are appended beside the versions of ``media_log`` without rewriting it: batches go to
+    ``media_log/after=<version>`` and are part of the table until a later version, which holds them
+    already, replaces it. One writer at a time makes versions of a table.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _finished(self, folder: str, prefix: str) -> list[str]:
+        """What follows ``prefix`` in the names of the finished folders inside ``folder``."""
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
             return []
         found = []
-        for status in fs.listStatus(folder):
+        for status in fs.listStatus(path):
             text = status.getPath().getName()
             done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if text.startswith("v=") and fs.exists(done):
-                found.append(int(text[2:]))
-        return sorted(found)
+            if text.startswith(prefix) and fs.exists(done):
+                found.append(text[len(prefix):])
+        return found
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(n) for n in self._finished(name, "v="))
+
+    def has(self, name: str) -> bool:
+        """Whether anything was written to the table."""
+        return bool(self.version(name) or name == LOG and self._finished(f"{LOG}/after=0", "batch="))
 
     def version(self, name: str) -> int:
         return max(self._versions(name), default=0)
@@ -42,9 +58,13 @@ class TableStore:
         """The newest (or a given) version; an empty table when nothing was written yet."""
         schema = table_schema(name)
         number = version or self.version(name)
-        if not number:
+        folders = [f"{self.root}/{name}/v={number}"] if number else []
+        if name == LOG and version is None:
+            after = f"{LOG}/after={number}"
+            folders += [f"{self.root}/{after}/batch={b}" for b in self._finished(after, "batch=")]
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={number}")
+        return self.spark.read.schema(schema).parquet(*folders)
 
     def write(self, name: str, df: DataFrame) -> int:
         schema = table_schema(name)
@@ -60,12 +80,21 @@ class TableStore:
         shaped.write.mode("overwrite").parquet(f"{self.root}/{name}/v={number}")
         return number
 
-    def append_log(self, rows: DataFrame) -> None:
-        """Adds audit rows to the media log; never rewrites it."""
-        rows.write.mode("append").parquet(f"{self.root}/media_log_appended")
-
-    def read_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/media_log_appended")
+    def append_log(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Adds audit rows to the media log; never rewrites it.
+
+        A named batch is written once: a replay overwrites it, or does nothing when a version of the
+        table holds it already.
+        """
+        name = batch or uuid.uuid4().hex
+        current = self.version(LOG)
+        if any(name in self._finished(f"{LOG}/after={v}", "batch=") for v in range(current)):
+            return
+        shaped = rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in table_schema(LOG)
+        ])
+        shaped.write.mode("overwrite").parquet(f"{self.root}/{LOG}/after={current}/batch={name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

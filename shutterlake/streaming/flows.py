@@ -7,23 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shutterlake.operators.stats import change_message
 from shutterlake.sources.media import describe_files
 from shutterlake.sources.tables import TableStore, log_rows
 
-WATERMARK = "10 minutes"
 FLUSH_EVERY = "2 minutes"
 
 
-def minute_windows(events: DataFrame, ts: str = "ts", user: str = "user_id",
-                   watermark: str = WATERMARK) -> DataFrame:
-    """(user_id, window_start, count) per minute. The event time must be a TIMESTAMP."""
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    counted = timed.groupBy(F.window(ts, "1 minute"), F.col(user).alias("user_id")).agg(
+def minute_windows(events: DataFrame, ts: str = "ts", user: str = "user_id") -> DataFrame:
+    """(user_id, window_start, count) per minute."""
+    minute = F.date_trunc("minute", F.col(ts).cast("timestamp"))
+    return events.groupBy(F.col(user).alias("user_id"), minute.alias("window_start")).agg(
         F.count("*").alias("count")
     )
-    return counted.select("user_id", F.col("window.start").alias("window_start"), "count")
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
@@ -47,12 +45,13 @@ def _keep_batch(out: str) -> Callable[[DataFrame, int], None]:
 
 
 def stream_activity(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Per-minute counters, flushed every two minutes; each flush holds the windows it changed.
+    """Per-minute counters, flushed every two minutes; each flush holds what its own events add.
 
-    A window's newest value replaces older ones (``stream_activity_state``): counts are never added
-    to what a replayed batch may already have written.
+    The stream keeps no state and has no watermark, so an event counts however late it comes, and a
+    replayed batch overwrites its own folder. ``stream_activity_state`` adds the flushes up.
     """
-    return _start(minute_windows(events), _keep_batch(out), checkpoint, "update", once, FLUSH_EVERY)
+    keep = _keep_batch(out)
+    return _start(events, lambda batch, n: keep(minute_windows(batch), n), checkpoint, "append", once, FLUSH_EVERY)
 
 
 def latest_per_window(flushed: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,15 +63,14 @@ def latest_per_window(flushed: DataFrame, keys: list[str]) -> DataFrame:
 
 def stream_activity_state(flushed: DataFrame) -> DataFrame:
     """(user_id, hour, minute, count) from the flushed windows."""
-    current = latest_per_window(flushed, ["user_id", "window_start"])
-    return current.groupBy(
+    return flushed.groupBy(
         "user_id", F.hour("window_start").alias("hour"), F.minute("window_start").alias("minute")
     ).agg(F.sum("count").alias("count"))
 
 
 def stream_changes(changes: DataFrame, out: str, checkpoint: str, once: bool = False,
-                   log: TableStore | None = None) -> StreamingQuery:
-    """Change feed as messages; media changes also go to the audit log.
+                   log: TableStore | None = None, stream_name: str = "changes") -> StreamingQuery:
+    """Change feed as messages; media changes also go to the audit log, in batches named after the stream.
 
     ``changes`` has action, source, id, user_id, phase, processed, total, ts.
     """
@@ -88,9 +86,7 @@ def stream_changes(changes: DataFrame, out: str, checkpoint: str, once: bool = F
         if log is not None:
             media = batch.filter((F.col("source") == "mediaItem") & (F.col("action") != "progress"))
             rows = media.select(F.col("id").alias("item_id"), "action", "user_id", "ts")
-            log_rows(rows, F.col("ts")).write.mode("overwrite").parquet(
-                f"{log.root}/media_log_stream/batch={batch_id}"
-            )
+            log.append_log(log_rows(rows, F.col("ts")), f"{stream_name}-{batch_id}")
 
     return _start(changes, write, checkpoint, "append", once, "1 second")
 
@@ -110,20 +106,31 @@ def stream_ingest(files: DataFrame, apply: Callable[[DataFrame, int], None], che
                   once: bool = False) -> StreamingQuery:
     """New files -> ``apply(listing, batch_id)`` with md5 hashes, media files only.
 
-    ``apply`` writes a new table version; see ``plans.index_directory``.
+    ``apply`` writes new table versions, as ``plans.indexing.index_listing`` does.
     """
     listing = describe_files(files, media_only=True, checksum="md5")
     return _start(listing, apply, checkpoint, "append", once, "10 seconds")
 
 
-def stream_match(arrivals: DataFrame, match: Callable[[DataFrame, int], DataFrame], out: str,
-                 checkpoint: str, once: bool = False) -> StreamingQuery:
-    """New items or faces compared with everything already catalogued and with each other.
+def stream_match(arrivals: DataFrame, match: Callable[[DataFrame, DataFrame], DataFrame], out: str,
+                 pool: str, checkpoint: str, once: bool = False,
+                 catalogued: DataFrame | None = None) -> StreamingQuery:
+    """New items or faces compared with everything catalogued, with earlier arrivals and with each other.
 
-    ``match(batch, batch_id)`` returns the new match rows (see ``match_against_pool``).
+    ``match(batch, known)`` returns the new match rows (``streaming.matching``). Each batch joins the
+    folder ``pool`` and is compared with ``catalogued`` and the batches before it, so a replayed batch
+    sees and writes what it did the first time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        match(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{pool}/batch={batch_id}")
+        spark = batch.sparkSession
+        schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
+        whole = spark.read.schema(schema).parquet(pool)
+        own = whole.filter(F.col("batch") == batch_id).drop("batch")
+        known = whole.filter(F.col("batch") < batch_id).drop("batch")
+        if catalogued is not None:
+            known = catalogued.select(*known.columns).unionByName(known)
+        match(own, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(arrivals, write, checkpoint, "append", once, "10 seconds")

@@ -11,6 +11,8 @@ from shutterlake.operators.facegraph import similarity_join, similarity_search,
 def face_pairs_for_batch(batch: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
     """(feature_id, matching_feature_id, similarity) of pairs with at least one new face.
 
+    Copies are linked to their lowest id of the batch and, across, to the lowest id of the pool.
+
     ``batch`` and ``pool`` have id and embedding. Each distinct new vector is compared with each
     distinct old one (a scan of the pool, or bounded blocks for a large batch), then the batch with
     itself; copies are linked to their lowest id as in ``similarity_join``.
