@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,6 +25,12 @@ HEADLINE = [
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        run(shared)
+
+
+def run(shared: str) -> None:
+    """Times the queries; intermediate tables go to ``shared``, which is removed afterwards."""
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
@@ -31,6 +38,7 @@ def main() -> None:
         **{
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": shared,
             "spark.sql.shuffle.partitions": cpus,
             "spark.log.level": "ERROR",
         },

@@ -24,6 +24,7 @@ from shutterlake.operators.tiles import (
     self_tiles,
     tile_count,
 )
+from shutterlake.session import cut_lineage
 
 BFS_DEPTH = 10
 MAX_LITERAL_QUERIES = 1000
@@ -54,10 +55,10 @@ def vector_groups(features: DataFrame) -> DataFrame:
     )
 
 
-def vector_members(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, rep) of every feature whose vector occurs more than once."""
-    repeated = groups.filter("copies > 1").select("embedding", "rep")
-    return with_valid_embedding(features).join(repeated, "embedding").select("id", "rep")
+def vector_members(features: DataFrame) -> DataFrame:
+    """(id, rep): the lowest id with the same vector, for every feature with a valid one."""
+    groups = vector_groups(features).select("embedding", "rep")
+    return with_valid_embedding(features).join(groups, "embedding").select("id", "rep")
 
 
 def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -65,7 +66,7 @@ def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD) ->
 
     Exact. Equal vectors are folded into their lowest id first: the result has every pair of
     distinct vectors plus one link from each lowest id to each of its copies, from which all
-    matches of any feature follow (``expand_matches``). Blocks of distinct vectors are compared by
+    matches of any feature follow (``neighbours``). Blocks of distinct vectors are compared by
     matrix product; a pair below the threshold never leaves its task.
     """
     groups = vector_groups(features)
@@ -142,24 +143,6 @@ def component_links(groups: DataFrame, threshold: float) -> DataFrame:
     return self_tiles(vectors, "rep", kernel, "src BIGINT, dst BIGINT", tile_count(vectors))
 
 
-def expand_matches(pairs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every match of the wanted ids, copies spelled out: (id, other_id).
-
-    ``members(id, rep)`` names the representative of every feature.
-    """
-    own = members.select(F.col("rep").alias("node"), F.col("rep").alias("neighbour"))
-    near = undirected(pairs, "feature_id", "matching_feature_id").unionByName(own).distinct()
-    asked = members.join(wanted.select("id"), "id", "left_semi")
-    return (
-        asked.join(near, F.col("rep") == F.col("node"))
-        .select("id", F.col("neighbour").alias("rep"))
-        .join(members.withColumnRenamed("id", "other_id"), "rep")
-        .filter(F.col("id") != F.col("other_id"))
-        .select("id", "other_id")
-        .distinct()
-    )
-
-
 def similarity_search(queries: DataFrame, features: DataFrame,
                       threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(query_id, feature_id, similarity) for query vectors against the whole table.
@@ -234,30 +217,71 @@ def active_matches(matches: DataFrame) -> DataFrame:
     return matches.filter(~F.coalesce(F.col("ignore_match"), F.lit(False)))
 
 
-def neighbours(matches: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(node, neighbour) in both directions, ignored matches left out."""
-    both = undirected(active_matches(matches), "feature_id", "matching_feature_id").distinct()
-    if ids is None:
-        return both
-    return both.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+def _folded(matches: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active matches as (src, dst) between different representatives, and (id, rep) of the faces whose
+    link to an equal vector is active."""
+    ends = undirected(active_matches(matches), "feature_id", "matching_feature_id")
+    near = members.select(F.col("id").alias("node"), F.col("rep").alias("src"))
+    far = members.select(F.col("id").alias("neighbour"), F.col("rep").alias("dst"))
+    both = ends.join(near, "node").join(far, "neighbour")
+    edges = both.filter("src <> dst").select("src", "dst").distinct()
+    alike = both.filter("src = dst").select(F.col("node").alias("id"), F.col("src").alias("rep")).distinct()
+    return edges, alike
+
+
+def neighbours(matches: DataFrame, members: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(node, neighbour) of the given faces (all by default), ignored matches left out.
+
+    ``matches`` are those of ``similarity_join``, where equal vectors are folded into their lowest id;
+    ``members(id, rep)`` says how (``vector_members``). Every copy gets all the matches of its vector
+    and its other copies. The output is as large as the answer for the faces asked for.
+    """
+    edges, alike = _folded(matches, members)
+    asked = members if ids is None else members.join(ids.select("id"), "id", "left_semi")
+    other = members.select(F.col("id").alias("neighbour"), F.col("rep").alias("dst"))
+    far = (asked.select(F.col("id").alias("node"), F.col("rep").alias("src")).join(edges, "src")
+           .join(other, "dst").select("node", "neighbour"))
+    return far.unionByName(_copies(alike, asked))
+
+
+def _copies(alike: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, neighbour): the other faces with the vector of each face asked for."""
+    nodes = alike.join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("node"), "rep")
+    others = alike.select(F.col("id").alias("neighbour"), "rep")
+    return nodes.join(others, "rep").filter("node <> neighbour").select("node", "neighbour")
 
 
 def transitive_matches(matches: DataFrame, features: DataFrame, sources: DataFrame,
                        depth: int = BFS_DEPTH) -> DataFrame:
-    """(source, item_id, feature_id): items reached within ``depth`` hops, lowest feature each."""
-    found = reachable(
-        active_matches(matches), sources, depth, "feature_id", "matching_feature_id"
-    )
+    """(source, item_id, feature_id): items reached within ``depth`` hops, lowest feature each.
+
+    The search walks representatives of equal vectors only, so a link between copies costs no hop.
+    Faces given without vectors stand for themselves.
+    """
+    if "embedding" in features.columns or "info" in features.columns:
+        members = cut_lineage(vector_members(features))
+    else:
+        members = features.select("id", F.col("id").alias("rep"))
+    edges, alike = _folded(matches, members)
+    asked = members.join(sources.select("id").distinct(), "id", "left_semi")
+    starts = asked.select(F.col("rep").alias("id")).distinct()
+    reached = reachable(edges, starts, depth, "src", "dst").select(
+        F.col("source").alias("start"), F.col("node").alias("rep"))
+    far = (asked.select(F.col("id").alias("source"), F.col("rep").alias("start")).join(reached, "start")
+           .join(members.withColumnRenamed("id", "node"), "rep").select("source", "node"))
+    own = _copies(alike, asked).select(F.col("node").alias("source"), F.col("neighbour").alias("node"))
     owner = features.select(F.col("id").alias("node"), "item_id")
     return (
-        found.join(owner, "node")
+        far.unionByName(own).join(owner, "node")
         .groupBy("source", "item_id")
         .agg(F.min("node").alias("feature_id"))
     )
 
 
 def matching_faces_page(found: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    return page(found, ["source", "item_id", "feature_id"], offset, limit)
+    """One page of ``transitive_matches`` with the number of items of each source as ``total``."""
+    totals = found.groupBy("source").agg(F.count("*").alias("total"))
+    return page(found.join(totals, "source"), ["source", "item_id", "feature_id"], offset, limit)
 
 
 def apply_match_ignores(matches: DataFrame, pairs: DataFrame, ignored: bool = True) -> DataFrame:

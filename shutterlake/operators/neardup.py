@@ -116,7 +116,7 @@ def near_duplicate_join(items: DataFrame, threshold: int = DEFAULT_DISTANCE) ->
     pair of distinct hashes within ``threshold`` (between those lowest ids), plus one link from
     each lowest id to each of its copies. Two items match exactly when their representatives are
     equal or linked, so nothing is lost while a hash shared by a third of the library adds one row
-    per copy and not one per pair of copies; ``matches_of_items`` spells pairs out for given items.
+    per copy and not one per pair of copies; ``near_duplicates_of`` spells pairs out for given items.
     """
     groups = hash_groups(items)
     if threshold < BAND_BITS:

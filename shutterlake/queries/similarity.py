@@ -39,6 +39,32 @@ def _pairs(threshold: float) -> dict[str, str]:
     }
 
 
+COPIES = {
+    "face": """SELECT id, item_id, embedding, label FROM feature
+               UNION ALL SELECT id + 1000000, item_id + 1000000, embedding, label FROM feature WHERE id % 9 = 0""",
+    "face_link": f"""
+        SELECT * FROM (SELECT a.id AS a, b.id AS b, list_inner_product(a.embedding, b.embedding) AS similarity
+          FROM face a JOIN face b ON a.id <> b.id) WHERE similarity >= {EDGES}""",
+}
+WALK = {**COPIES, "walk": """SELECT min(id) AS source, min(id) AS node, 0 AS hops FROM face GROUP BY label
+                             UNION SELECT source, b, hops + 1 FROM walk JOIN face_link ON a = node WHERE hops < 10"""}
+
+
+def _with_copies(lib: Library):
+    """The faces, and a second face in another item for some."""
+    faces = lib.feature.select("id", "item_id", "embedding", "label")
+    second = faces.filter("id % 9 = 0").withColumns({
+        "id": F.col("id") + 1_000_000, "item_id": F.col("item_id") + 1_000_000})
+    return faces.unionByName(second)
+
+
+def _transitive(lib: Library):
+    """What is reached from the first face of every person."""
+    faces = _with_copies(lib)
+    first = faces.groupBy("label").agg(F.min("id").alias("id"))
+    return facegraph.transitive_matches(facegraph.similarity_join(faces, EDGES), faces, first)
+
+
 def pixel_images(lib: Library):
     """Grey images made of the whole text of each document, 32 pixels wide; the last row is filled up with black."""
     height = F.greatest(F.ceil(F.octet_length("text") / 32).cast("int"), F.lit(1))
@@ -108,11 +134,14 @@ def canonical_match_insert(lib: Library):
 
 @query("""
     SELECT item_id, other_id, hamming_distance, count(*) OVER (PARTITION BY item_id) AS total FROM (
-      SELECT media_item_id AS item_id, matching_item_id AS other_id, hamming_distance FROM hash_pair
-      UNION ALL SELECT matching_item_id, media_item_id, hamming_distance FROM hash_pair)""", HASHES)
+      SELECT a.id AS item_id, b.id AS other_id, bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS hamming_distance
+      FROM item_copy a JOIN item_copy b ON a.id <> b.id) WHERE hamming_distance <= 18""",
+       {"item_copy": "SELECT id, hash FROM hash_item UNION ALL SELECT id + 1000000, hash FROM hash_item WHERE id % 9 = 0"})
 def matches_of_item(lib: Library):
-    found = neardup.near_duplicate_join(lib.hash_item, WIDE)
-    return browse.with_total(neardup.matches_of_items(found), "item_id")
+    """Matches of every item, some of which have copies."""
+    items = lib.hash_item.select("id", "hash")
+    items = items.unionByName(items.filter("id % 9 = 0").withColumn("id", F.col("id") + 1_000_000))
+    return browse.with_total(neardup.near_duplicates_of(items, items.select("id"), WIDE), "item_id")
 
 
 # --- vectors ---
@@ -179,41 +208,29 @@ def backfill_matches(lib: Library):
 
 
 @query("""
-    SELECT feature_id AS node, matching_feature_id AS neighbour FROM face_pair WHERE similarity < 0.45
-    UNION SELECT matching_feature_id, feature_id FROM face_pair WHERE similarity < 0.45""", _pairs(EDGES))
+    SELECT a AS node, b AS neighbour FROM face_link WHERE similarity < 0.45 OR similarity > 0.9""", COPIES)
 def neighbours(lib: Library):
-    edges = facegraph.similarity_join(lib.feature, EDGES).withColumn("ignore_match", F.col("similarity") >= 0.45)
-    return facegraph.neighbours(edges)
+    """Matches of every face, some of which have copies; those of middle similarity are ignored."""
+    faces = _with_copies(lib)
+    edges = facegraph.similarity_join(faces, EDGES).withColumn("ignore_match", F.col("similarity").between(0.45, 0.9))
+    return facegraph.neighbours(edges, facegraph.vector_members(faces))
 
 
 @query("""
     SELECT w.source, f.item_id, min(f.id) AS feature_id FROM (
       SELECT source, node, min(hops) AS hops FROM walk GROUP BY ALL) w
-    JOIN feature f ON f.id = w.node WHERE w.hops > 0 GROUP BY ALL""",
-       {**_pairs(EDGES),
-        "link": "SELECT feature_id AS a, matching_feature_id AS b FROM face_pair UNION SELECT matching_feature_id, feature_id FROM face_pair",
-        "walk": """SELECT min(id) AS source, min(id) AS node, 0 AS hops FROM feature GROUP BY label
-                   UNION SELECT source, b, hops + 1 FROM walk JOIN link ON a = node WHERE hops < 10"""})
+    JOIN face f ON f.id = w.node WHERE w.node <> w.source GROUP BY ALL""", WALK)
 def transitive_matches(lib: Library):
-    """From the first face of every person."""
-    edges = facegraph.similarity_join(lib.feature, EDGES)
-    first = lib.feature.groupBy("label").agg(F.min("id").alias("id"))
-    return facegraph.transitive_matches(edges, lib.feature, first)
+    return _transitive(lib)
 
 
 @query("""
-    SELECT source, item_id, feature_id FROM (
-      SELECT a AS source, f.item_id, min(f.id) AS feature_id FROM link JOIN feature f ON f.id = b GROUP BY ALL)
-    ORDER BY source, item_id, feature_id LIMIT 50 OFFSET 10""",
-       {**_pairs(EDGES),
-        "link": "SELECT feature_id AS a, matching_feature_id AS b FROM face_pair UNION SELECT matching_feature_id, feature_id FROM face_pair"})
+    SELECT source, item_id, feature_id, count(*) OVER (PARTITION BY source) AS total FROM (
+      SELECT w.source, f.item_id, min(f.id) AS feature_id FROM (SELECT DISTINCT source, node FROM walk) w
+      JOIN face f ON f.id = w.node WHERE w.node <> w.source GROUP BY ALL)
+    ORDER BY source, item_id, feature_id LIMIT 50 OFFSET 10""", WALK)
 def matching_faces_page(lib: Library):
-    """Direct matches of every face, one row per item, paged."""
-    edges = facegraph.similarity_join(lib.feature, EDGES)
-    owner = lib.feature.select(F.col("id").alias("neighbour"), "item_id")
-    found = facegraph.neighbours(edges).join(owner, "neighbour").groupBy(
-        F.col("node").alias("source"), "item_id").agg(F.min("neighbour").alias("feature_id"))
-    return facegraph.matching_faces_page(found, 10, 50)
+    return facegraph.matching_faces_page(_transitive(lib), 10, 50)
 
 
 @query("""SELECT feature_id, matching_feature_id, similarity >= 0.4 AS ignore_match FROM face_pair""", _pairs(EDGES))

@@ -164,15 +164,13 @@ def test_similarity_join_equals_brute_force(spark, monkeypatch, tiles):
     assert got == star_pairs(items, close)
 
 
-def test_expand_matches_lists_every_match(spark):
+def test_neighbours_spell_out_copies(spark):
     rng = np.random.default_rng(4)
     base = unit(rng, 20)
     vectors_ = np.vstack([base, base[:1].repeat(4, axis=0)])
     df = features(spark, range(24), vectors_)
     pairs = facegraph.similarity_join(df, 0.3)
-    groups = facegraph.vector_groups(df)
-    members = df.join(groups.select("embedding", "rep"), "embedding").select("id", "rep")
-    got = rows(facegraph.expand_matches(pairs, members, df.filter("id IN (0, 21)")))
+    got = rows(facegraph.neighbours(pairs, facegraph.vector_members(df), df.filter("id IN (0, 21)")))
     sims = vectors_.astype(np.float64) @ vectors_.astype(np.float64).T
     expected = sorted((i, j) for i in (0, 21) for j in range(24) if i != j and sims[i, j] >= 0.3)
     assert got == expected
