@@ -27,7 +27,6 @@ from shutterlake.operators.tiles import (
 from shutterlake.session import cut_lineage
 
 BFS_DEPTH = 10
-MAX_LITERAL_QUERIES = 1000
 
 PAIR_SCHEMA = "feature_id BIGINT, matching_feature_id BIGINT, similarity DOUBLE"
 
@@ -147,44 +146,24 @@ def similarity_search(queries: DataFrame, features: DataFrame,
                       threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(query_id, feature_id, similarity) for query vectors against the whole table.
 
-    Up to 1000 queries (counted first) travel with the tasks and the table is scanned once without
-    a shuffle; more go through bounded blocks on both sides.
+    Both sides are dealt to bounded blocks by a hash of their ids, as many as their sizes ask for; a
+    handful of queries is one block that meets every block of the table.
     """
     asked = with_valid_embedding(queries).select(F.col("id").alias("query_id"), "embedding")
     table = with_valid_embedding(features).select(F.col("id").alias("feature_id"), "embedding")
-    schema = "query_id BIGINT, feature_id BIGINT, similarity DOUBLE"
-    head = asked.limit(MAX_LITERAL_QUERIES + 1).toPandas()
 
-    def hits(query_ids, query_matrix, feature_ids, feature_matrix) -> pd.DataFrame:
-        scores = query_matrix @ feature_matrix.T
-        rows, cols = np.nonzero(
-            (scores >= threshold) & (query_ids[:, None] != feature_ids[None, :])
-        )
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        query_ids, feature_ids = a["query_id"].to_numpy(), b["feature_id"].to_numpy()
+        scores = matrix(a["embedding"]) @ matrix(b["embedding"]).T
+        rows, cols = np.nonzero((scores >= threshold) & (query_ids[:, None] != feature_ids[None, :]))
         return pd.DataFrame({
             "query_id": query_ids[rows], "feature_id": feature_ids[cols],
             "similarity": scores[rows, cols],
         })
 
-    if len(head) == 0:
-        return features.sparkSession.createDataFrame([], schema)
-    if len(head) <= MAX_LITERAL_QUERIES:
-        ids, vectors = head["query_id"].to_numpy(), matrix(head["embedding"])
-
-        def scan(batches):
-            for batch in batches:
-                if len(batch):
-                    yield hits(ids, vectors, batch["feature_id"].to_numpy(),
-                               matrix(batch["embedding"]))
-
-        return table.mapInPandas(scan, schema)
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return hits(a["query_id"].to_numpy(), matrix(a["embedding"]),
-                    b["feature_id"].to_numpy(), matrix(b["embedding"]))
-
     return cross_tiles(
-        asked, table, "query_id", "feature_id", kernel, schema,
-        tile_count(asked), tile_count(table),
+        asked, table, "query_id", "feature_id", kernel,
+        "query_id BIGINT, feature_id BIGINT, similarity DOUBLE", tile_count(asked), tile_count(table),
     )
 
 

@@ -127,13 +127,13 @@ def folder_full_path(lib: Library):
 
 
 @query("""
-    SELECT folder_id, kind, ordinal, label, id FROM (
+    SELECT folder_id, kind, ordinal, label, id, count(*) OVER (PARTITION BY folder_id) AS total FROM (
       SELECT parent_id AS folder_id, 0 AS kind, 0 AS ordinal, name AS label, id FROM folder WHERE parent_id IS NOT NULL
       UNION ALL SELECT e.folder_id, 1, e.index, m.name, m.id FROM folder_entry e JOIN media_item m ON m.id = e.item_id)
     ORDER BY folder_id, kind, ordinal, label, id LIMIT 50 OFFSET 25""")
 def browse_page(lib: Library):
     rows = browse.browse_rows(lib.folder, lib.folder_entry, lib.media_item)
-    return page(rows, browse.BROWSE_ORDER, 25, 50)
+    return page(browse.with_total(rows, "folder_id"), browse.BROWSE_ORDER, 25, 50)
 
 
 @query("""SELECT m.id, m.name, m.type, m.start_date, f.path AS folder_path FROM media_item m
@@ -150,13 +150,14 @@ def features_of_item(lib: Library):
 
 
 @query("""SELECT event_id AS id, event_type AS name, 'image' AS type,
-            CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, value AS longitude
+            CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, value AS longitude, count(*) OVER () AS total
           FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
 def gps_items(lib: Library):
     info = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("value").alias("v")))
     items = lib.raw("events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.lit("image").alias("type"), info.alias("info"))
-    return browse.gps_items(items, latitude="$.k", longitude="$.v")
+    found = browse.gps_items(items, latitude="$.k", longitude="$.v")
+    return found.withColumn("total", found.agg(F.count("*")).scalar())
 
 
 @query("""

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.files import file_class, is_media_file, split_path
 from shutterlake.operators import catalogue, keyed
+from shutterlake.operators.facegraph import similarity_join
 from shutterlake.operators.stats import table_counts
 from shutterlake.plans.indexing import index_listing
 from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
+from shutterlake.queries.similarity import PAIRS, _pairs
 from shutterlake.session import shared_dir
 from shutterlake.sources.media import media_file_scan as media_file_scan_source
 from shutterlake.sources.media import media_file_stream
@@ -290,9 +292,9 @@ def items_without_files(lib: Library):
     return catalogue.items_without_files(lib.media_item, lib.media_item_file)
 
 
-@query("""SELECT id, dir FROM path WHERE id NOT IN (SELECT path_id FROM file WHERE size > 3000000)""")
+@query("""SELECT id, dir FROM path WHERE id NOT IN (SELECT path_id FROM file WHERE size > 20000000)""")
 def paths_without_files(lib: Library):
-    return catalogue.paths_without_files(lib.path, lib.file.filter("size > 3000000"))
+    return catalogue.paths_without_files(lib.path, lib.file.filter("size > 20000000"))
 
 
 @query("""
@@ -307,9 +309,12 @@ def prune_empty_folders(lib: Library):
 @query("""
     SELECT 'files' AS what, count(*) AS rows FROM file
     UNION ALL SELECT 'items', count(*) FROM media_item
-    UNION ALL SELECT 'faces', count(*) FROM feature""")
+    UNION ALL SELECT 'faces', count(*) FROM feature
+    UNION ALL SELECT 'face matches', count(*) FROM face_pair""", _pairs(PAIRS))
 def index_summary(lib: Library):
-    return catalogue.index_summary(files=lib.file, items=lib.media_item, faces=lib.feature)
+    return catalogue.index_summary(**{
+        "files": lib.file, "items": lib.media_item, "faces": lib.feature,
+        "face matches": similarity_join(lib.feature, PAIRS)})
 
 
 # --- files and tables on storage ---

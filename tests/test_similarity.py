@@ -176,12 +176,11 @@ def test_neighbours_spell_out_copies(spark):
     assert got == expected
 
 
-def test_search_small_and_blocked_agree(spark, monkeypatch):
+def test_search_in_any_blocks_agrees(spark, monkeypatch):
     rng = np.random.default_rng(6)
     df = features(spark, range(80), unit(rng, 80))
     queries = df.filter("id < 9")
     small = rows(facegraph.similarity_search(queries, df, 0.2), "query_id", "feature_id")
-    monkeypatch.setattr(facegraph, "MAX_LITERAL_QUERIES", 3)
     monkeypatch.setattr(facegraph, "tile_count", lambda df: 3)
     assert rows(facegraph.similarity_search(queries, df, 0.2), "query_id", "feature_id") == small
 
