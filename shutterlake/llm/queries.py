@@ -95,7 +95,31 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return mark_contamination(documents, table(spark, sf_dir, "benchmark")).drop("text")
 
 
-@query()
+def _licence_sql() -> str:
+    from shutterlake.llm.licences import default_templates
+
+    listed = ", ".join("('{}', [{}])".format(t.licence, ", ".join(f"'{b}'" for b in t.bigrams))
+                       for t in default_templates())
+    return rf"""
+        WITH t(licence, bigrams) AS (VALUES {listed}),
+        low AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g'),
+            ' *\n *', chr(10), 'g') AS s FROM documents),
+        cut AS (SELECT doc_id, list_distinct(list_concat(string_split_regex(s, '\n+'),
+            list_transform(string_split_regex(s, '\n{{2,}}'), lambda p: replace(p, chr(10), ' ')))) AS us FROM low),
+        unit AS (SELECT doc_id, i, string_split(trim(us[i]), ' ') AS w FROM cut, unnest(range(1, len(us) + 1)) AS r(i)),
+        own AS (SELECT doc_id, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS own
+            FROM unit WHERE len(w) >= 2),
+        scored AS (SELECT doc_id, i, licence, 2.0 * len(list_intersect(bigrams, own)) / (len(bigrams) + len(own)) AS dice
+            FROM own JOIN t ON len(bigrams) <= len(own) * 1.5 + 1e-9 AND len(own) <= len(bigrams) * 1.5 + 1e-9),
+        best AS (SELECT doc_id, i, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM scored
+            GROUP BY ALL HAVING max(dice) >= 0.8 - 1e-9),
+        report AS (SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, count(*) AS n_matches,
+            array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences FROM best GROUP BY ALL)
+        SELECT doc_id, licence, dice, coalesce(licences, '') AS licences, coalesce(n_matches, 0) AS n_matches
+        FROM documents LEFT JOIN report USING (doc_id)"""
+
+
+@query(_licence_sql())
 def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.licences import licence_report, scan_licences
 
