@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import clock
-from shutterlake.operators.keyed import new_rows, upsert
+from shutterlake.operators.keyed import upsert
 from shutterlake.operators.people import for_parents, preferred_name
 
 ADMIN_LEVEL = 5
@@ -169,8 +169,3 @@ def group_write_decision(requests: DataFrame, access: DataFrame, components: Dat
         .withColumn("reason", reason)
         .select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
     )
-
-
-def add_members(members: DataFrame, batch: DataFrame) -> DataFrame:
-    keys = ["user_group_id", "user_id"]
-    return members.unionByName(new_rows(members, batch, keys), allowMissingColumns=True)

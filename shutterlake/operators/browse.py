@@ -9,7 +9,7 @@ from shutterlake.functions.files import full_path
 from shutterlake.functions.geo import pixel_x, pixel_y
 from shutterlake.functions.scalars import contains_ignore_case, normal_word
 from shutterlake.operators.graph import folder_chains
-from shutterlake.operators.keyed import find_or_create, new_rows
+from shutterlake.operators.keyed import find_or_create
 
 # Bounding boxes of the thumbnail tiers, largest first.
 THUMBNAIL_TIERS = [(1920, 1080), (1280, 720), (640, 480), (300, 300), (150, 100)]
@@ -304,10 +304,3 @@ def map_clusters(points: DataFrame, zoom: int, cell_pixels: int = CLUSTER_PIXELS
     )
     size = F.when(F.col("items") >= 100, "large").when(F.col("items") >= 10, "medium")
     return grouped.withColumn("size_class", size.otherwise("small"))
-
-
-def add_links(target: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Idempotent link insert without ids."""
-    return target.unionByName(
-        new_rows(target, wanted.select(*keys).distinct(), keys), allowMissingColumns=True
-    )

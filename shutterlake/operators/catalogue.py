@@ -238,8 +238,3 @@ def split_orphans(files: DataFrame, paths: DataFrame, links: DataFrame, items: D
         "media_item": items_without_files(items, left_links),
         "path": paths_without_files(paths, left_files).select("id"),
     }
-
-
-def new_items(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups none of whose files is linked yet."""
-    return split_new_existing(groups, links).filter("media_item_id IS NULL").drop("media_item_id")

@@ -73,10 +73,6 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "
     return old.join(new, same_keys(keys, "o", "n"), "full_outer").select(*columns)
 
 
-def delete_rows(target: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(keys_df.select(*keys), keys, "left_anti")
-
-
 def dense_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Numbers distinct rows 1..n without a single-task sort.
 
