@@ -50,6 +50,6 @@ def build_bloom(hashes: DataFrame, bits: int = BITS) -> Bloom:
 
     parts = hashes.mapInArrow(fill, "at long, bits long")
     words = np.zeros(bits // 64, dtype=np.uint64)
-    merged = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words[merged["at"].to_numpy(dtype=np.int64)] = merged["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    merged = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[np.asarray(merged["at"])] = np.asarray(merged["bits"]).view(np.uint64)
     return Bloom(words)
