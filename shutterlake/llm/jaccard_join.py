@@ -2,9 +2,10 @@
 
 1. Equal shingle sets form a class (one aggregate on a 128-bit hash), so copies cost one row each.
 2. Each class gets keys of which linked classes share one, by the pigeonhole principle
-   (``PigeonholeKeys``); neighbours in the order of each key are candidates. A passage that many texts
-   share is no key, as a bin holds several shingles from all over the text. The connected candidates
-   are a block; every link lies inside one.
+   (``PigeonholeKeys``); neighbours in the order of each key are candidates. There are keys to spare:
+   a class passes over its common keys, those of passages that many texts share, as long as another
+   shared key must remain; only classes with too many common keys (those with many near-copies) use
+   them too. The connected candidates are a block; every link lies inside one.
 3. The sets of a block's classes are joined by signature trees: leaves are sets, a node holds the
    bitmap of all tokens below it, OR-combined, and the range of sizes. Both trees are descended together,
    and a pair of nodes goes no further when the largest overlap that bitmaps and sizes allow is below
@@ -39,6 +40,7 @@ from shutterlake.session import cut_lineage
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 22  # bitmap words compared at a time
 SEEN_SETS = 200_000
+COMMON_KEY = 4  # a key of more sets is common
 
 
 def set_sizes(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -64,13 +66,14 @@ def set_sizes(documents: DataFrame, id_col: str, text_col: str, width: int) -> D
 
 
 def candidate_keys(documents: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, h1) of every non-empty set; a task passes equal sets on once."""
+    """(key, h1, slot) of every non-empty set; a task passes equal sets on once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, seen = WordHashes(), PigeonholeKeys(percent), set()
         for batch in batches:
             for texts in byte_texts(batch.column(0)):
                 made, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+                places = [np.zeros(0, dtype=np.int32)]
                 for data in texts:
                     shingles = shingle_set(hashes.of(data.lower().split() if data else []), width)
                     h1 = set_hash(shingles)[0]
@@ -79,20 +82,32 @@ def candidate_keys(documents: DataFrame, text_col: str, width: int, percent: int
                     if len(seen) > SEEN_SETS:
                         seen.clear()
                     seen.add(h1)
-                    made.append(keys.of(shingles))
-                    owners.append(np.full(len(made[-1]), h1))
+                    own, slots = keys.of(shingles)
+                    made.append(own)
+                    places.append(slots)
+                    owners.append(np.full(len(own), h1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(owners))],
-                    names=["key", "h1"])
+                    [pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(owners)),
+                     pa.array(np.concatenate(places))], names=["key", "h1", "slot"])
 
-    return documents.select(text_col).mapInArrow(emit, "key long, h1 long")
+    return documents.select(text_col).mapInArrow(emit, "key long, h1 long, slot int")
 
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
-    """(src, dst): neighbours in the order of the sets that share a key."""
-    before = F.lag("h1").over(Window.partitionBy("key").orderBy("h1"))
-    return (keys.withColumn("src", before).filter("src <> h1")
-            .select("src", F.col("h1").alias("dst")).distinct())
+    """(src, dst): neighbours in the order of the sets that share a key.
+
+    Of a common key, only sets that have too many of these to pass them all over are such neighbours.
+    """
+    order = Window.partitionBy("key").orderBy("h1")
+    shared = cut_lineage(
+        keys.withColumns({"src": F.lag("h1").over(order), "n": F.count("*").over(Window.partitionBy("key"))})
+        .filter("n > 1"))
+    common = F.col("n") > COMMON_KEY
+    hot = shared.filter(common).select("key", "h1", "slot")
+    bound = hot.groupBy("h1", "slot").agg(F.count("*").alias("hot")).filter("hot >= floor(slot / 2)")
+    chained = hot.join(bound, ["h1", "slot"], "left_semi").withColumn("src", F.lag("h1").over(order))
+    edges = shared.filter(~common).select("src", "h1").unionByName(chained.select("src", "h1"))
+    return edges.filter("src <> h1").select("src", F.col("h1").alias("dst")).distinct()
 
 
 def block_sets(documents: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -266,13 +281,15 @@ def block_links(sets: DataFrame, percent: int, chunk_sets: int) -> DataFrame:
         return pa.table({"src": pa.array([a for a, _ in links], pa.int64()),
                          "dst": pa.array([b for _, b in links], pa.int64())})
 
-    return spread.groupBy("block", "i", "j").applyInArrow(join_chunks, "src long, dst long")
+    # dealt anew: the join above may have put all of a block in one partition
+    return spread.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(
+        join_chunks, "src long, dst long")
 
 
 # --- the join ---
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text", chunk_sets: int = 1024) -> DataFrame:
+                    text_col: str = "text", chunk_sets: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``documents``.
 
     component_id is the smallest id reachable by links between texts whose sets have a Jaccard

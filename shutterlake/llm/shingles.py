@@ -64,6 +64,9 @@ class PigeonholeKeys:
     into K > D bins by hash range, at least K - D bins agree. A bin's key is the sum of its elements.
     Empty bins are keys only for sets with so many of them that all agreeing bins could be empty.
     A set goes to the levels of its own class and of the next.
+
+    K is larger than it need be by an eighth of D. So up to ``room`` agreeing keys of a set, less one, may
+    be left out, for example those that many sets share, and another agreeing one remains.
     """
 
     def __init__(self, percent: int):
@@ -76,20 +79,23 @@ class PigeonholeKeys:
         if level not in self.levels:
             largest = self.ratio ** level + self.ratio ** (level + 1)
             most = int(largest * (100 - self.percent) / (100 + self.percent) + 1e-9)
-            count = most + 3 + most // 64
+            count = most + 3 + most // 8
             edges = np.array([(j << 64) // count for j in range(1, count)], dtype=np.uint64)
             self.levels[level] = count, count - most, edges
         return self.levels[level]
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, and for each its slot: twice the room of its level, plus the level's parity."""
         size_class = int(math.log(len(shingles)) / math.log(self.ratio))
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(shingles))])
-        keys = []
+        keys, slots = [], []
         for level in (size_class, size_class + 1):
             count, agreeing, edges = self.bins(level)
             cuts = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
             filled = cuts[1:] > cuts[:-1]
             tag = np.arange(count, dtype=np.uint64) + np.uint64(level) * np.uint64(1 << 40)
             made = mixed((sums[cuts[1:]] - sums[cuts[:-1]]) ^ mixed(tag))
-            keys.append(made if count - filled.sum() >= agreeing else made[filled])
-        return np.concatenate(keys)
+            empty = count - int(filled.sum())
+            keys.append(made if empty >= agreeing else made[filled])
+            slots.append(np.full(len(keys[-1]), 2 * max(agreeing - empty, 0) + level % 2, dtype=np.int32))
+        return np.concatenate(keys), np.concatenate(slots)
