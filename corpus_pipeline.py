@@ -25,17 +25,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from shutterlake.llm.common import fresh_prefix, table  # noqa: E402
+from shutterlake.llm.common import fresh_prefix, prepare, table  # noqa: E402
 from shutterlake.llm.decontamination import mark_contamination  # noqa: E402
 from shutterlake.llm.jaccard_join import keep_one_per_component  # noqa: E402
 from shutterlake.llm.packing import pack_documents  # noqa: E402
 from shutterlake.llm.secrets import learn_formats, redact_secrets  # noqa: E402
 from shutterlake.llm.toxicity import score_texts, train  # noqa: E402
-from shutterlake.session import cut_lineage, ship_package  # noqa: E402
+from shutterlake.session import cut_lineage  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     prefix = fresh_prefix(docs)
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model, prefix=prefix)
@@ -43,19 +43,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return keep_one_per_component(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     prefix = fresh_prefix(docs)
     marked = mark_contamination(docs, table(spark, sf_dir, "benchmark"), prefix=prefix)
     return marked.filter(~F.col(f"{prefix}contaminated")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     before = f"{fresh_prefix(docs)}text"
     cleaned = redact_secrets(docs.withColumn(before, F.col("text")), formats=learn_formats(docs))
     changed = ~F.col("text").eqNullSafe(F.col(before))
@@ -65,7 +65,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return pack_documents(docs)
 
 
@@ -83,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing of what remains of ``documents``."""
-    ship_package(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
