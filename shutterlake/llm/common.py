@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from shutterlake.session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TEXTS_AT_ONCE = 256  # texts turned into Python objects at a time
+BATCH_ROWS = 1000    # rows of an Arrow batch: ten thousand long texts would not fit a task
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package to the workers and bounds the session's Arrow batches."""
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

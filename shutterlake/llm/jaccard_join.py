@@ -39,7 +39,7 @@ from shutterlake.session import cut_lineage
 
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 22  # bitmap words compared at a time
-SEEN_SETS = 200_000
+SEEN_SETS = 100_000
 COMMON_KEY = 4  # a key of more sets is common
 
 

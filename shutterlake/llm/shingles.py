@@ -7,7 +7,7 @@ import math
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 class WordHashes(dict):
