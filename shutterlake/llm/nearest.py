@@ -121,17 +121,21 @@ def learn_radius(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, radi
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, ids, asked, own = shared.value
+        scores = np.zeros((len(ids), 0))  # of the best k rows this task has seen, and their distances
+        apart = np.zeros((len(ids), 0), dtype=np.int32)
         for batch in batches:
             vec_ids, vectors = np.asarray(batch.column(0)), matrix(batch.column(1))
             if not len(vec_ids):
                 continue
-            scores = asked @ vectors.T
-            scores[ids[:, None] == vec_ids[None, :]] = -np.inf
+            fresh = asked @ vectors.T
+            fresh[ids[:, None] == vec_ids[None, :]] = -np.inf
+            distance = np.bitwise_count(own[:, None, :] ^ codes.of_rows(vectors)[None, :, :]).sum(axis=2)
+            scores, apart = np.hstack([scores, fresh]), np.hstack([apart, distance.astype(np.int32)])
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            apart = np.bitwise_count(own[:, None, :] ^ codes.of_rows(vectors)[top]).sum(axis=2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, top.shape[1])), pa.array(np.take_along_axis(scores, top, 1).ravel()),
-                 pa.array(apart.ravel().astype(np.int32))], names=["query_id", "score", "apart"])
+            scores, apart = np.take_along_axis(scores, top, 1), np.take_along_axis(apart, top, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, scores.shape[1])), pa.array(scores.ravel()), pa.array(apart.ravel())],
+            names=["query_id", "score", "apart"])
 
     found = rows.select("vec_id", "vector").mapInArrow(nearest, "query_id long, score double, apart int")
     ranked = found.filter(F.col("score") > float("-inf")).withColumn(
