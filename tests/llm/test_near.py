@@ -211,6 +211,25 @@ def test_planted_passages(spark):
     assert all(r["rep_doc_id"] <= r["doc_id"] for r in out.collect())
 
 
+@pytest.mark.parametrize("kind", ["added", "dropped", "changed", "two added"])
+def test_passages_with_an_edit(spark, kind):
+    rng = random.Random(kind)
+    text = lambda n: [f"v{rng.randrange(10 ** 6)}" for _ in range(n)]
+    rows, held = [], {}
+    for i in range(40):
+        shared = text(70)
+        near = {"added": shared[:35] + ["new"] + shared[35:], "dropped": shared[:35] + shared[36:],
+                "changed": shared[:35] + ["new"] + shared[36:],
+                "two added": shared[:35] + ["new", "newer"] + shared[35:]}[kind]
+        for d, words in ((2 * i, shared), (2 * i + 1, near)):
+            before = text(rng.randrange(5, 90))
+            rows.append((d, " ".join(before + words + text(rng.randrange(5, 90)))))
+            held[d] = set(range(len(before), len(before) + len(words)))
+    got = covered(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got.get(d) == s for d, s in held.items()) >= 0.95 * len(held)
+    assert all(s <= held[d] for d, s in got.items())
+
+
 def test_passages_odd_rows(spark, odd, nothing):
     assert repeated_passages(odd).filter("doc_id IS NULL").count() == 0
     assert repeated_passages(nothing).count() == 0
