@@ -10,8 +10,10 @@
    bitmap of all tokens below it, OR-combined, and the range of sizes. Both trees are descended together,
    and a pair of nodes goes no further when the largest overlap that bitmaps and sizes allow is below
    what the smallest sets under it would need. Leaf pairs that remain are verified exactly. Blocks larger than
-   ``chunk_sets`` are cut up by hash and every pair of chunks is one task. As only components
-   are wanted, pairs that are already connected inside a task are not compared again.
+   ``chunk_sets`` are cut up by hash and every pair of chunks is one task. Where link counts
+   are wanted all remaining pairs are verified, and a task adds up its links per class, weighted by
+   the rows of the other class. For components alone, pairs already connected inside a task are not
+   compared again.
 4. Components of the links (alternating large and small stars).
 
 Null and empty texts have an empty set and are linked with nothing. A row without an id gets the
@@ -39,6 +41,7 @@ from shutterlake.session import cut_lineage
 
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 22  # bitmap words compared at a time
+EXACT_WORDS = 1 << 12    # a chunk pair with more shared tokens than fit so many bitmap words is compared set by set
 SEEN_SETS = 100_000
 COMMON_KEY = 4  # a key of more sets is common
 
@@ -254,12 +257,73 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     return links
 
 
-def block_links(sets: DataFrame, percent: int, chunk_sets: int) -> DataFrame:
-    """(src, dst) among the doc_ids of each block; ``sets`` has block, doc_id, shingles."""
+def exact_bitmaps(sets: list[np.ndarray]) -> np.ndarray | None:
+    """One bit for every token that several of ``sets`` hold; None where these are too many."""
+    tokens, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    words = int(shared.sum()) // 64 + 1
+    if words > EXACT_WORDS:
+        return None
+    position = np.cumsum(shared) - 1
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kept = shared[places]
+    rows, bits = rows[kept], position[places[kept]]
+    bitmaps = np.zeros((len(sets), words), dtype=np.uint64)
+    np.bitwise_or.at(bitmaps, (rows, bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
+    return bitmaps
+
+
+def every_pair(left: list[np.ndarray], right: list[np.ndarray] | None,
+               percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links, as arrays of places, the right places following the left ones."""
+    sets = [*left, *(right or [])]
+    words = 1 << max(3, min(11, math.ceil(math.log2(max(4 * max(map(len, sets)), 1))) - 6))
+    first = SignatureTree(left, words)
+    second = first if right is None else SignatureTree(right, words)
+    shift = 0 if right is None else len(left)
+    bitmaps, sizes = exact_bitmaps(sets), np.array([len(s) for s in sets])
+    step = PAIRS_AT_ONCE // (1 if bitmaps is None else bitmaps.shape[1])
+    for a, b in leaf_pairs(first, second, percent):
+        for start in range(0, len(a), step):
+            i, j = a[start:start + step], b[start:start + step] + shift
+            if bitmaps is None:
+                fits = np.array([similar(sets[x], sets[y], percent) for x, y in zip(i.tolist(), j.tolist())], dtype=bool)
+            else:
+                common = np.bitwise_count(bitmaps[i] & bitmaps[j]).sum(axis=1).astype(np.int64)
+                fits = 100 * common >= percent * (sizes[i] + sizes[j] - common)
+            yield i[fits], j[fits]
+
+
+def counted_links(left: list[np.ndarray], right: list[np.ndarray] | None, weights: np.ndarray,
+                  percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(summed weights of the sets that each set is linked with, links that connect what all links connect)."""
+    counts = np.zeros(len(weights), dtype=np.int64)
+    connected, links = Connected(len(weights)), []
+    for i, j in every_pair(left, right, percent):
+        np.add.at(counts, i, weights[j])
+        np.add.at(counts, j, weights[i])
+        while len(i):
+            roots = np.array([connected.root(x) for x in range(len(weights))])
+            apart = roots[i] != roots[j]
+            i, j = i[apart], j[apart]
+            for x, y in zip(i[:len(weights)].tolist(), j[:len(weights)].tolist()):
+                if connected.root(x) != connected.root(y):
+                    connected.join(connected.root(x), connected.root(y))
+                    links.append((x, y))
+    return counts, links
+
+
+def block_links(sets: DataFrame, percent: int, chunk_sets: int, kind: str = "forest") -> DataFrame:
+    """Links among the doc_ids of each block; ``sets`` has block, doc_id, shingles.
+
+    ``kind`` "forest" gives (src, dst) that connect what all links connect, "pairs" all links. "counts", for
+    which ``sets`` has the class sizes as weight, gives (src, dst, n_links): the forest's rows with 0 and
+    for each doc_id, as src and dst, the weights of those it is linked with, in parts to be summed.
+    """
     sizes = sets.groupBy("block").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("chunks"))
     dealt = sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", "doc_id", "shingles", "chunk",
+        "block", "doc_id", "shingles", "chunk", *(["weight"] if kind == "counts" else []),
         F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def join_chunks(table: pa.Table) -> pa.Table:
@@ -273,43 +337,88 @@ def block_links(sets: DataFrame, percent: int, chunk_sets: int) -> DataFrame:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left = [k for k in order if chunk[k] == i]
         right = None if i == j else [k for k in order if chunk[k] == j]
-        links = []
+        places = np.array(left + (right or []), dtype=np.int64)
+        links, counts = np.zeros((0, 2), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
         if left and (right is None or right):
-            places = left + (right or [])
-            links = [(ids[places[x]], ids[places[y]]) for x, y in linked_pairs(
-                [sets[k] for k in left], None if right is None else [sets[k] for k in right], percent)]
-        return pa.table({"src": pa.array([a for a, _ in links], pa.int64()),
-                         "dst": pa.array([b for _, b in links], pa.int64())})
+            sides = [sets[k] for k in left], None if right is None else [sets[k] for k in right]
+            if kind == "counts":
+                counts, found = counted_links(*sides, np.asarray(table["weight"])[places], percent)
+            elif kind == "pairs":
+                found = [np.stack(pair, axis=1) for pair in every_pair(*sides, percent)]
+                found = np.concatenate(found) if found else []
+            else:
+                found = linked_pairs(*sides, percent)
+            links = ids[places[np.array(found, dtype=np.int64).reshape(-1, 2)]]
+        if kind != "counts":
+            return pa.table({"src": pa.array(links[:, 0]), "dst": pa.array(links[:, 1])})
+        held = np.flatnonzero(counts)
+        own = ids[places[held]]
+        return pa.table({"src": pa.array(np.concatenate([links[:, 0], own])),
+                         "dst": pa.array(np.concatenate([links[:, 1], own])),
+                         "n_links": pa.array(np.concatenate([np.zeros(len(links), dtype=np.int64), counts[held]]))})
 
     # dealt anew: the join above may have put all of a block in one partition
     return spread.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(
-        join_chunks, "src long, dst long")
+        join_chunks, "src long, dst long" + (", n_links long" if kind == "counts" else ""))
 
 
 # --- the join ---
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text", chunk_sets: int = 512) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``documents``.
-
-    component_id is the smallest id reachable by links between texts whose sets have a Jaccard
-    similarity of ``percent`` hundredths or more.
-    """
-    sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
+def classes_and_sets(sized: DataFrame, documents: DataFrame, width: int, percent: int, id_col: str,
+                     text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets (h1, h2, rep, weight), and the representatives' sets by block."""
     classes = cut_lineage(
         sized.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep")))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
     edges = candidate_edges(candidate_keys(documents, text_col, width, percent))
     blocks = connected_components(edges).select(F.col("id").alias("h1"), F.col("component").alias("block"))
     members = cut_lineage(classes.join(blocks, "h1").withColumnRenamed("rep", "doc_id"))
-    sets = cut_lineage(block_sets(documents, members, id_col, text_col, width))
-    links = connected_components(block_links(sets, percent, chunk_sets))
+    return classes, cut_lineage(block_sets(documents, members, id_col, text_col, width))
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text", chunk_sets: int = 512, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``documents``; with ``count_links`` also n_links.
+
+    component_id is the smallest id reachable by links between texts whose sets have a Jaccard
+    similarity of ``percent`` hundredths or more. n_links is the number of other rows with an id that the
+    row is linked with, those of equal sets included; 0 for a row without an id.
+    """
+    sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
+    classes, sets = classes_and_sets(sized, documents, width, percent, id_col, text_col)
+    named = classes
+    if count_links:
+        parts = cut_lineage(block_links(sets, percent, chunk_sets, "counts"))
+        forest = parts.filter("src <> dst").select("src", "dst")
+        counts = parts.filter("src = dst").groupBy(F.col("src").alias("rep")).agg(F.sum("n_links").alias("near"))
+        named = classes.join(counts, "rep", "left")
+    else:
+        forest = block_links(sets, percent, chunk_sets)
+    links = connected_components(forest)
     found = links.select(F.col("id").alias("rep"), F.col("component"))
-    named = classes.join(found, "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    more = [(F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links")] if count_links else []
+    named = named.join(found, "rep", "left").select(
+        "h1", "h2", F.coalesce("component", "rep").alias("component_id"), *more)
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(0)
     return sized.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([linked.cast("long").alias("n_links")] if count_links else []))
+
+
+def similar_pairs(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                  text_col: str = "text", chunk_sets: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(rep, other) of all linked classes of equal sets, ``rep`` < ``other``, and the membership (doc_id, rep).
+
+    A class is named by its smallest id, and copies are not expanded: documents are linked if they have the same
+    representative or their representatives are a pair.
+    """
+    sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
+    classes, sets = classes_and_sets(sized, documents, width, percent, id_col, text_col)
+    pairs = block_links(sets, percent, chunk_sets, "pairs").select(
+        F.least("src", "dst").alias("rep"), F.greatest("src", "dst").alias("other"))
+    members = sized.filter("doc_id IS NOT NULL").join(classes, ["h1", "h2"]).select("doc_id", "rep")
+    return pairs, members
 
 
 def keep_one_per_component(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",

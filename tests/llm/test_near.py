@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shutterlake.llm import queries
 from shutterlake.llm.jaccard_join import (SignatureTree, block_links, keep_one_per_component, leaf_pairs,
-                                          linked_pairs, near_duplicates, similar)
+                                          linked_pairs, near_duplicates, similar, similar_pairs)
 from shutterlake.llm.passages import alike_stretches, compact_windows, repeated_passages
 from shutterlake.llm.shingles import PigeonholeKeys
 from shutterlake.session import cut_lineage
@@ -137,6 +137,24 @@ def test_repeated_rows_of_a_block(spark):
     assert block_links(df, 90, 1024).count() == 2
 
 
+@pytest.mark.parametrize("chunk_sets", [4, 512])
+def test_links_equal_plain_comparison(spark, chunk_sets):
+    rows = edited_texts(chunk_sets)
+    rows += [(10 ** 9 + i, t) for i, (_, t) in enumerate(rows[::3])]
+    sets = {d: plain_set(t, 3) for d, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+            and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, 3, 80, chunk_sets=chunk_sets, count_links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {d: sum(d in p for p in want) for d in sets}
+    pairs, members = similar_pairs(df, 3, 80, chunk_sets=chunk_sets)
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    linked = [tuple(r) for r in pairs.collect()]
+    assert len(linked) == len(set(linked))
+    assert want == {(a, b) for a in sets for b in sets if a < b and a in rep and b in rep and (
+        rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in linked)}
+
+
 # --- passages ---
 
 def test_compact_windows_hold_each_subsequence_once():
