@@ -78,6 +78,42 @@ NOTICES = {
         "General Public License as published by the Free Software Foundation, either version 3 of the "
         "License, or (at your option) any later version.",
     ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the "
+        "License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 3 of the "
+        "License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version.",
+    ],
+    **{key: [f"This work is licensed under the Creative Commons {name} 4.0 International License.",
+             f"This work is licensed under the Creative Commons {name} 4.0 International License. To view a copy of "
+             f"this license, visit http://creativecommons.org/licenses/{key[3:-4].lower()}/4.0/ or send a letter to "
+             "Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."]
+       for key, name in (("CC-BY-4.0", "Attribution"), ("CC-BY-SA-4.0", "Attribution-ShareAlike"),
+                         ("CC-BY-NC-4.0", "Attribution-NonCommercial"),
+                         ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike"),
+                         ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives"))},
+    "CC0-1.0": [
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright "
+        "and related or neighboring rights to this work.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
         "the MPL was not distributed with this file, You can obtain one at",

@@ -7,7 +7,7 @@ import pytest
 
 from shutterlake.llm import queries
 from shutterlake.llm.decontamination import WindowSearch, mark_contamination, words_of
-from shutterlake.llm.licences import bigrams_of, default_templates, licence_report, scan_licences
+from shutterlake.llm.licences import NOTICES, bigrams_of, default_templates, licence_report, scan_licences
 from shutterlake.llm.pii import digest_columns, find_pii
 from shutterlake.llm.url_filters import Rule, judge_urls
 
@@ -120,6 +120,22 @@ def test_licences_equal_plain_comparison(spark):
         assert (row["licence"], row["n_matches"]) == plain_licences(texts[row["doc_id"]]), texts[row["doc_id"]][:200]
 
 
+def test_each_notice_is_its_own_licence(spark):
+    gnu = ("This program is free software{0} you can redistribute it and/or modify\nit under the terms of the GNU {1} "
+           "as published by\nthe Free Software Foundation{2} either version {3} of the License, or\n"
+           "(at your option) any later version.")
+    rows = [("GPL-2.0", gnu.format(";", "General Public License", ";", 2)),
+            ("GPL-3.0", gnu.format(":", "General Public License", ",", 3)),
+            ("LGPL-3.0", gnu.format(":", "Lesser General Public License", ",", 3)),
+            ("AGPL-3.0", gnu.format(":", "Affero General Public License", ",", 3))]
+    rows += [(key, text) for key, notices in NOTICES.items() for text in notices]
+    df = spark.createDataFrame([(i, f"Copyright 2020 A. Author\n\n{text}\n\nMore text.")
+                                for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licence_report(scan_licences(df)).collect()}
+    assert [got[i] for i in range(len(rows))] == [key for key, _ in rows]
+    assert {t.licence for t in default_templates()} == set(NOTICES)
+
+
 def test_licences_odd_rows(spark, odd, nothing):
     out = licence_report(scan_licences(odd)).collect()
     assert len(out) == odd.count() and not any(r["n_matches"] for r in out)
