@@ -86,6 +86,13 @@ def _arrow_type(field: StructField) -> pa.DataType:
     return to_arrow_type(field.dataType)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a table given in DDL; on the driver only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def code_point_offsets(data: bytes, offsets: list[int]) -> list[int]:
     """Code-point positions of ascending byte offsets in UTF-8 bytes."""
     out, seen, at = [], 0, 0

@@ -191,3 +191,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+        FROM embeddings WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+        FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.row <> c.row)
+    SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 5""")
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
