@@ -205,3 +205,30 @@ def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.topk import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^ \\t]+') AS w
+        FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\v\\f\\r]')) AS piece FROM documents)),
+    total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY 1),
+    f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+        FROM p, unnest([1, 2, 3, 4, 5]) AS s(size), unnest(range(1, len(w) - size + 2)) AS r(i)
+        GROUP BY ALL HAVING count(*) >= 100),
+    cut AS (SELECT c.lang, c.phrase, c.size, c.f AS a, k, h.f AS l, t.f AS r, n,
+          1000::HUGEINT * c.f * n // (h.f::HUGEINT * t.f) AS score
+        FROM f AS c JOIN total USING (lang), unnest(range(1, c.size)) AS u(k),
+          f AS h, f AS t
+        WHERE c.size > 1 AND h.lang = c.lang AND t.lang = c.lang
+          AND h.phrase = array_to_string(string_split(c.phrase, ' ')[:k], ' ')
+          AND t.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+    best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    kept AS (SELECT * FROM best AS b WHERE NOT EXISTS (SELECT 1 FROM f AS x WHERE x.lang = b.lang AND x.size > b.size
+          AND 100 * x.f >= 100 * b.a AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+      a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM kept QUALIFY rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
