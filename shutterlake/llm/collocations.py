@@ -37,16 +37,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.llm.bloom import Bloom, build_bloom
-from shutterlake.llm.common import arrow_schema, byte_texts
+from shutterlake.llm.common import GrowingTable, arrow_schema, byte_texts
 from shutterlake.session import cut_lineage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, KEEP = 100, 5, 2000
-BAND = 8                  # each round's first words may be so many times as frequent as the last round's
-CHUNK_WORDS = 1 << 20     # numbers of a row of the written corpus
+BAND = 64                 # each round's first words may be so many times as frequent as the last round's
+CHUNK_WORDS = 1 << 19     # numbers of a row of the written corpus
 FLUSH = 1 << 18           # phrases or words a task adds up before it sends them on
 PHRASE_BITS = 1 << 24     # 2 MB a filter
 COUNTED = "lang string, phrase string, f long"
+SETTLED = "lang string, phrase string, a long, l long, r long, n long, score long"
+TAIL = np.uint64(0x9E3779B97F4A7C15)  # tells the hashes of tails from those of nodes, in one filter
 CHUNKS = "lang string, words array<binary>, numbers binary"
 
 _LOWER = bytes(10 if b in BREAKS else b for b in bytes(range(256)).lower())
@@ -124,7 +126,7 @@ def _joined(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """(hash) of the distinct (lang, phrase) rows, as the passes compute it from the words."""
+    """(hash) of (lang, phrase, tail) rows, as the passes compute it from the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +137,10 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
                 for word in words[1:]:
                     total = _joined(total, word)
                 out[i] = total[0]
+            out[np.asarray(batch.column(2).cast(pa.int8())).astype(bool)] ^= TAIL
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["hash"])
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
+    return phrases.select("lang", "phrase", "tail").mapInArrow(run, "hash long")
 
 
 def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text",
@@ -147,7 +150,7 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
     0 ends a piece or stands for words that are not frequent; runs of 0 are one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        build_bloom(phrase_hashes(frequent), PHRASE_BITS).words)
+        build_bloom(phrase_hashes(frequent.withColumn("tail", F.lit(False))), PHRASE_BITS).words)
     kind = arrow_schema(CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,29 +193,29 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
 
 # --- one pass ---------------------------------------------------------------------------------
 
-def count_phrases(corpus: DataFrame, nodes: Bloom, tails: Bloom, longest: int) -> DataFrame:
+def count_phrases(corpus: DataFrame, wanted: Bloom, longest: int) -> DataFrame:
     """(lang, phrase, f): all occurrences of the phrases that extend a node by one word, or are tails.
 
     Nodes of one word are extended to the right only, longer ones on both sides.
     """
-    context = corpus.sparkSession.sparkContext
-    shared = context.broadcast((nodes.words, tails.words))
+    shared = corpus.sparkSession.sparkContext.broadcast(wanted.words)
     kind = arrow_schema(COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown, asked = map(Bloom, shared.value)
+        bloom = Bloom(shared.value)
         for batch in batches:
-            for row in batch.to_pylist():
-                numbers = np.frombuffer(row["numbers"], dtype=np.int32)
-                for phrases, counts in _chunk_phrases(row["lang"], row["words"], numbers, grown, asked, longest):
+            for at in range(len(batch)):  # a row is large
+                lang, words, numbers = (column.slice(at, 1).to_pylist()[0] for column in batch.columns)
+                found = _chunk_phrases(lang, words, np.frombuffer(numbers, dtype=np.int32), bloom, longest)
+                for phrases, counts in found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(counts)), phrases, pa.array(counts)], schema=kind)
+                        [pa.repeat(lang, len(counts)), phrases, pa.array(counts)], schema=kind)
 
     passed = corpus.mapInArrow(run, COUNTED)
     return passed.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, grown: Bloom, asked: Bloom,
+def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, bloom: Bloom,
                    longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Distinct phrases of one chunk that a pass counts, with their numbers of occurrences."""
     if not words:
@@ -223,7 +226,7 @@ def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, grown: Bl
     inside = np.flatnonzero(numbers)           # starts of phrases of the present length
     total = of_word[inside] + _seed(lang)
     node = np.zeros(len(numbers), dtype=bool)  # whether the shorter phrase that starts here is a node
-    word_nodes = np.concatenate([[False], grown.holds(hashes[1:] + _seed(lang))])
+    word_nodes = np.concatenate([[False], bloom.holds(hashes[1:] + _seed(lang))])
     node[inside] = word_nodes[numbers[inside]]
     for size in range(2, longest + 1):
         reach = inside + (size - 1) < len(numbers)
@@ -235,9 +238,9 @@ def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, grown: Bl
         if size > 2:
             wanted = wanted | node[inside + 1]
         if size < longest:
-            wanted = wanted | asked.holds(total)
+            wanted = wanted | bloom.holds(total ^ TAIL)
             node = np.zeros(len(numbers), dtype=bool)
-            node[inside] = grown.holds(total)
+            node[inside] = bloom.holds(total)
         starts = inside[wanted]
         if len(starts):
             yield _added_up(starts, numbers, size, named, len(words) + 1)
@@ -325,9 +328,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     first = words.select("lang", F.col("phrase").alias("word"), F.col("f").alias("of_word"))
 
     most = words.agg(F.max("f")).first()[0] or 0
-    counts = words                                         # all counts known so far, each phrase once
+    counts = GrowingTable(docs.sparkSession, COUNTED)      # all counts known so far, each phrase once
+    settled = GrowingTable(docs.sparkSession, SETTLED)     # phrases whose cuts and longer phrases are known
+    counts.add(words)
     found = words.filter("false")                          # children of the last round's nodes
-    settled = _scored(found, counts, totals)               # phrases whose cuts and longer phrases are known
     limits = totals.withColumn("limit", F.lit(0).cast("long"))
     lower = least
 
@@ -337,31 +341,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         return (named.join(first, ["lang", "word"]).join(limits, "lang").filter(bound >= F.col("limit"))
                 .select("lang", "phrase", "f"))
 
-    while True:
-        popped = hopeful(found)
-        started = hopeful(words.filter((F.col("f") >= lower) & (F.col("f") < lower * band)))
-        nodes = cut_lineage(popped.filter(_length() < longest).unionByName(started).select("lang", "phrase"))
+    while lower <= most or not found.isEmpty():
+        started = words.filter((F.col("f") >= lower) & (F.col("f") < lower * band))
+        lower *= band
+        # the first words of this round, and the children of the last one, without the hopeless
+        popped = cut_lineage(hopeful(found.unionByName(started)))
+        children = popped.filter(_length() > 1)
+        nodes = popped.filter(_length() < longest).select("lang", "phrase")
         tails = popped.filter(_length() > 2).select(
             "lang", "phrase", F.explode(F.sequence(F.lit(1), _length() - 2)).alias("k")
         ).select("lang", _rest(F.col("k")).alias("phrase")).distinct()
-        lower *= band
-        if nodes.isEmpty() and popped.isEmpty():
-            if lower > most:
-                break
-            found = words.filter("false")
-            continue
-        passed = count_phrases(corpus, build_bloom(phrase_hashes(nodes), PHRASE_BITS),
-                               build_bloom(phrase_hashes(tails), PHRASE_BITS), longest)
-        counts = counts.unionByName(cut_lineage(passed.filter(F.col("f") >= least).join(
-            counts.select("lang", "phrase"), ["lang", "phrase"], "left_anti")))
-        settled = settled.unionByName(cut_lineage(
-            _survivors(_scored(popped, counts, totals), counts, percent)))
-        low = _first(settled, keep).groupBy("lang").agg(F.min("score").alias("low"), F.count("*").alias("c"))
+        asked = nodes.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
+        passed = count_phrases(corpus, build_bloom(phrase_hashes(asked), PHRASE_BITS), longest)
+        counts.add(passed.filter(F.col("f") >= least).join(
+            counts.read().select("lang", "phrase"), ["lang", "phrase"], "left_anti"))
+        settled.add(_survivors(_scored(children, counts.read(), totals), counts.read(), percent))
+        low = _first(settled.read(), keep).groupBy("lang").agg(
+            F.min("score").alias("low"), F.count("*").alias("c"))
         limits = cut_lineage(totals.join(low, "lang", "left").select(
             "lang", "n", F.when(F.col("c") >= keep, F.col("low")).otherwise(F.lit(0)).alias("limit")))
         found = cut_lineage(
-            counts.filter(_length() > 1).withColumn("parent", _head(_length() - 1))
+            counts.read().filter(_length() > 1).withColumn("parent", _head(_length() - 1))
             .join(nodes.select("lang", F.col("phrase").alias("parent")), ["lang", "parent"], "left_semi")
             .select("lang", "phrase", "f"))
-    return _first(settled, keep).select(
+    return _first(settled.read(), keep).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from shutterlake.session import ship_package
+from shutterlake.session import shared_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TEXTS_AT_ONCE = 256  # texts turned into Python objects at a time
@@ -93,6 +94,26 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class GrowingTable:
+    """A table in the shared folder that gains rows round by round and is read by one scan."""
+
+    def __init__(self, spark: SparkSession, ddl: str):
+        self._spark = spark
+        self._schema = StructType.fromDDL(ddl)
+        self._folder = f"{shared_dir(spark).rstrip('/')}/kept/{uuid.uuid4().hex}"
+        self._parts: list[str] = []
+
+    def add(self, rows: DataFrame) -> None:
+        path = f"{self._folder}/{len(self._parts)}"
+        rows.select(*self._schema.names).write.parquet(path)
+        self._parts.append(path)
+
+    def read(self) -> DataFrame:
+        if not self._parts:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(*self._parts)
+
+
 def code_point_offsets(data: bytes, offsets: list[int]) -> list[int]:
     """Code-point positions of ascending byte offsets in UTF-8 bytes."""
     out, seen, at = [], 0, 0
