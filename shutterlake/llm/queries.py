@@ -232,3 +232,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query()
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shutterlake.llm.alignment import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"))[0]
