@@ -42,13 +42,16 @@ from shutterlake.session import cut_lineage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, KEEP = 100, 5, 2000
-BAND = 64                 # each round's first words may be so many times as frequent as the last round's
-CHUNK_WORDS = 1 << 19     # numbers of a row of the written corpus
+BAND = 16                 # each round's first words may be so many times as frequent as the last round's
+CHUNK_WORDS = 1 << 18     # numbers of a row of the written corpus
 FLUSH = 1 << 18           # phrases or words a task adds up before it sends them on
 PHRASE_BITS = 1 << 24     # 2 MB a filter
 COUNTED = "lang string, phrase string, f long"
 SETTLED = "lang string, phrase string, a long, l long, r long, n long, score long"
-TAIL = np.uint64(0x9E3779B97F4A7C15)  # tells the hashes of tails from those of nodes, in one filter
+ASKED = "lang string, phrase string"
+#: a filter holds phrases in three roles, told apart by what is added to their hashes: nodes, tails, and
+#: whatever was a node or a tail so far
+NODE, TAIL, EVER = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
 CHUNKS = "lang string, words array<binary>, numbers binary"
 
 _LOWER = bytes(10 if b in BREAKS else b for b in bytes(range(256)).lower())
@@ -126,7 +129,7 @@ def _joined(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """(hash) of (lang, phrase, tail) rows, as the passes compute it from the words."""
+    """(hash) of (lang, phrase, role) rows, as the passes compute it from the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +140,10 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
                 for word in words[1:]:
                     total = _joined(total, word)
                 out[i] = total[0]
-            out[np.asarray(batch.column(2).cast(pa.int8())).astype(bool)] ^= TAIL
+            out ^= np.array([NODE, TAIL, EVER])[np.asarray(batch.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["hash"])
 
-    return phrases.select("lang", "phrase", "tail").mapInArrow(run, "hash long")
+    return phrases.select("lang", "phrase", "role").mapInArrow(run, "hash long")
 
 
 def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text",
@@ -150,7 +153,7 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
     0 ends a piece or stands for words that are not frequent; runs of 0 are one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        build_bloom(phrase_hashes(frequent.withColumn("tail", F.lit(False))), PHRASE_BITS).words)
+        build_bloom(phrase_hashes(frequent.withColumn("role", F.lit(0))), PHRASE_BITS).words)
     kind = arrow_schema(CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,8 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
             renumbered = np.zeros(len(words) + 1, dtype=np.int32)
             renumbered[1:][known] = np.arange(1, known.sum() + 1)
             out = renumbered[np.array(numbers, dtype=np.int32)]
-            again = np.concatenate([[False], (out[1:] == 0) & (out[:-1] == 0)])
+            again = np.zeros(len(out), dtype=bool)
+            again[1:] = (out[1:] == 0) & (out[:-1] == 0)
             kept = [w for w, k in zip(words, known) if k]
             return pa.RecordBatch.from_pylist(
                 [{"lang": lang, "words": kept, "numbers": out[~again].tobytes()}], schema=kind)
@@ -215,33 +219,43 @@ def count_phrases(corpus: DataFrame, wanted: Bloom, longest: int) -> DataFrame:
     return passed.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _holds(bloom: Bloom, hashes: np.ndarray) -> np.ndarray:
+    """As ``bloom.holds``, for hashes most of which are not in it: the others are looked at once."""
+    bits = np.uint64(64 * len(bloom.words) - 1)
+    place = hashes & bits
+    found = (bloom.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    found[found] = bloom.holds(hashes[found])
+    return found
+
+
 def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, bloom: Bloom,
                    longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Distinct phrases of one chunk that a pass counts, with their numbers of occurrences."""
+    """Distinct phrases of one chunk that a pass counts, with their numbers of occurrences.
+
+    The last number is 0, so that the word behind any phrase, and before the first, can be looked at.
+    """
     if not words:
         return
     hashes = np.concatenate([np.zeros(1, dtype=np.uint64), _word_hash(words)])
     of_word = hashes[numbers]
     named = pa.array([b"", *words], pa.binary()).cast(pa.string())
-    inside = np.flatnonzero(numbers)           # starts of phrases of the present length
-    total = of_word[inside] + _seed(lang)
-    node = np.zeros(len(numbers), dtype=bool)  # whether the shorter phrase that starts here is a node
-    word_nodes = np.concatenate([[False], bloom.holds(hashes[1:] + _seed(lang))])
-    node[inside] = word_nodes[numbers[inside]]
+    alive = np.flatnonzero(numbers)  # starts of words, then of longer phrases that were ever asked for
+    total = of_word[alive] + _seed(lang)
+    word_nodes = np.concatenate([[False], bloom.holds(hashes[1:] + _seed(lang) ^ NODE)])
+    nodes = alive[word_nodes[numbers[alive]]]
     for size in range(2, longest + 1):
-        reach = inside + (size - 1) < len(numbers)
-        inside, total = inside[reach], total[reach]
-        whole = numbers[inside + (size - 1)] > 0
-        inside = inside[whole]
-        total = _joined(total[whole], of_word[inside + (size - 1)])
-        wanted = node[inside]
+        wanted = [nodes[numbers[nodes + size - 1] > 0]]
         if size > 2:
-            wanted = wanted | node[inside + 1]
+            wanted.append(nodes[numbers[nodes - 1] > 0] - 1)
         if size < longest:
-            wanted = wanted | bloom.holds(total ^ TAIL)
-            node = np.zeros(len(numbers), dtype=bool)
-            node[inside] = bloom.holds(total)
-        starts = inside[wanted]
+            whole = numbers[alive + size - 1] > 0
+            alive, total = alive[whole], total[whole]
+            total = _joined(total, of_word[alive + size - 1])
+            ever = _holds(bloom, total ^ EVER)
+            alive, total = alive[ever], total[ever]
+            nodes = alive[bloom.holds(total ^ NODE)]
+            wanted.append(alive[bloom.holds(total ^ TAIL)])
+        starts = np.unique(np.concatenate(wanted))
         if len(starts):
             yield _added_up(starts, numbers, size, named, len(words) + 1)
 
@@ -330,6 +344,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     most = words.agg(F.max("f")).first()[0] or 0
     counts = GrowingTable(docs.sparkSession, COUNTED)      # all counts known so far, each phrase once
     settled = GrowingTable(docs.sparkSession, SETTLED)     # phrases whose cuts and longer phrases are known
+    ever = GrowingTable(docs.sparkSession, ASKED)          # nodes of two or more words, and tails, so far
     counts.add(words)
     found = words.filter("false")                          # children of the last round's nodes
     limits = totals.withColumn("limit", F.lit(0).cast("long"))
@@ -351,8 +366,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         tails = popped.filter(_length() > 2).select(
             "lang", "phrase", F.explode(F.sequence(F.lit(1), _length() - 2)).alias("k")
         ).select("lang", _rest(F.col("k")).alias("phrase")).distinct()
-        asked = nodes.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
-        passed = count_phrases(corpus, build_bloom(phrase_hashes(asked), PHRASE_BITS), longest)
+        ever.add(children.select("lang", "phrase").unionByName(tails))
+        roles = (nodes.withColumn("role", F.lit(0)).unionByName(tails.withColumn("role", F.lit(1)))
+                 .unionByName(ever.read().withColumn("role", F.lit(2))))
+        passed = count_phrases(corpus, build_bloom(phrase_hashes(roles), PHRASE_BITS), longest)
         counts.add(passed.filter(F.col("f") >= least).join(
             counts.read().select("lang", "phrase"), ["lang", "phrase"], "left_anti"))
         settled.add(_survivors(_scored(children, counts.read(), totals), counts.read(), percent))
