@@ -17,18 +17,18 @@ and pair, and a merged run cannot hold more pairs than the two vocabularies make
 
 Defined results: texts that are null, empty, or whose tokens' bytes are not those of space+text (on either
 side) have no tokens: all numbers are 0 and groups_sha256 is ''. Repeated rows are texts of their own and
-all count. A null id stays. Other columns are not looked at. The groups of some texts are held at
-once, at least of one whole text.
+all count. A null id stays. Other columns are not looked at. The tokens of one text are held at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import re
-import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +45,11 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"      # side A
 PIECE_BPE = "piece_bpe_32k.model"   # side B
 
+#: how byte-level BPE cuts a text before merging (fixed value)
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: what is left to the slower library: characters whose class may differ between editions of Unicode,
+#: and long runs without a space
+UNCOMMON = re.compile("[^\x00-\u024f]|[^ \n]{1000}")
 RADIX = 16              # parts of the pairs, by B id
 RUN_LINKS = 1 << 21     # records a task holds before it writes its runs
 RUN_DOCS = 1 << 16      # documents of a run: a place takes 16 bits
@@ -80,6 +85,7 @@ class Tokenizers:
 
         self._a = Tokenizer.from_file(byte_path)
         self._a.encode_special_tokens = True  # their strings inside a text are text
+        self._ranked = _by_rank(byte_path)
         self._b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         symbols = byte_symbols()
         entries = self._a.get_vocab(with_added_tokens=True)
@@ -90,6 +96,8 @@ class Tokenizers:
         self.bytes_b = [self._piece_bytes(i) for i in range(self._b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) > MOST_IDS:
             raise ValueError(f"a vocabulary has more than {MOST_IDS} ids")
+        self.lengths_a = np.array([len(b) for b in self.bytes_a], dtype=np.int64)
+        self.lengths_b = np.array([len(b) for b in self.bytes_b], dtype=np.int64)
 
     def _piece_bytes(self, number: int) -> bytes:
         if self._b.is_control(number) or self._b.is_unknown(number):
@@ -99,24 +107,43 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    @property
-    def separable(self) -> bool:
-        """Whether no piece goes on behind a space, so that words before a space are encoded by themselves."""
-        return not any(b" " in piece.lstrip(b" ") for piece in self.bytes_b)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both sides of texts that start with the added space, None where a side's bytes differ."""
-        sides = (
-            [e.ids for e in self._a.encode_batch_fast(texts, add_special_tokens=False)],
-            self._b.encode([text[1:] for text in texts], num_threads=1),
-        )
-        out = []
-        for text, a, b in zip(texts, *sides):
-            data = text.encode()
-            same = (b"".join(map(self.bytes_a.__getitem__, a)) == data
-                    and b"".join(map(self.bytes_b.__getitem__, b)) == data)
-            out.append((a, b) if same else None)
-        return out
+    def _encode_a(self, text: str, whole: bytes) -> np.ndarray | None:
+        """The two ways give the same ids; the first is several times as fast and always spells the text."""
+        if self._ranked and not UNCOMMON.search(text):
+            return self._ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        ids = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if b"".join(map(self.bytes_a.__getitem__, ids)) != whole:
+            return None
+        return np.array(ids, dtype=np.int64)
+
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides, or None where a side's bytes are not space+text."""
+        text = data.decode("utf-8")
+        whole = b" " + data
+        a = self._encode_a(" " + text, whole)
+        if a is None:
+            return None
+        b = self._b.encode(text)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return None
+        return a, np.array(b, dtype=np.int64)
+
+
+def _by_rank(byte_path: str):
+    """The same vocabulary as an encoder by rank; None where ids are not in the order of the merges."""
+    import tiktoken
+
+    with open(byte_path, encoding="utf-8") as file:
+        read = json.load(file)
+    symbols = byte_symbols()
+    vocabulary, merges = read["model"]["vocab"], read["model"]["merges"]
+    special = {token["content"] for token in read["added_tokens"]}
+    ranks = {bytes(symbols[c] for c in entry): number for entry, number in vocabulary.items() if entry not in special}
+    pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in merges]
+    ordered = all(vocabulary["".join(pair)] == 256 + at for at, pair in enumerate(pairs))
+    if not ordered or len(ranks) != 256 + len(merges):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=1)
@@ -124,82 +151,54 @@ def _tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
     return Tokenizers(byte_path, piece_path)
 
 
-# --- documents --------------------------------------------------------------------------------
+# --- one document -----------------------------------------------------------------------------
 
-#: Both sides start a token at a space between a visible ASCII character and an ASCII letter: side A's
-#: words take one space before letters, and side B's pieces do not go on behind a space. What lies
-#: between two such places is encoded and aligned by itself, and once for all its repetitions.
-BOUNDARY = re.compile(r"(?<=[!-~])(?= [A-Za-z])")
-WORDS_KEPT = 200_000    # aligned stretches a worker keeps
-LONG_WORD = 64          # longer stretches are not kept
-CHARS_AT_ONCE = 1 << 20
+@dataclass
+class Aligned:
+    a: np.ndarray        # ids
+    b: np.ndarray
+    last_a: np.ndarray   # whether a group ends with the token
+    last_b: np.ndarray
 
+    @property
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A and B ids of the tokens that end together, in order."""
+        return self.a[self.last_a], self.b[self.last_b]
 
-class Aligner:
-    """Groups and links of texts, remembering short stretches of them."""
 
-    def __init__(self, tokenizers: Tokenizers, radix: int = RADIX):
+class Aligner:
+    def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.keys = PairKeys(len(tokenizers.bytes_a), len(tokenizers.bytes_b), radix)
-        self._separable = tokenizers.separable
-        self._known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
-
-    def align(self, datas: list[bytes | None]) -> list[tuple[int, int, bytes, np.ndarray] | None]:
-        """Per text the number of A and B tokens, the groups and the keys of the links; None without tokens."""
-        cut = [self._stretches(data.decode()) if data else None for data in datas]
-        found = self._look_up({stretch for stretches in cut if stretches for stretch in stretches})
-        out = []
-        for stretches in cut:
-            parts = [found[stretch] for stretch in stretches] if stretches else [None]
-            if None in parts:
-                out.append(None)
-                continue
-            n_a, n_b, groups, links = zip(*parts)
-            out.append((sum(n_a), sum(n_b), b";".join(groups), np.frombuffer(b"".join(links), dtype=np.int64)))
-        return out
-
-    def _stretches(self, text: str) -> list[str]:
-        return BOUNDARY.split(" " + text) if self._separable else [" " + text]
-
-    def _look_up(self, wanted: set[str]) -> dict:
-        fresh = [stretch for stretch in wanted if stretch not in self._known]
-        if len(self._known) + len(fresh) > WORDS_KEPT:
-            self._known = {stretch: self._known[stretch] for stretch in wanted if stretch in self._known}
-        found = {stretch: encoded and self._grouped(*encoded)
-                 for stretch, encoded in zip(fresh, self.tokenizers.encode(fresh))}
-        self._known.update((k, v) for k, v in found.items() if len(k) <= LONG_WORD)
-        return self._known if len(fresh) == 0 else {**self._known, **found}
-
-    def _grouped(self, a: list[int], b: list[int]) -> tuple[int, int, bytes, bytes]:
-        """Tokens have at least one byte, so that an offset ends one token of a side at most."""
-        bytes_a, bytes_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        groups, links = [], []
-        first_a = first_b = at_b = end_a = end_b = 0
-        for at_a, token in enumerate(a, 1):
-            end_a += len(bytes_a[token])
-            while end_b < end_a:
-                end_b += len(bytes_b[b[at_b]])
-                at_b += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:at_a]))}|{','.join(map(str, b[first_b:at_b]))}")
-                links.append(self.keys.key(token, b[at_b - 1]))
-                first_a, first_b = at_a, at_b
-        return len(a), len(b), ";".join(groups).encode(), struct.pack(f"<{len(links)}q", *links)
-
-
-def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes | None]]]:
-    """Ids and texts, some at a time."""
-    ids = batch.column(0).to_pylist()
-    at = size = 0
-    held: list[bytes | None] = []
-    for texts in byte_texts(batch.column(1)):
-        for data in texts:
-            held.append(data)
-            size += len(data or b"")
-            if size >= CHARS_AT_ONCE:
-                yield ids[at:at + len(held)], held
-                at, size, held = at + len(held), 0, []
-    yield ids[at:], held
+        self.size_a, self.size_b = len(tokenizers.bytes_a), len(tokenizers.bytes_b)
+        # decimal ids with what follows them inside and at the end of a group, for both sides
+        self._written = [f"{i}{mark}".encode() for size, marks in ((self.size_a, ",|"), (self.size_b, ",;"))
+                         for mark in marks for i in range(size)]
+
+    def align(self, data: bytes | None) -> Aligned | None:
+        encoded = self.tokenizers.encode(data) if data else None
+        if encoded is None:
+            return None
+        a, b = encoded
+        ends_a = np.cumsum(self.tokenizers.lengths_a[a])
+        ends_b = np.cumsum(self.tokenizers.lengths_b[b])
+        # tokens have at least one byte, so that an offset ends one token of a side at most
+        in_a = np.zeros(len(data) + 2, dtype=bool)
+        in_b = np.zeros(len(data) + 2, dtype=bool)
+        in_a[ends_a] = True
+        in_b[ends_b] = True
+        return Aligned(a, b, in_b[ends_a], in_a[ends_b])
+
+    def groups(self, found: Aligned) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the ids of all groups."""
+        codes = np.empty(len(found.a) + len(found.b), dtype=np.int64)
+        first_a = np.concatenate([[0], np.flatnonzero(found.last_a) + 1])
+        first_b = np.concatenate([[0], np.flatnonzero(found.last_b) + 1])
+        group_a = np.cumsum(found.last_a) - found.last_a
+        group_b = np.cumsum(found.last_b) - found.last_b
+        codes[np.arange(len(found.a)) + first_b[group_a]] = found.a + self.size_a * found.last_a
+        codes[np.arange(len(found.b)) + first_a[group_b + 1]] = (
+            2 * self.size_a + found.b + self.size_b * found.last_b)
+        return b"".join(map(self._written.__getitem__, codes.tolist()))[:-1]
 
 
 def token_groups(docs: DataFrame, folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +208,10 @@ def token_groups(docs: DataFrame, folder: str = FOLDER, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(_tokenizers(*paths))
         for batch in batches:
-            for ids, datas in _in_slices(batch):
-                groups = [found and found[2].decode() for found in aligner.align(datas)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.string())],
-                                                 names=["doc_id", "groups"])
+            found = [aligner.align(d) for texts in byte_texts(batch.column(1)) for d in texts]
+            groups = [f and aligner.groups(f).decode() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string())],
+                                             names=["doc_id", "groups"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(
         run, "doc_id long, groups string")
@@ -243,7 +242,7 @@ class PairKeys:
         self.size_a, self.radix = size_a, radix
         self.width = -(-size_b // radix)
 
-    def key(self, a: int, b: int) -> int:
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (b % self.radix * self.width + b // self.radix) * self.size_a + a
 
     def ids(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,30 +277,32 @@ def aligned_runs(docs: DataFrame, folder: str, id_col: str, text_col: str, radix
     kind = arrow_schema(ddl)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(_tokenizers(*paths), radix)
+        aligner = Aligner(_tokenizers(*paths))
+        keys = PairKeys(aligner.size_a, aligner.size_b, radix)
         run = TaskContext.get().partitionId() << 32
         heads: list[dict] = []
         links: list[np.ndarray] = []
         held = 0
-
-        def written() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([*heads, *run_rows(run, links, aligner.keys)], schema=kind)
-
         for batch in batches:
-            for ids, datas in _in_slices(batch):
-                for doc_id, found in zip(ids, aligner.align(datas)):
-                    n_a, n_b, groups, own = found or (0, 0, b"", np.zeros(0, dtype=np.int64))
-                    heads.append({
-                        "run": run, "place": len(heads), "doc_id": doc_id, "n_a": n_a, "n_b": n_b,
-                        "n_groups": len(own), "n_links": len(own),
-                        "groups_sha256": hashlib.sha256(groups).hexdigest() if groups else ""})
-                    links.append(own)
-                    held += len(own)
-                    if held >= run_links or len(heads) == RUN_DOCS:
-                        yield written()
-                        run, heads, links, held = run + 1, [], [], 0
+            ids = batch.column(0).to_pylist()
+            datas = (data for texts in byte_texts(batch.column(1)) for data in texts)
+            for doc_id, data in zip(ids, datas):
+                head = {"run": run, "place": len(heads), "doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0,
+                        "n_links": 0, "groups_sha256": ""}
+                found = aligner.align(data)
+                own = np.zeros(0, dtype=np.int64)
+                if found is not None:
+                    own = keys.keys(*found.links)
+                    head |= {"n_a": len(found.a), "n_b": len(found.b), "n_groups": len(own), "n_links": len(own),
+                             "groups_sha256": hashlib.sha256(aligner.groups(found)).hexdigest()}
+                heads.append(head)
+                links.append(own)
+                held += len(own)
+                if held >= run_links or len(heads) == RUN_DOCS:
+                    yield pa.RecordBatch.from_pylist([*heads, *run_rows(run, links, keys)], schema=kind)
+                    run, heads, links, held = run + 1, [], [], 0
         if heads:
-            yield written()
+            yield pa.RecordBatch.from_pylist([*heads, *run_rows(run, links, keys)], schema=kind)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
     return cut_lineage(rows.mapInArrow(build, ddl))

@@ -42,9 +42,9 @@ from shutterlake.session import cut_lineage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, KEEP = 100, 5, 2000
-BAND = 16                 # each round's first words may be so many times as frequent as the last round's
+BAND = 32                 # each round's first words may be so many times as frequent as the last round's
 CHUNK_WORDS = 1 << 18     # numbers of a row of the written corpus
-FLUSH = 1 << 18           # phrases or words a task adds up before it sends them on
+FLUSH = 1 << 19           # phrases or words a task adds up before it sends them on
 PHRASE_BITS = 1 << 24     # 2 MB a filter
 COUNTED = "lang string, phrase string, f long"
 SETTLED = "lang string, phrase string, a long, l long, r long, n long, score long"

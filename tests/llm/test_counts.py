@@ -123,10 +123,10 @@ def plain_alignment(rows, tokenizers):
     """Groups by walking both sides token by token."""
     docs = []
     for doc_id, text in rows:
-        encoded = tokenizers.encode([" " + text])[0] if text else None
+        encoded = tokenizers.encode(text.encode()) if text else None
         groups, own_a, own_b, at_a, at_b = [], [], [], 0, 0
-        if encoded:
-            a, b = map(list, encoded)
+        if encoded is not None:
+            a, b = (ids.tolist() for ids in encoded)
             while a or b:
                 if at_a <= at_b and a and not (at_a == at_b and own_a):
                     own_a.append(a.pop(0))
@@ -184,7 +184,7 @@ def test_groups_spell_the_text(spark, tokenizers):
     for doc_id, groups in token_groups(df).collect():
         text = TEXTS[doc_id]
         if groups is None:
-            assert not text or Aligner(tokenizers).align([text.encode()]) == [None]
+            assert not text or Aligner(tokenizers).align(text.encode()) is None
             continue
         sides = [[[int(i) for i in side.split(",")] for side in group.split("|")] for group in groups.split(";")]
         for a, b in sides:
@@ -193,38 +193,22 @@ def test_groups_spell_the_text(spark, tokenizers):
 
 
 def test_texts_whose_bytes_change_have_no_tokens(tokenizers):
-    aligner = Aligner(tokenizers)
-    # the mark of side B stands for a space, also where the stretch is known
-    texts = ["a▁b", "some words a▁b and more", None, "", "fine words", "some words a▁b and more"]
-    found = aligner.align([t if t is None else t.encode() for t in texts])
-    assert [f is None for f in found] == [True, True, True, True, False, True]
-    assert b"50256" not in aligner.align([b"<|endoftext|>"])[0][2]
+    assert Aligner(tokenizers).align("a▁b".encode()) is None  # the mark of side B stands for a space
+    assert Aligner(tokenizers).align(None) is None and Aligner(tokenizers).align(b"") is None
+    assert 50256 not in Aligner(tokenizers).align(b"<|endoftext|>").a.tolist()
 
 
-def test_stretches_are_encoded_like_the_whole(spark, tokenizers):
-    """Cutting at spaces changes no id: every text of the table, and random mixtures, encoded both ways."""
-    assert tokenizers.separable
+def test_both_ways_of_side_a_agree(spark, tokenizers):
+    """The encoder by rank gives the library's ids: every text of the table, random mixtures, all characters it takes."""
     texts = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()]
     rng = random.Random(3)
-    bits = ["a", "Z", "don't", " ", "  ", "\n", "\t", "\u00a0", "é", "漢", "1", "-", ".", "'s", " x", "▁", "\u3000", "🙂", "\x00"]
+    bits = ["a", "Z", "don't", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "é", "1", "²", "-", ".", "'s", " x", "\x00", "\x1f"]
     texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    whole = Aligner(tokenizers)
-    whole._separable = False
-    for one, other in zip(Aligner(tokenizers).align([t.encode() for t in texts]),
-                          whole.align([t.encode() for t in texts])):
-        assert (one is None) == (other is None)
-        assert one is None or (one[:3] == other[:3] and (one[3] == other[3]).all())
-
-
-def test_forgotten_stretches_are_found_again(tokenizers, monkeypatch):
-    from shutterlake.llm import alignment
-
-    monkeypatch.setattr(alignment, "WORDS_KEPT", 3)
-    monkeypatch.setattr(alignment, "LONG_WORD", 6)
-    aligner = Aligner(tokenizers)
-    texts = [b"one two three four five sixsixsix", b"one six seven", b"two one nine ten eleven", b"one two"]
-    fresh = [Aligner(tokenizers).align([t])[0][2] for t in texts]
-    assert [aligner.align([t])[0][2] for t in texts] == fresh == [f[2] for f in aligner.align(texts)]
+    texts += [f" a{chr(c)}b{chr(c)}{chr(c)} {chr(c)}1{chr(c)} {chr(c)}" for c in range(0x250)]
+    assert tokenizers._ranked is not None
+    for text in texts:
+        library = tokenizers._a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        assert tokenizers._ranked.encode_ordinary(" " + text) == library
 
 
 def test_byte_symbols_cover_all_bytes():
