@@ -13,6 +13,7 @@ from shutterlake.functions.scalars import round_half_up
 from shutterlake.functions.vectors import l2_normalise
 from shutterlake.operators.facegraph import (
     component_links,
+    hit_links,
     vector_groups,
     with_valid_embedding,
 )
@@ -28,11 +29,13 @@ CANDIDATE_MIN_SCORE = 0.65
 CANDIDATE_TOP_K = 5
 CANDIDATES_KEPT = 5
 
+SLICE_ROWS = 200_000   # faces looked at together, over all tasks
 WAVE_ROWS = 20_000     # faces of one component placed by one task at a time
 WHOLE_PERSON_ROWS = 8192
 FACE_SCHEMA = "component BIGINT, id BIGINT, embedding ARRAY<FLOAT>, wave INT"
 PLACED = "component BIGINT, id BIGINT, cluster BIGINT"
 PLACED_SCHEMA = f"{PLACED}, wave INT"
+DONE = "id BIGINT, cluster BIGINT"
 HISTOGRAM_BINS = 1024
 HISTOGRAM_LEVELS = 4   # 2 / 1024**4 < 2e-12: bins end narrower than rounding noise
 
@@ -113,45 +116,88 @@ def place_faces(ids: np.ndarray, vectors: np.ndarray, open_clusters: list[dict],
     return out
 
 
-def cluster_components(faces: DataFrame, threshold: float) -> DataFrame:
-    """(id, component) for faces that can share a cluster with another face.
+def conflict_links(faces: DataFrame, members: DataFrame | None, threshold: float) -> DataFrame:
+    """(src, dst) links between faces, and between faces and clusters, that can meet in a cluster.
 
     On unit vectors a face is only admitted to a cluster when some member has similarity of at
-    least threshold**1.5, so clusters never cross components of the graph at that similarity.
+    least threshold**1.5, so faces and clusters that are not connected by such similarities never
+    influence each other. ``members(cluster, id, embedding)`` are those of the open clusters; a cluster is
+    named by an id that no face of ``faces`` has. The links are linear in the rows compared.
     """
+    near = threshold**1.5 - 1e-9
     groups = vector_groups(faces)
-    between = component_links(groups, threshold**1.5 - 1e-9)
-    links = (
+    links = component_links(groups, near).unionByName(
         faces.join(groups.filter("copies > 1").select("embedding", "rep"), "embedding")
         .filter("id <> rep")
         .select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     )
-    return connected_components(between.unionByName(links))
+    if members is None:
+        return links
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return hit_links(matrix(a["embedding"]), matrix(b["embedding"]), a["rep"].to_numpy(),
+                         b["cluster"].to_numpy(), near)
+
+    reps = groups.select("rep", "embedding")
+    return links.unionByName(cross_tiles(
+        reps, members.select("cluster", "id", "embedding"), "rep", "id", kernel, "src BIGINT, dst BIGINT",
+        tile_count(reps), tile_count(members)))
 
 
 def capped_average_linkage(faces: DataFrame, threshold: float = CLUSTER_THRESHOLD,
-                           cap: int = MAX_CLUSTER_SIZE, wave_rows: int = WAVE_ROWS) -> DataFrame:
+                           cap: int = MAX_CLUSTER_SIZE, wave_rows: int = WAVE_ROWS,
+                           slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(id, cluster): greedy clusters in id order, named by their lowest id.
 
-    Faces alone in their component are clusters by themselves and never reach Python. The others
-    are placed component by component. A component larger than ``wave_rows`` is placed in several
-    waves, in id order: each wave's task sees that wave's faces and the still open clusters only
-    (full clusters can take nobody), so an oversized component is exact and bounded per task.
+    Faces are placed in slices of ``slice_rows`` in id order. Within a slice only faces that can influence each
+    other, directly or through a cluster that is still open, have to be placed one after the other:
+    they form components, which are found from links and placed by one task each. A component with
+    more than ``wave_rows`` faces of the slice is placed in several waves, in id order. A task sees
+    the faces of its wave and the members of the open clusters of its component, so its input stays bounded
+    also where similarities connect the whole library. Faces without links are clusters by themselves
+    and never reach Python.
     """
     low, high = THRESHOLD_RANGE
     if not low <= threshold <= high:
         raise ValueError(f"threshold must be within {low} and {high}")
+    unit = l2_normalise(F.col("embedding")).cast("array<float>").alias("embedding")
+    whole = faces.select("id", unit).withColumn("_all", F.lit(0))
     units = cut_lineage(
-        faces.select("id", l2_normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
+        number_within(whole, ["_all"], "id", [], "_seq")
+        .select("id", "embedding", F.floor((F.col("_seq") - 1) / slice_rows).cast("int").alias("slice"))
     )
-    component = cluster_components(units, threshold)
-    joined = units.join(component, "id", "left")
-    lonely = joined.filter("component IS NULL").select("id", F.col("id").alias("cluster"))
-    crowd = joined.filter("component IS NOT NULL")
-    # Kept as tables in the shared folder: a wave reads its own partition of the faces and the
-    # placements so far, and the plan does not grow from wave to wave.
+    slices = 1 + (units.agg(F.max("slice")).first()[0] or 0)
+    # Kept as a table in the shared folder, a part per slice: the plan does not grow from slice to slice.
     spark = faces.sparkSession
     work = f"{shared_dir(spark).rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    for number in range(slices):
+        part = units.filter(F.col("slice") == number).select("id", "embedding")
+        done = spark.read.schema(DONE).parquet(f"{work}/slice=*") if number else None
+        members = done and _open_members(done.select("id", "cluster"), units.select("id", "embedding"), cap)
+        _place_slice(part, members and cut_lineage(members), threshold, cap, wave_rows).write.parquet(
+            f"{work}/slice={number}"
+        )
+    return spark.read.schema(DONE).parquet(f"{work}/slice=*")
+
+
+def _open_members(done: DataFrame, vectors: DataFrame, cap: int) -> DataFrame:
+    """(cluster, id, embedding) of the clusters that can take another face."""
+    still_open = done.groupBy("cluster").count().filter(F.col("count") < cap)
+    return (
+        done.join(still_open, "cluster", "left_semi").join(vectors, "id")
+        .select("cluster", "id", "embedding")
+    )
+
+
+def _place_slice(faces: DataFrame, members: DataFrame | None, threshold: float, cap: int,
+                 wave_rows: int) -> DataFrame:
+    """(id, cluster) of the faces of one slice, ``members`` being those of the clusters open before it."""
+    spark = faces.sparkSession
+    component = cut_lineage(connected_components(conflict_links(faces, members, threshold)))
+    joined = faces.join(component, "id", "left")
+    lonely = joined.filter("component IS NULL").select("id", F.col("id").alias("cluster"))
+    crowd = joined.filter("component IS NOT NULL")
+    work = f"{shared_dir(spark).rstrip('/')}/placed-{uuid.uuid4().hex}"
     number_within(crowd, ["component"], "id", [], "_seq").select(
         "component", "id", "embedding",
         F.floor((F.col("_seq") - 1) / wave_rows).cast("int").alias("wave"),
@@ -160,25 +206,30 @@ def capped_average_linkage(faces: DataFrame, threshold: float = CLUSTER_THRESHOL
     last = waves.agg(F.max("wave")).first()[0]
     if last is None:
         return lonely
+    known = None
+    if members is not None:
+        known = members.join(component.withColumnRenamed("id", "cluster"), "cluster")
     for wave in range(last + 1):
         rows = waves.filter(F.col("wave") == wave).select("component", "id", "embedding")
-        done = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed") if wave else None
-        _place_wave(rows, done, waves, threshold, cap).write.mode("overwrite").parquet(
+        placed = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed") if wave else None
+        _place_wave(rows, placed, known, waves, threshold, cap).write.mode("overwrite").parquet(
             f"{work}/placed/wave={wave}"
         )
-    done = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed")
-    return lonely.unionByName(done.select("id", "cluster"))
+    placed = spark.read.schema(PLACED_SCHEMA).parquet(f"{work}/placed")
+    return lonely.unionByName(placed.select("id", "cluster"))
 
 
-def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, threshold: float,
-                cap: int) -> DataFrame:
+def _place_wave(rows: DataFrame, placed: DataFrame | None, known: DataFrame | None, waves: DataFrame,
+                threshold: float, cap: int) -> DataFrame:
+    """Places one wave next to the slice's earlier waves and the open clusters of earlier slices."""
     def place(block: pd.DataFrame, members: pd.DataFrame | None) -> pd.DataFrame:
         block = block.sort_values("id")
         open_clusters = []
         if members is not None and len(members):
             for name, part in members.sort_values("id").groupby("cluster", sort=True):
-                vectors = matrix(part["embedding"])
-                open_clusters.append({"name": name, "size": len(part), "sum": vectors.sum(axis=0)})
+                if len(part) < cap:
+                    vectors = matrix(part["embedding"])
+                    open_clusters.append({"name": name, "size": len(part), "sum": vectors.sum(axis=0)})
         cluster = place_faces(
             block["id"].to_numpy(), matrix(block["embedding"]), open_clusters, threshold, cap
         )
@@ -186,22 +237,26 @@ def _place_wave(rows: DataFrame, done: DataFrame | None, waves: DataFrame, thres
             {"component": block["component"], "id": block["id"], "cluster": cluster}
         )
 
-    if done is None:
-        return rows.groupBy("component").applyInPandas(lambda b: place(b, None), PLACED)
     waiting = rows.select("component").distinct()
-    still_open = done.join(waiting, "component", "left_semi").groupBy("cluster").count()
-    members = (
-        done.join(still_open.filter(F.col("count") < cap), "cluster", "left_semi")
-        .join(waves.select("id", "embedding"), "id")
-        .join(waiting, "component", "left_semi")
-    )
+    parts = []
+    if known is not None:
+        parts.append(known.select("component", "cluster", "id", "embedding"))
+    if placed is not None:
+        vectors = waves.select("id", "embedding")
+        parts.append(placed.select("component", "cluster", "id").join(vectors, "id")
+                     .select("component", "cluster", "id", "embedding"))
+    if not parts:
+        return rows.groupBy("component").applyInPandas(lambda b: place(b, None), PLACED)
+    members = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    still_open = members.groupBy("cluster").count().filter(F.col("count") < cap)
+    members = members.join(still_open, "cluster", "left_semi").join(waiting, "component", "left_semi")
     # fresh column identities: both sides come from the same table
     members = members.select(*[F.col(c).alias(c) for c in members.columns])
 
-    def both(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def both(block: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if len(block) == 0:
             return pd.DataFrame({"component": [], "id": [], "cluster": []})
-        return place(block, known)
+        return place(block, others)
 
     return rows.groupBy("component").cogroup(members.groupBy("component")).applyInPandas(both, PLACED)
 

@@ -106,6 +106,30 @@ def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
     return self_tiles(vectors, "rep", kernel, PAIR_SCHEMA, tiles)
 
 
+def hit_links(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray,
+              threshold: float) -> pd.DataFrame:
+    """(src, dst): a link from the lowest id to every other of each component that the hits make.
+
+    Rows of ``a`` and ``b`` are named by ``left`` and ``right``; several rows may have one name.
+    """
+    ids = np.unique(np.concatenate([left, right]))
+    of_left, of_right = np.searchsorted(ids, left), np.searchsorted(ids, right)
+    label = np.arange(len(ids))
+    for start in range(0, len(a), STRIP_ROWS):
+        rows, cols = np.nonzero(a[start:start + STRIP_ROWS] @ b.T >= threshold)
+        u, v = of_left[rows + start], of_right[cols]
+        while True:
+            low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(label, high[apart], low[apart])
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+    moved = label != np.arange(len(ids))
+    return pd.DataFrame({"src": ids[label[moved]], "dst": ids[moved]})
+
+
 def component_links(groups: DataFrame, threshold: float) -> DataFrame:
     """(src, dst) links that connect the same vectors as all pairs >= threshold do.
 
@@ -117,27 +141,7 @@ def component_links(groups: DataFrame, threshold: float) -> DataFrame:
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
         a = matrix(left["embedding"])
         b = a if same else matrix(right["embedding"])
-        ids = left["rep"].to_numpy()
-        if not same:
-            ids = np.concatenate([ids, right["rep"].to_numpy()])
-        ids, order = np.sort(ids), np.argsort(ids)
-        place = np.empty(len(order), dtype=np.int64)   # row -> position by id
-        place[order] = np.arange(len(order))
-        label = np.arange(len(ids))
-        offset = 0 if same else len(left)
-        for start in range(0, len(a), STRIP_ROWS):
-            rows, cols = np.nonzero(a[start:start + STRIP_ROWS] @ b.T >= threshold)
-            u, v = place[rows + start], place[cols + offset]
-            while True:
-                low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
-                apart = low < high
-                if not apart.any():
-                    break
-                np.minimum.at(label, high[apart], low[apart])
-                while not np.array_equal(label, label[label]):
-                    label = label[label]
-        moved = label != np.arange(len(ids))
-        yield pd.DataFrame({"src": ids[label[moved]], "dst": ids[moved]})
+        yield hit_links(a, b, left["rep"].to_numpy(), right["rep"].to_numpy(), threshold)
 
     return self_tiles(vectors, "rep", kernel, "src BIGINT, dst BIGINT", tile_count(vectors))
 

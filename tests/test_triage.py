@@ -50,6 +50,22 @@ def test_clusters_equal_greedy(spark, seed, wave):
     assert got == greedy(range(160), vectors.astype(np.float64), 0.55, 8)
 
 
+@pytest.mark.parametrize("seed,slice_rows,wave", [(5, 40, 20_000), (6, 55, 30)])
+def test_slices_equal_greedy(spark, seed, slice_rows, wave):
+    """Later slices go on with the clusters that earlier ones left open."""
+    vectors = people_vectors(np.random.default_rng(seed), 160, people=4)
+    vectors[70:80] = vectors[10]
+    got = rows(cluster.capped_average_linkage(frame(spark, vectors), 0.45, 8, wave_rows=wave, slice_rows=slice_rows))
+    assert got == greedy(range(160), vectors.astype(np.float64), 0.45, 8)
+
+
+def test_one_component_in_waves_and_slices(spark):
+    """All faces alike: waves of 25 in slices of 50."""
+    vectors = people_vectors(np.random.default_rng(7), 90, people=1, noise=0.2)
+    got = rows(cluster.capped_average_linkage(frame(spark, vectors), 0.55, 20, wave_rows=25, slice_rows=50))
+    assert got == greedy(range(90), vectors.astype(np.float64), 0.55, 20)
+
+
 def test_copies_fill_clusters_up_to_the_cap(spark):
     vectors = np.vstack([people_vectors(np.random.default_rng(4), 5)] + [unit(np.ones((1, 12), np.float32))] * 50)
     got = rows(cluster.capped_average_linkage(frame(spark, vectors), 0.55, 20, wave_rows=9))
