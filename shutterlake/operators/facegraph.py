@@ -13,10 +13,12 @@ from shutterlake.functions.vectors import (
     embedding_from_info,
     valid_embedding,
 )
+from shutterlake.operators.cells import CELL_ROWS, RECALL, cell_tiles, hyperplane_pairs
 from shutterlake.operators.graph import reachable, undirected
 from shutterlake.operators.keyed import page
 from shutterlake.operators.neardup import canonical_match_insert
 from shutterlake.operators.tiles import (
+    MOST_TILE_ROWS,
     STRIP_ROWS,
     cross_tiles,
     matrix,
@@ -60,16 +62,20 @@ def vector_members(features: DataFrame) -> DataFrame:
     return with_valid_embedding(features).join(groups, "embedding").select("id", "rep")
 
 
-def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD, approx: bool = False,
+                    recall: float = RECALL) -> DataFrame:
     """Pairs with cosine >= threshold: (feature_id, matching_feature_id, similarity).
 
-    Exact. Equal vectors are folded into their lowest id first: the result has every pair of
+    Exact, unless ``approx``. Equal vectors are folded into their lowest id first: the result has every pair of
     distinct vectors plus one link from each lowest id to each of its copies, from which all
     matches of any feature follow (``neighbours``). Blocks of distinct vectors are compared by
-    matrix product; a pair below the threshold never leaves its task.
+    matrix product; a pair below the threshold never leaves its task. Large tables are dealt to cells around
+    pivots, and a row only meets the cells that distance bounds cannot rule out; these bounds save much at
+    high thresholds and little below 0.7. With ``approx`` rows only meet where random hyperplanes put
+    them together: every pair found is right, and a pair is found with probability ``recall`` at least.
     """
     groups = vector_groups(features)
-    pairs = distinct_vector_pairs(groups, threshold)
+    pairs = _hashed_pairs(groups, threshold, recall) if approx else distinct_vector_pairs(groups, threshold)
     links = (
         with_valid_embedding(features)
         .join(groups.filter("copies > 1").select("embedding", "rep"), "embedding")
@@ -84,9 +90,9 @@ def similarity_join(features: DataFrame, threshold: float = MATCH_THRESHOLD) ->
     return pairs.unionByName(links)
 
 
-def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
+def distinct_vector_pairs(groups: DataFrame, threshold: float, cell_rows: int = CELL_ROWS,
+                          tile_rows: int = MOST_TILE_ROWS) -> DataFrame:
     vectors = groups.select("rep", "embedding")
-    tiles = tile_count(vectors)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool):
         a = matrix(left["embedding"])
@@ -103,7 +109,22 @@ def distinct_vector_pairs(groups: DataFrame, threshold: float) -> DataFrame:
                 {"feature_id": small, "matching_feature_id": large, "similarity": score}
             )
 
-    return self_tiles(vectors, "rep", kernel, PAIR_SCHEMA, tiles)
+    pivots = vectors.count() // cell_rows
+    if pivots < 2:
+        return self_tiles(vectors, "rep", kernel, PAIR_SCHEMA, tile_count(vectors))
+    return cell_tiles(vectors, "rep", kernel, PAIR_SCHEMA, threshold, pivots, tile_rows)
+
+
+def _hashed_pairs(groups: DataFrame, threshold: float, recall: float) -> DataFrame:
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        scores = matrix(a["embedding"]) @ matrix(b["embedding"]).T
+        small, large = a["rep"].to_numpy(), b["rep"].to_numpy()
+        rows, cols = np.nonzero((scores >= threshold) & (small[:, None] < large[None, :]))
+        return pd.DataFrame({"feature_id": small[rows], "matching_feature_id": large[cols],
+                             "similarity": scores[rows, cols]})
+
+    met = hyperplane_pairs(groups.select("rep", "embedding"), "rep", kernel, PAIR_SCHEMA, threshold, recall)
+    return met.dropDuplicates(["feature_id", "matching_feature_id"])
 
 
 def hit_links(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray,

@@ -49,6 +49,11 @@ def self_tiles(df: DataFrame, id_col: str, kernel: Callable, schema: str,
         .drop("_other")
     )
 
+    return compare_tiles(spread, kernel, schema)
+
+
+def compare_tiles(spread: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """Runs ``kernel`` on every pair of tiles (_i, _j) of rows that carry their own tile as ``_own``."""
     def compare(
         key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]
     ) -> Iterator[pd.DataFrame]:
@@ -58,7 +63,8 @@ def self_tiles(df: DataFrame, id_col: str, kernel: Callable, schema: str,
             yield from kernel(block, block, True)
         else:
             first = (block["_own"] == i).to_numpy()
-            yield from kernel(block[first], block[~first], False)
+            if first.any() and not first.all():
+                yield from kernel(block[first], block[~first], False)
 
     return spread.groupBy("_i", "_j").applyInPandas(compare, schema)
 

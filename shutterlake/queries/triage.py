@@ -12,6 +12,7 @@ from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
 from shutterlake.queries.similarity import EDGES, _pairs
 
+WIDE = cluster.THRESHOLD_RANGE[0]
 LOW_SCORE = 0.12   # the benchmark vectors are nearly orthogonal
 
 SCORES = {
@@ -30,30 +31,32 @@ SCORES = {
         QUALIFY rank <= 5""",
 }
 
+
 # The greedy rule itself: one face an iteration, carrying the clusters that are not full
-CLUSTERS = {
-    "unlinked": SCORES["unlinked"],
-    "unit": """
-        SELECT id, row_number() OVER (ORDER BY id) AS seq, list_transform(list_transform(embedding,
-            lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), lambda x: x::FLOAT::DOUBLE) AS v
-        FROM unlinked""",
-    "greedy": f"""
-        SELECT 0::BIGINT AS seq, NULL::BIGINT AS id, NULL::BIGINT AS cluster, []::STRUCT(name BIGINT, s DOUBLE[], n BIGINT)[] AS open
-        UNION ALL
-        SELECT seq, id, cluster, list_filter(list_transform(
-            CASE WHEN cluster = id THEN list_append(open, {{'name': id, 's': list_transform(v, lambda x: 0::DOUBLE), 'n': 0::BIGINT}}) ELSE open END,
-            lambda c: CASE WHEN c.name = cluster THEN {{'name': c.name, 's': list_transform(list_zip(c.s, v), lambda z: z[1] + z[2]), 'n': c.n + 1}}
-              ELSE c END), lambda c: c.n < {cluster.MAX_CLUSTER_SIZE}) AS open
-        FROM (SELECT seq, id, v, open, CASE WHEN best.score >= {cluster.CLUSTER_THRESHOLD} AND best.mean >= {cluster.CLUSTER_THRESHOLD}
-                THEN -best.earlier ELSE id END AS cluster
-          FROM (SELECT u.seq, u.id, u.v, g.open, list_sort(list_transform(g.open, lambda c: {{
-                'score': list_inner_product(c.s, u.v) / sqrt(list_inner_product(c.s, c.s)), 'earlier': -c.name,
-                'mean': list_inner_product(c.s, u.v) / c.n}}), 'DESC')[1] AS best
-              FROM greedy AS g JOIN unit AS u ON u.seq = g.seq + 1))""",
-    "clustered": "SELECT id, cluster FROM greedy WHERE seq > 0",
-    "summary": """SELECT min(id) AS representative_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS feature_ids, count(*) AS size
-        FROM clustered GROUP BY cluster""",
-}
+def _clusters(threshold: float = cluster.CLUSTER_THRESHOLD) -> dict[str, str]:
+    return {
+        "unlinked": SCORES["unlinked"],
+        "unit": """
+            SELECT id, row_number() OVER (ORDER BY id) AS seq, list_transform(list_transform(embedding,
+                lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), lambda x: x::FLOAT::DOUBLE) AS v
+            FROM unlinked""",
+        "greedy": f"""
+            SELECT 0::BIGINT AS seq, NULL::BIGINT AS id, NULL::BIGINT AS cluster, []::STRUCT(name BIGINT, s DOUBLE[], n BIGINT)[] AS open
+            UNION ALL
+            SELECT seq, id, cluster, list_filter(list_transform(
+                CASE WHEN cluster = id THEN list_append(open, {{'name': id, 's': list_transform(v, lambda x: 0::DOUBLE), 'n': 0::BIGINT}}) ELSE open END,
+                lambda c: CASE WHEN c.name = cluster THEN {{'name': c.name, 's': list_transform(list_zip(c.s, v), lambda z: z[1] + z[2]), 'n': c.n + 1}}
+                  ELSE c END), lambda c: c.n < {cluster.MAX_CLUSTER_SIZE}) AS open
+            FROM (SELECT seq, id, v, open, CASE WHEN best.score >= {threshold} AND best.mean >= {threshold}
+                    THEN -best.earlier ELSE id END AS cluster
+              FROM (SELECT u.seq, u.id, u.v, g.open, list_sort(list_transform(g.open, lambda c: {{
+                    'score': list_inner_product(c.s, u.v) / sqrt(list_inner_product(c.s, c.s)), 'earlier': -c.name,
+                    'mean': list_inner_product(c.s, u.v) / c.n}}), 'DESC')[1] AS best
+                  FROM greedy AS g JOIN unit AS u ON u.seq = g.seq + 1))""",
+        "clustered": "SELECT id, cluster FROM greedy WHERE seq > 0",
+        "summary": """SELECT min(id) AS representative_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS feature_ids, count(*) AS size
+            FROM clustered GROUP BY cluster""",
+    }
 
 
 def _scored(lib: Library):
@@ -93,13 +96,19 @@ def connected_faces(lib: Library):
     return connected_components(component_links(vector_groups(lib.feature), EDGES))
 
 
-@query("SELECT id, cluster FROM clustered", CLUSTERS)
+@query("SELECT id, cluster FROM clustered", _clusters())
 def capped_average_linkage(lib: Library):
     faces = cluster.unlinked_features(lib.feature, lib.person_feature)
     return cluster.capped_average_linkage(faces)
 
 
-@query("SELECT representative_id, feature_ids, size FROM summary", CLUSTERS)
+@query("SELECT id, cluster FROM clustered", _clusters(WIDE))
+def capped_average_linkage_wide(lib: Library):
+    """At the lowest threshold, where clusters of the benchmark vectors have several members."""
+    return cluster.capped_average_linkage(cluster.unlinked_features(lib.feature, lib.person_feature), WIDE)
+
+
+@query("SELECT representative_id, feature_ids, size FROM summary", _clusters())
 def cluster_representative(lib: Library):
     faces = cluster.unlinked_features(lib.feature, lib.person_feature)
     return cluster.cluster_summary(cluster.capped_average_linkage(faces)).withColumn(
@@ -159,7 +168,7 @@ def triage_tiers(lib: Library):
 @query("""
     SELECT representative_id, size, floor(c.score * 1000 + 0.5) / 1000 AS top_score, c.person_id AS top_person_id,
       CASE WHEN size > 1 AND c.score IS NOT NULL THEN 'suggested' WHEN size > 1 THEN 'unsuggested' ELSE 'single' END AS tier
-    FROM summary LEFT JOIN candidate c ON c.rep_id = representative_id AND c.rank = 1""", {**CLUSTERS, **SCORES})
+    FROM summary LEFT JOIN candidate c ON c.rep_id = representative_id AND c.rank = 1""", {**_clusters(), **SCORES})
 def face_triage(lib: Library):
     """The whole triage listing: clusters, candidates, order."""
     return triage.face_triage(
