@@ -9,7 +9,7 @@ from shutterlake.functions.files import full_path
 from shutterlake.functions.geo import pixel_x, pixel_y
 from shutterlake.functions.scalars import contains_ignore_case, normal_word
 from shutterlake.operators.graph import folder_chains
-from shutterlake.operators.keyed import find_or_create
+from shutterlake.operators.keyed import find_or_create, page
 
 # Bounding boxes of the thumbnail tiers, largest first.
 THUMBNAIL_TIERS = [(1920, 1080), (1280, 720), (640, 480), (300, 300), (150, 100)]
@@ -290,6 +290,12 @@ def gps_items(items: DataFrame, info: str = "info", latitude: str = "$.gps.latit
     ).filter("latitude IS NOT NULL")
 
 
+def gps_page(found: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """One page of ``gps_items`` by id, with the number of all of them as ``total``."""
+    total = found.agg(F.count("*")).scalar()
+    return page(found, ["id"], offset, limit).withColumn("total", total)
+
+
 def map_clusters(points: DataFrame, zoom: int, cell_pixels: int = CLUSTER_PIXELS) -> DataFrame:
     """Markers per screen cell: count, mean position, bounds and size class."""
     cells = points.withColumns({

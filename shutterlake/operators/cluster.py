@@ -492,6 +492,11 @@ def cluster_order() -> list[Column]:
     ]
 
 
+def cluster_totals(summary: DataFrame) -> DataFrame:
+    """One row (total, total_faces) over all clusters of a listing."""
+    return summary.agg(F.count("*").alias("total"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_faces"))
+
+
 def cluster_page(ranked: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     return page(ranked, cluster_order(), offset, limit)
 

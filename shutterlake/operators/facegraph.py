@@ -361,3 +361,11 @@ def reembed_worklist(features: DataFrame, items: DataFrame, links: DataFrame, fi
             "usable",
         )
     )
+
+
+def reembed_counts(features: DataFrame, worklist: DataFrame) -> DataFrame:
+    """One row (total, updated, skipped): features that can be read again from a file, and those left as they are."""
+    totals = features.agg(F.count("*").alias("total"))
+    updated = worklist.filter("usable").agg(F.count_distinct("feature_id").alias("updated"))
+    return totals.select("total", updated.scalar().alias("updated")).withColumn(
+        "skipped", F.col("total") - F.col("updated"))

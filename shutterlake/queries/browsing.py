@@ -160,6 +160,16 @@ def gps_items(lib: Library):
     return found.withColumn("total", found.agg(F.count("*")).scalar())
 
 
+@query("""SELECT event_id AS id, event_type AS name, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, value AS longitude,
+            (SELECT count(*) FROM events WHERE json_extract(props, '$.k') IS NOT NULL) AS total
+          FROM events WHERE json_extract(props, '$.k') IS NOT NULL ORDER BY event_id LIMIT 1000 OFFSET 50""")
+def gps_page(lib: Library):
+    info = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("value").alias("v")))
+    items = lib.raw("events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.lit("image").alias("type"), info.alias("info"))
+    return browse.gps_page(browse.gps_items(items, latitude="$.k", longitude="$.v"), 50).drop("type")
+
+
 @query("""
     SELECT cell_x, cell_y, count(*) AS items, round(avg(lat), 6) AS latitude, min(lon) AS west, max(lon) AS east,
       CASE WHEN count(*) >= 100 THEN 'large' WHEN count(*) >= 10 THEN 'medium' ELSE 'small' END AS size_class

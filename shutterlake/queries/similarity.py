@@ -66,9 +66,13 @@ def _transitive(lib: Library):
 
 
 def pixel_images(lib: Library):
-    """Grey images made of the whole text of each document, 32 pixels wide; the last row is filled up with black."""
-    height = F.greatest(F.ceil(F.octet_length("text") / 32).cast("int"), F.lit(1))
-    data = F.rpad(F.encode("text", "UTF-8"), height * 32, F.lit(b"\0"))
+    """Grey images made of the whole text of each document, 32 pixels wide; the last row is filled up with black.
+
+    A null text is an empty one: a black row.
+    """
+    text = F.coalesce("text", F.lit(""))
+    height = F.greatest(F.ceil(F.octet_length(text) / 32).cast("int"), F.lit(1))
+    data = F.rpad(F.encode(text, "UTF-8"), height * 32, F.lit(b"\0"))
     return lib.raw("documents").select(
         F.col("doc_id").alias("id"), F.lit(32).alias("width"), height.alias("height"),
         F.lit(1).alias("channels"), data.alias("data"))
@@ -283,3 +287,15 @@ def apply_rejections(lib: Library):
 def reembed_worklist(lib: Library):
     return facegraph.reembed_worklist(
         lib.feature, lib.media_item, lib.media_item_file, lib.file, lib.path, F.col("label") != "9")
+
+
+@query("""
+    SELECT count(*) AS total, count(*) FILTER (located AND label <> '9') AS updated,
+      count(*) FILTER (NOT located OR label = '9') AS skipped
+    FROM (SELECT f.label, f.item_id IN (SELECT l.media_item_id FROM media_item_file l JOIN file x ON x.id = l.file_id
+        JOIN path p ON p.id = x.path_id JOIN media_item m ON m.id = l.media_item_id WHERE l.is_primary) AS located FROM feature f)""")
+def reembed_counts(lib: Library):
+    usable = F.col("label") != "9"
+    worklist = facegraph.reembed_worklist(
+        lib.feature, lib.media_item, lib.media_item_file, lib.file, lib.path, usable)
+    return facegraph.reembed_counts(lib.feature, worklist)

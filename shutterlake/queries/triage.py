@@ -156,6 +156,12 @@ def rank_clusters(lib: Library):
     return cluster.cluster_page(ranked).withColumn("total", summary.agg(F.count("*")).scalar())
 
 
+@query("SELECT count(*) AS total, sum(size)::BIGINT AS total_faces FROM summary", _clusters(WIDE))
+def cluster_totals(lib: Library):
+    faces = cluster.unlinked_features(lib.feature, lib.person_feature)
+    return cluster.cluster_totals(cluster.cluster_summary(cluster.capped_average_linkage(faces, WIDE)))
+
+
 @query("""SELECT c_custkey AS id, CASE WHEN c_nationkey > 12 AND c_acctbal > 0 THEN 'suggested'
             WHEN c_nationkey > 12 THEN 'unsuggested' ELSE 'single' END AS tier FROM customer""")
 def triage_tiers(lib: Library):
