@@ -99,7 +99,8 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str
     """Every row and column of ``documents``, with n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts the words inside any occurrence of a window; n_items the items with an occurring
-    window, and items_sha256 hashes their ids, sorted as strings and joined by commas. ``prefix``
+    window, and items_sha256 hashes their ids, sorted as strings and joined by commas. Items without an id
+    are searched too: their words are hit, they count as one item and add nothing to the hash. ``prefix``
     goes before the new names where ``documents`` has columns of these names.
     """
     windows = cut_lineage(benchmark_windows(benchmark, item_col, item_text_col, width))
@@ -112,8 +113,7 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(slices)) == number)
         carried = defaultdict(list)
         for row in part.collect():  # at most about slice_windows rows
-            if row["item"] is not None:
-                carried[tuple(row["window"].encode().split(b" "))].append(row["item"])
+            carried[tuple(row["window"].encode().split(b" "))].append(row["item"])
         marked = _scan(marked, text_col, dict(carried), hits, items, f"{prefix}n_words")
         if number + 1 < slices:
             marked = cut_lineage(marked)
@@ -131,12 +131,12 @@ def _scan(df: DataFrame, text_col: str, windows: dict, hits: str, items: str, n_
 
         def scan(data: bytes | None):
             places: list[int] = []
-            found: set[str] = set()
+            found: set[str | None] = set()
             words = words_of(data)
             for start, size, carried in search.occurrences(words):
                 places += (start, size)
                 found.update(carried)
-            return places, sorted(found), len(words)
+            return places, sorted(found, key=lambda item: (item is None, item or "")), len(words)
 
         return scan
 

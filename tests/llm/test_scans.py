@@ -209,3 +209,12 @@ def test_window_search_overlaps():
     search = WindowSearch({(b"a", b"b", b"a"): ["p"], (b"b", b"a"): ["q"], (b"a",): ["r"]})
     found = sorted((s, n) for s, n, _ in search.occurrences([b"a", b"b", b"a", b"b", b"a"]))
     assert found == [(0, 1), (0, 3), (1, 2), (2, 1), (2, 3), (3, 2), (4, 1)]
+
+
+def test_items_without_an_id_are_searched(spark):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "x y"), (3, "d e a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "y"), ("k", "D e")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])
+           for r in mark_contamination(docs, items).collect()}
+    nothing, k = (hashlib.sha256(t).hexdigest() for t in (b"", b"k"))
+    assert got == {1: (4, 1, nothing, True), 2: (1, 1, nothing, True), 3: (5, 2, k, True)}
