@@ -52,7 +52,7 @@ ASKED = "lang string, phrase string"
 #: a filter holds phrases in three roles, told apart by what is added to their hashes: nodes, tails, and
 #: whatever was a node or a tail so far
 NODE, TAIL, EVER = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
-CHUNKS = "lang string, words array<binary>, numbers binary"
+CHUNKS = "lang string, words array<string>, hashes binary, numbers binary"
 
 _LOWER = bytes(10 if b in BREAKS else b for b in bytes(range(256)).lower())
 
@@ -148,7 +148,7 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
 
 def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text",
                     lang_col: str = "lang") -> DataFrame:
-    """The corpus as written rows (lang, words, numbers): numbers[i] - 1 is a place in ``words``.
+    """The corpus as written rows (lang, words, their hashes, numbers): numbers[i] - 1 is a place in ``words``.
 
     0 ends a piece or stands for words that are not frequent; runs of 0 are one.
     """
@@ -164,15 +164,16 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
         def chunk(lang: str) -> pa.RecordBatch:
             places, numbers = held.pop(lang)
             words = list(places)
-            known = bloom.holds(_word_hash(words) + _seed(lang))
+            hashes = _word_hash(words)
+            known = bloom.holds(hashes + _seed(lang))
             renumbered = np.zeros(len(words) + 1, dtype=np.int32)
             renumbered[1:][known] = np.arange(1, known.sum() + 1)
             out = renumbered[np.array(numbers, dtype=np.int32)]
             again = np.zeros(len(out), dtype=bool)
             again[1:] = (out[1:] == 0) & (out[:-1] == 0)
-            kept = [w for w, k in zip(words, known) if k]
-            return pa.RecordBatch.from_pylist(
-                [{"lang": lang, "words": kept, "numbers": out[~again].tobytes()}], schema=kind)
+            kept = [w.decode() for w, k in zip(words, known) if k]
+            return pa.RecordBatch.from_pylist([{"lang": lang, "words": kept, "hashes": hashes[known].tobytes(),
+                                                "numbers": out[~again].tobytes()}], schema=kind)
 
         for batch in batches:
             for lang, data in _language_texts(batch):
@@ -209,9 +210,10 @@ def count_phrases(corpus: DataFrame, wanted: Bloom, longest: int) -> DataFrame:
         bloom = Bloom(shared.value)
         for batch in batches:
             for at in range(len(batch)):  # a row is large
-                lang, words, numbers = (column.slice(at, 1).to_pylist()[0] for column in batch.columns)
-                found = _chunk_phrases(lang, words, np.frombuffer(numbers, dtype=np.int32), bloom, longest)
-                for phrases, counts in found:
+                lang, hashes, numbers = (batch.column(c)[at].as_py() for c in (0, 2, 3))
+                words = batch.column(1).slice(at, 1).flatten()
+                for phrases, counts in _chunk_phrases(lang, words, np.frombuffer(hashes, dtype=np.uint64),
+                                                      np.frombuffer(numbers, dtype=np.int32), bloom, longest):
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(lang, len(counts)), phrases, pa.array(counts)], schema=kind)
 
@@ -228,17 +230,17 @@ def _holds(bloom: Bloom, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _chunk_phrases(lang: str, words: list[bytes], numbers: np.ndarray, bloom: Bloom,
+def _chunk_phrases(lang: str, words: pa.Array, hashes: np.ndarray, numbers: np.ndarray, bloom: Bloom,
                    longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Distinct phrases of one chunk that a pass counts, with their numbers of occurrences.
 
     The last number is 0, so that the word behind any phrase, and before the first, can be looked at.
     """
-    if not words:
+    if not len(words):
         return
-    hashes = np.concatenate([np.zeros(1, dtype=np.uint64), _word_hash(words)])
+    hashes = np.concatenate([np.zeros(1, dtype=np.uint64), hashes])
     of_word = hashes[numbers]
-    named = pa.array([b"", *words], pa.binary()).cast(pa.string())
+    named = pa.concat_arrays([pa.array([""], words.type), words])
     alive = np.flatnonzero(numbers)  # starts of words, then of longer phrases that were ever asked for
     total = of_word[alive] + _seed(lang)
     word_nodes = np.concatenate([[False], bloom.holds(hashes[1:] + _seed(lang) ^ NODE)])
