@@ -17,8 +17,8 @@
 4. Components of the links (alternating large and small stars).
 
 Null and empty texts have an empty set and are linked with nothing. A row without an id gets the
-component of the equal texts that have one, else null. Rows that repeat an id are members of both
-texts' components, each row showing its own text's.
+component of the equal texts that have one, else null. Rows that repeat an id are documents of their own:
+sets are told apart by a number of their class, never by an id, and each row shows its own text's component.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from shutterlake.llm.bloom import build_bloom
 from shutterlake.llm.common import byte_texts, fresh_prefix
@@ -313,21 +313,23 @@ def counted_links(left: list[np.ndarray], right: list[np.ndarray] | None, weight
     return counts, links
 
 
-def block_links(sets: DataFrame, percent: int, chunk_sets: int, kind: str = "forest") -> DataFrame:
-    """Links among the doc_ids of each block; ``sets`` has block, doc_id, shingles.
+def block_links(sets: DataFrame, percent: int, chunk_sets: int, kind: str = "forest",
+                node: str = "doc_id") -> DataFrame:
+    """Links among the nodes of each block; ``sets`` has block, shingles and the column ``node``, which
+    tells different sets apart.
 
     ``kind`` "forest" gives (src, dst) that connect what all links connect, "pairs" all links. "counts", for
     which ``sets`` has the class sizes as weight, gives (src, dst, n_links): the forest's rows with 0 and
-    for each doc_id, as src and dst, the weights of those it is linked with, in parts to be summed.
+    for each node, as src and dst, the weights of those it is linked with, in parts to be summed.
     """
     sizes = sets.groupBy("block").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("chunks"))
-    dealt = sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    dealt = sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64(node), "chunks").cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", "doc_id", "shingles", "chunk", *(["weight"] if kind == "counts" else []),
+        "block", F.col(node).alias("node"), "shingles", "chunk", *(["weight"] if kind == "counts" else []),
         F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def join_chunks(table: pa.Table) -> pa.Table:
-        ids, chunk = np.asarray(table["doc_id"]), np.asarray(table["chunk"])
+        ids, chunk = np.asarray(table["node"]), np.asarray(table["chunk"])
         column = table["shingles"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         values, cuts = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)
@@ -366,16 +368,41 @@ def block_links(sets: DataFrame, percent: int, chunk_sets: int, kind: str = "for
 
 def classes_and_sets(sized: DataFrame, documents: DataFrame, width: int, percent: int, id_col: str,
                      text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal sets (h1, h2, rep, weight), and the representatives' sets by block."""
+    """The classes of equal sets (h1, h2, rep, weight, set_id), and the representatives' sets by block."""
     classes = cut_lineage(
         sized.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
+        .withColumn("set_id", F.monotonically_increasing_id()))
     edges = candidate_edges(candidate_keys(documents, text_col, width, percent))
     blocks = connected_components(edges).select(F.col("id").alias("h1"), F.col("component").alias("block"))
     members = cut_lineage(classes.join(blocks, "h1").withColumnRenamed("rep", "doc_id"))
     return classes, cut_lineage(block_sets(documents, members, id_col, text_col, width))
 
 
+def linked_classes(sized: DataFrame, documents: DataFrame, width: int, percent: int, id_col: str, text_col: str,
+                   chunk_sets: int, count_links: bool) -> DataFrame:
+    """(h1, h2, part, component_id) of every class of equal sets, with ``count_links`` also n_links.
+
+    ``part`` numbers the components; component_id is the smallest id in them.
+    """
+    classes, sets = classes_and_sets(sized, documents, width, percent, id_col, text_col)
+    named = classes
+    if count_links:
+        parts = cut_lineage(block_links(sets, percent, chunk_sets, "counts", "set_id"))
+        forest = parts.filter("src <> dst").select("src", "dst")
+        counts = parts.filter("src = dst").groupBy(F.col("src").alias("set_id")).agg(F.sum("n_links").alias("near"))
+        named = classes.join(counts, "set_id", "left")
+    else:
+        forest = block_links(sets, percent, chunk_sets, node="set_id")
+    found = cut_lineage(connected_components(forest).select(F.col("id").alias("set_id"), F.col("component").alias("root"))
+                        .join(classes.select("set_id", "rep"), "set_id"))
+    lowest = found.groupBy("root").agg(F.min("rep").alias("low"))
+    found = found.join(lowest, "root").select("set_id", "root", "low")
+    more = [(F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links")] if count_links else []
+    return named.join(found, "set_id", "left").select(
+        "h1", "h2", F.coalesce("root", "set_id").alias("part"), F.coalesce("low", "rep").alias("component_id"), *more)
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text", chunk_sets: int = 512, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``documents``; with ``count_links`` also n_links.
@@ -385,20 +412,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     row is linked with, those of equal sets included; 0 for a row without an id.
     """
     sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
-    classes, sets = classes_and_sets(sized, documents, width, percent, id_col, text_col)
-    named = classes
-    if count_links:
-        parts = cut_lineage(block_links(sets, percent, chunk_sets, "counts"))
-        forest = parts.filter("src <> dst").select("src", "dst")
-        counts = parts.filter("src = dst").groupBy(F.col("src").alias("rep")).agg(F.sum("n_links").alias("near"))
-        named = classes.join(counts, "rep", "left")
-    else:
-        forest = block_links(sets, percent, chunk_sets)
-    links = connected_components(forest)
-    found = links.select(F.col("id").alias("rep"), F.col("component"))
-    more = [(F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links")] if count_links else []
-    named = named.join(found, "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component_id"), *more)
+    named = linked_classes(sized, documents, width, percent, id_col, text_col, chunk_sets, count_links)
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(0)
     return sized.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles",
@@ -408,53 +422,69 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
 
 def similar_pairs(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text", chunk_sets: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(rep, other) of all linked classes of equal sets, ``rep`` < ``other``, and the membership (doc_id, rep).
+    """(rep, other) of all linked classes of equal sets, ``rep`` <= ``other``, and the membership (doc_id, rep).
 
     A class is named by its smallest id, and copies are not expanded: documents are linked if they have the same
-    representative or their representatives are a pair.
+    representative or their representatives are a pair. Where rows repeat an id, two classes can have one name.
     """
     sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
     classes, sets = classes_and_sets(sized, documents, width, percent, id_col, text_col)
-    pairs = block_links(sets, percent, chunk_sets, "pairs").select(
-        F.least("src", "dst").alias("rep"), F.greatest("src", "dst").alias("other"))
+    names = classes.select("set_id", "rep")
+    links = (block_links(sets, percent, chunk_sets, "pairs", "set_id")
+             .join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst"))
+    pairs = links.select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("other"))
     members = sized.filter("doc_id IS NOT NULL").join(classes, ["h1", "h2"]).select("doc_id", "rep")
     return pairs, members
 
 
 def keep_one_per_component(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                            text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose id is the smallest of its component, with all their columns.
+    """One row of ``documents`` for each component, that with the smallest id, with all its columns.
 
-    Rows that repeat an id are one document, which stays if one of its texts has the id as component, by
-    the row with the smallest text. Rows without an id stay. Only rows that a Bloom filter takes for
-    dropped or repeated ones are shuffled.
+    Where rows of one component repeat its smallest id, the one with the smallest text stays; rows that
+    repeat an id and lie in different components are judged apart. Rows without an id, and those without
+    words, stay. Only rows that a Bloom filter takes for dropped or repeated ones are shuffled.
     """
-    found = cut_lineage(near_duplicates(documents, width, percent, id_col, text_col))
-    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
-    doubtful = cut_lineage(ids.filter("n > 1 OR NOT stays"))
+    sized = cut_lineage(set_sizes(documents, id_col, text_col, width))
+    named = linked_classes(sized, documents, width, percent, id_col, text_col, 512, False)
+    found = cut_lineage(sized.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"])
+                        .select("doc_id", "h1", "h2", "part", (F.col("component_id") == F.col("doc_id")).alias("stays")))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays"))
+    doubtful = cut_lineage(ids.filter("n > 1 OR NOT stays").select("doc_id"))
     bloom = documents.sparkSession.sparkContext.broadcast(build_bloom(doubtful.select(F.xxhash64("doc_id"))))
     prefix = fresh_prefix(documents)
-    probe, hit = f"{prefix}probe", f"{prefix}hit"
+    probe, hit, first, second = (f"{prefix}{name}" for name in ("probe", "hit", "h1", "h2"))
     key = F.col(id_col).cast("long")
     probed = documents.withColumn(probe, F.when(key.isNotNull(), F.xxhash64(key)))
-    at = len(documents.columns)
-    schema = StructType([*documents.schema.fields, StructField(hit, BooleanType())])
+    at, text_at = len(documents.columns), documents.columns.index(text_col)
+    schema = StructType([*documents.schema.fields, StructField(hit, BooleanType()),
+                         StructField(first, LongType()), StructField(second, LongType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             known = np.asarray(batch.column(at).is_valid())
             values = np.asarray(batch.column(at).fill_null(0)).astype(np.int64).view(np.uint64)
             held = bloom.value.holds(values) & known
-            yield batch.set_column(at, hit, pa.array(held))
+            marks = [(None, None)] * batch.num_rows
+            for place in np.flatnonzero(held).tolist():
+                text = batch.column(text_at)[place].as_py()
+                shingles = shingle_set(hashes.of(text.encode().lower().split() if text else []), width)
+                held[place] = len(shingles) > 0
+                marks[place] = set_hash(shingles)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], pa.array(held), pa.array([m[0] for m in marks], pa.int64()),
+                 pa.array([m[1] for m in marks], pa.int64())], names=schema.names)
 
     judged = probed.mapInArrow(judge, schema)
-    sure = judged.filter(~F.col(hit)).drop(hit)
-    doubt = judged.filter(F.col(hit)).drop(hit).withColumn(probe, key)
-    info = doubtful.select(F.col("doc_id").alias(probe), F.col("n").alias(f"{prefix}n"), F.col("stays").alias(f"{prefix}stays"))
-    resolved = doubt.join(info, probe, "left").filter(F.coalesce(f"{prefix}stays", F.lit(True)))
-    single = resolved.filter(F.coalesce(f"{prefix}n", F.lit(1)) == 1)
-    first = Window.partitionBy(probe).orderBy(F.col(text_col).asc_nulls_last())
-    repeated = resolved.filter(F.col(f"{prefix}n") > 1).withColumn(hit, F.row_number().over(first)).filter(F.col(hit) == 1)
+    sure = judged.filter(~F.col(hit))
+    doubt = judged.filter(F.col(hit)).withColumn(probe, key)
+    info = found.groupBy("doc_id", "h1", "h2").agg(F.first("part").alias("part"), F.first("stays").alias("stays"))
+    info = info.join(doubtful, "doc_id", "left_semi").toDF(probe, first, second, f"{prefix}part", f"{prefix}stays")
+    resolved = doubt.join(info, [probe, first, second], "left").filter(F.coalesce(f"{prefix}stays", F.lit(True)))
+    single = resolved.filter(F.col(f"{prefix}stays").isNull())
+    order = Window.partitionBy(probe, f"{prefix}part").orderBy(F.col(text_col))
+    smallest = (resolved.filter(F.col(f"{prefix}stays"))
+                .withColumn(f"{prefix}place", F.row_number().over(order)).filter(F.col(f"{prefix}place") == 1))
     columns = documents.columns
-    return sure.select(*columns).unionByName(single.select(*columns)).unionByName(repeated.select(*columns))
+    return sure.select(*columns).unionByName(single.select(*columns)).unionByName(smallest.select(*columns))

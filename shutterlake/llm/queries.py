@@ -177,13 +177,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
     reach AS (WITH RECURSIVE t(a, b) AS (SELECT x, y FROM way UNION SELECT t.a, way.y FROM t JOIN way ON t.b = way.x)
         SELECT a, min(b) AS low FROM t GROUP BY 1)
-    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
-    FROM d LEFT JOIN size USING (doc_id) LEFT JOIN reach ON a = doc_id""")
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+      coalesce(n_links, 0)::BIGINT AS n_links
+    FROM d LEFT JOIN size USING (doc_id) LEFT JOIN reach ON a = doc_id
+      LEFT JOIN (SELECT x, count(*) AS n_links FROM way GROUP BY 1) ON x = doc_id""")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shutterlake.llm.jaccard_join import near_duplicates
 
-    # all links are found and counted; the query's SQL has no column for the number
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90, count_links=True).drop("n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90, count_links=True)
 
 
 @query()

@@ -127,10 +127,23 @@ def test_jaccard_odd_rows(spark, odd, nothing):
     kept = keep_one_per_component(odd, 3, 90)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert 13 not in ids and ids.count(1) == 1 and ids.count(None) == 1 and len(ids) == len(rows) - 2
+    # the two rows with id 1 are not alike: both stay
+    assert 13 not in ids and ids.count(1) == 2 and ids.count(None) == 1 and len(ids) == len(rows) - 1
     assert keep_one_per_component(nothing).count() == 0
 
 
+@pytest.mark.parametrize("chunk_sets", [1, 512])
+def test_repeated_ids_keep_their_own_links(spark, chunk_sets):
+    first, second = ([f"{name}{i}" for i in range(100)] for name in "ab")
+    chain = first[:60] + second[:60]  # of a text like neither
+    texts = [(1, first), (1, second), (2, first[:97]), (3, second[:97]), (1, first[:99]), (4, chain), (4, chain)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(df, 3, 90, chunk_sets=chunk_sets, count_links=True).collect())
+    assert got == [(1, 97, 1, 2), (1, 98, 1, 1), (1, 98, 1, 2), (2, 95, 1, 2), (3, 95, 1, 1), (4, 118, 4, 1), (4, 118, 4, 1)]
+    kept = sorted(tuple(r) for r in keep_one_per_component(df, 3, 90).collect())
+    assert kept == sorted([(1, " ".join(first[:99])), (1, " ".join(second)), (4, " ".join(chain))])
+
+
 def test_repeated_rows_of_a_block(spark):
     sets = [(1, i, list(range(100))) for i in (1, 2, 3)] * 2
     df = spark.createDataFrame(sets, "block long, doc_id long, shingles array<long>")
