@@ -6,23 +6,25 @@ with its own table from value to rows. Two codes within Hamming distance r agree
 substring up to its share of r, so probing the values within these shares retrieves every code within
 r; these candidates are then ranked by the exact inner product. The radius is learnt too: the true
 nearest rows of ``radius_queries`` sample queries are found among all rows, and r covers the distances
-of all but a small share of them.
+of all but a small share of them. Queries that find fewer than k rows within it are asked again with a
+wider radius, at last with one that no code exceeds, so every query gets its k rows (all, if fewer).
 
-Rows and queries are dealt by a hash of their ids to blocks of bounded size, and each pair of a query
+Rows and queries are dealt by a hash of their row numbers to blocks of bounded size, and each pair of a query
 block and a row block is one task's work, so equal vectors and popular regions are spread evenly. Norms
 may differ: codes are those of vectors extended by one coordinate to equal norms, which keeps the order
 of inner products.
 
 Null ids, null and zero vectors, and vectors holding null or non-finite components take no part; nor do
 vectors of another length than the most frequent one (the longer of equally frequent ones). Rows that
-repeat an id count once, with the smallest of their vectors. A query's own id is no neighbour of it.
+repeat an id, with equal or other vectors, are rows of their own: each is a candidate of the others, and
+each asks for itself. Only the query's own row is no neighbour of it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +64,13 @@ class Codes:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector) of the rows that take part."""
+    """(row, vec_id, vector) of the rows that take part; ``row`` numbers them."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = (vectors.filter(F.col(id_col).isNotNull() & v.isNotNull())
             .filter(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
-            .groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(v).alias("vector")))
+            .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
+                    v.alias("vector")))
     good = cut_lineage(good)
     common = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     return good.filter(F.size("vector") == common["dim"]) if common else good
@@ -82,8 +85,8 @@ def matrix(column) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
-    return np.asarray(found["vec_id"]), matrix(found["vector"])
+    found = rows.select("row", "vector").orderBy(F.xxhash64("row"), "row").limit(size).toArrow()
+    return np.asarray(found["row"]), matrix(found["vector"])
 
 
 def learn_codes(rows: DataFrame, bits: int = 64, sample_rows: int = 4096, rounds: int = 30) -> Codes:
@@ -124,11 +127,11 @@ def learn_radius(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, radi
         scores = np.zeros((len(ids), 0))  # of the best k rows this task has seen, and their distances
         apart = np.zeros((len(ids), 0), dtype=np.int32)
         for batch in batches:
-            vec_ids, vectors = np.asarray(batch.column(0)), matrix(batch.column(1))
-            if not len(vec_ids):
+            numbers, vectors = np.asarray(batch.column(0)), matrix(batch.column(1))
+            if not len(numbers):
                 continue
             fresh = asked @ vectors.T
-            fresh[ids[:, None] == vec_ids[None, :]] = -np.inf
+            fresh[ids[:, None] == numbers[None, :]] = -np.inf
             distance = np.bitwise_count(own[:, None, :] ^ codes.of_rows(vectors)[None, :, :]).sum(axis=2)
             scores, apart = np.hstack([scores, fresh]), np.hstack([apart, distance.astype(np.int32)])
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -137,7 +140,7 @@ def learn_radius(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, radi
             [pa.array(np.repeat(ids, scores.shape[1])), pa.array(scores.ravel()), pa.array(apart.ravel())],
             names=["query_id", "score", "apart"])
 
-    found = rows.select("vec_id", "vector").mapInArrow(nearest, "query_id long, score double, apart int")
+    found = rows.select("row", "vector").mapInArrow(nearest, "query_id long, score double, apart int")
     ranked = found.filter(F.col("score") > float("-inf")).withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
     apart = sorted(r["apart"] for r in ranked.filter(F.col("rank") <= k).select("apart").collect())
@@ -167,6 +170,9 @@ class PieceTables:
         for j, share in enumerate(self.shares):
             if share < 0:
                 continue
+            if share >= PIECE_BITS:
+                hit[:] = True
+                break
             start, order = self.start[j], self.order[j]
             for value in self.near[share][code[j]]:
                 hit[order[start[value]:start[value + 1]]] = True
@@ -177,7 +183,7 @@ class PieceTables:
 
 def search(rows: DataFrame, queries: DataFrame, codes: Codes, k: int = 20, row_block: int = 32_768,
            query_block: int = 8_192) -> DataFrame:
-    """(query_id, rank, vec_id, score): the best k candidates of each query, ties to the smaller id."""
+    """(query_row, query_id, rank, vec_id, score): the best k rows within the radius, ties to the smaller id."""
     n_rows, n_queries = rows.count(), queries.count()
     busy = rows.sparkSession.sparkContext.defaultParallelism * 2
     row_blocks = max(1, math.ceil(n_rows / row_block), min(busy, math.ceil(n_rows / 1024)))
@@ -190,36 +196,56 @@ def search(rows: DataFrame, queries: DataFrame, codes: Codes, k: int = 20, row_b
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = queries.select("vec_id", "vector", F.lit(True).alias("asks"), block("vec_id", query_blocks).alias("q"),
+    left = queries.select("row", "vec_id", "vector", F.lit(True).alias("asks"), block("row", query_blocks).alias("q"),
                           every(row_blocks).alias("r"))
-    right = rows.select("vec_id", "vector", F.lit(False).alias("asks"), every(query_blocks).alias("q"),
-                        block("vec_id", row_blocks).alias("r"))
+    right = rows.select("row", "vec_id", "vector", F.lit(False).alias("asks"), every(query_blocks).alias("q"),
+                        block("row", row_blocks).alias("r"))
 
     def compare(table: pa.Table) -> pa.Table:
         codes = shared.value
         asks = np.asarray(table["asks"].combine_chunks().cast(pa.uint8())).astype(bool)
-        ids, vectors = np.asarray(table["vec_id"]), matrix(table["vector"])
-        own, asked, row_ids, row_vectors = ids[asks], vectors[asks], ids[~asks], vectors[~asks]
-        out: tuple[list, list, list] = ([], [], [])
-        if len(own) and len(row_ids):
+        ids, vectors, numbers = np.asarray(table["vec_id"]), matrix(table["vector"]), np.asarray(table["row"])
+        row_ids, row_numbers, row_vectors = ids[~asks], numbers[~asks], vectors[~asks]
+        out: tuple[list, ...] = ([], [], [], [])
+        if asks.any() and len(row_ids):
             tables = PieceTables(codes.of_rows(row_vectors), codes.radius)
-            for query_id, vector, code in zip(own, asked, codes.of_queries(asked)):
+            for number, query_id, vector, code in zip(numbers[asks], ids[asks], vectors[asks],
+                                                      codes.of_queries(vectors[asks])):
                 found = tables.within(code)
-                found = found[row_ids[found] != query_id]
+                found = found[row_numbers[found] != number]
                 scores = (row_vectors[found] * vector).sum(axis=1)
                 best = np.lexsort((row_ids[found], -scores))[:k]
-                out[0].append(np.full(len(best), query_id))
-                out[1].append(row_ids[found][best])
-                out[2].append(scores[best])
+                out[0].append(np.full(len(best), number))
+                out[1].append(np.full(len(best), query_id))
+                out[2].append(row_ids[found][best])
+                out[3].append(scores[best])
         columns = [np.concatenate(c) if c else np.array([]) for c in out]
-        return pa.table({"query_id": pa.array(columns[0].astype(np.int64)),
-                         "vec_id": pa.array(columns[1].astype(np.int64)),
-                         "score": pa.array(columns[2].astype(np.float64))})
+        return pa.table({"query_row": pa.array(columns[0].astype(np.int64)),
+                         "query_id": pa.array(columns[1].astype(np.int64)),
+                         "vec_id": pa.array(columns[2].astype(np.int64)),
+                         "score": pa.array(columns[3].astype(np.float64))})
 
-    found = left.unionByName(right).groupBy("q", "r").applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = left.unionByName(right).groupBy("q", "r").applyInArrow(
+        compare, "query_row long, query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
+
+
+def search_widening(rows: DataFrame, queries: DataFrame, codes: Codes, k: int) -> DataFrame:
+    """``search``, with twice the radius for the queries it leaves with fewer rows than there are, until all have them."""
+    wanted = min(k, rows.count() - 1)
+    bits = codes.pieces * PIECE_BITS
+    found = cut_lineage(search(rows, queries, codes, k))
+    while codes.radius < bits:
+        full = found.groupBy("query_row").count().filter(F.col("count") >= wanted)
+        short = cut_lineage(queries.join(full, queries["row"] == full["query_row"], "left_anti"))
+        if wanted < 1 or short.isEmpty():
+            break
+        codes = replace(codes, radius=min(bits, max(2 * codes.radius, PIECE_BITS)))
+        asked = short.select(F.col("row").alias("query_row"))
+        found = cut_lineage(found.join(asked, "query_row", "left_anti").unionByName(search(rows, short, codes, k)))
+    return found
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
@@ -230,4 +256,4 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes = learn_radius(rows, queries, learn_codes(rows, bits), k)
-    return search(rows, queries, codes, k)
+    return search_widening(rows, queries, codes, k).drop("query_row")

@@ -191,6 +191,30 @@ def test_nearest_odd_vectors(spark):
     assert nearest_neighbours(df, F.lit(False)).count() == 0
 
 
+def test_every_query_gets_its_rows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 5
+    x = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * .1
+    x[100], x[200] = -centres.sum(axis=0), centres[0] - 3 * centres[1]  # far from all clusters
+    ids = np.arange(2000)
+    ids[7] = 5  # repeats an id with another vector
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(0, 2000, 20)) and {len(v) for v in got.values()} == {20}
+    hits = sum(len({int(ids[i]) for i in true_nearest(ids, x, q, 20)[0]} & set(v)) for q, v in got.items())
+    assert hits >= 0.95 * 20 * len(got)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (5, [-1.0, 0.1]), (5, [1.0, 0.2]), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, F.col("vec_id") == 0, bits=16).collect()
+    found = sorted((r["score"], r["vec_id"]) for r in got)
+    assert found == [(-1.0, 5), (0.0, 0), (0.0, 0), (0.1, 5), (0.2, 5), (1.0, 5)]
+
+
 @pytest.mark.parametrize("radius", [0, 3, 7, 9, 20])
 def test_probing_finds_every_code_within_the_radius(radius):
     codes = np.random.default_rng(radius).integers(0, 256, size=(3000, 4), dtype=np.uint8)
