@@ -3,10 +3,11 @@
 The patterns (assign, access, hex) give the base spans. Their matches are labelled credentials. From a
 bounded sample per kind (``sample``, the values with the smallest hashes) a probabilistic automaton is
 inferred: a prefix tree of character classes whose states are merged when their outgoing frequencies
-are statistically compatible (Hoeffding bound). A like automaton is inferred from ordinary tokens.
-Then every token of the texts that can be a credential gets its format likelihood: the log-likelihood
-per character under the best credential automaton less that under the ordinary one. Tokens above
-``least_gain`` are spans of the kind ``format``.
+are statistically compatible (Hoeffding bound). Like automata are inferred from ordinary tokens, one from
+those with letters and one from those without (addresses, dates, numbers), which are too rare among
+words to shape the other. Then every token of 12 or more credential characters outside the base spans
+gets its format likelihood: the log-likelihood per character under the best credential automaton less
+that under the best ordinary one. Tokens above ``least_gain`` are spans of the kind ``format``.
 
 Null and empty texts have no spans; without any match in the table only patterns apply. Rows with
 equal or null ids are judged one by one.
@@ -30,7 +31,7 @@ from shutterlake.llm.common import byte_texts, code_point_offsets, with_columns_
 from shutterlake.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "format")
-ORDINARY = "ordinary"
+ORDINARY = ("ordinary", "numeric")
 BASE_KINDS = 3
 
 # --- fixed values: the base patterns ---
@@ -43,9 +44,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _HEX_RUN = bytes(0x68 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 _TOKEN_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+_LETTER = re.compile(rb"[A-Za-z]")
 _TOKENS = bytes(c if c in _TOKEN_CHARS else 0x20 for c in range(256))
-_DIGIT = re.compile(rb"[0-9]")
-LEAST_TOKEN = 16
+LEAST_TOKEN = LEAST_ASSIGN  # the shortest value a label makes a secret
 
 SPANS = ArrayType(StructType([
     StructField("start", IntegerType()), StructField("kind", IntegerType()),
@@ -178,8 +179,6 @@ def _compatible(machine: Automaton, left: int, right: int, bound: float) -> bool
             x, y = machine.moves[a].get(symbol), machine.moves[b].get(symbol)
             if x is not None and y is not None and x != y:
                 todo.append((x, y))
-        if len(todo) > 10_000:
-            return False
     return True
 
 
@@ -201,14 +200,14 @@ def _fold(machine: Automaton, left: int, right: int) -> None:
 
 
 class FormatScore:
-    """The gain in log-likelihood per character of the best credential automaton over the ordinary one."""
+    """The gain in log-likelihood per character of the best credential automaton over the best ordinary one."""
 
-    def __init__(self, credentials: list[Automaton], ordinary: Automaton):
+    def __init__(self, credentials: list[Automaton], ordinary: list[Automaton]):
         self.credentials, self.ordinary = credentials, ordinary
 
     def __call__(self, token: bytes) -> float:
         symbols = token.translate(_CLASSES)
-        plain = self.ordinary.log_likelihood(symbols)
+        plain = max(a.log_likelihood(symbols) for a in self.ordinary)
         return (max(a.log_likelihood(symbols) for a in self.credentials) - plain) / (len(symbols) + 1)
 
 
@@ -217,7 +216,7 @@ def learn_formats(documents: DataFrame, text_col: str = "text", sample: int = 40
     at = documents.columns.index(text_col)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {kind: Smallest(sample) for kind in (*KINDS[:BASE_KINDS], ORDINARY)}
+        kept = {kind: Smallest(sample) for kind in (*KINDS[:BASE_KINDS], *ORDINARY)}
         for batch in batches:
             for texts in byte_texts(batch.column(at)):
                 for data in texts:
@@ -228,7 +227,8 @@ def learn_formats(documents: DataFrame, text_col: str = "text", sample: int = 40
                         kept[KINDS[kind]].offer(data[start:end])
                     for start, end in long_tokens(data):
                         if outside((start, end), spans):
-                            kept[ORDINARY].offer(data[start:end])
+                            value = data[start:end]
+                            kept[ORDINARY[_LETTER.search(value) is None]].offer(value)
         rows = [(kind, h, value.decode("ascii")) for kind, k in kept.items() for h, value in k.values()]
         columns = list(zip(*rows)) if rows else [(), (), ()]
         types = (pa.string(), pa.int64(), pa.string())
@@ -237,12 +237,12 @@ def learn_formats(documents: DataFrame, text_col: str = "text", sample: int = 40
 
     gathered = cut_lineage(documents.mapInArrow(gather, "kind string, h long, value string"))
     machines = {}
-    for kind in (*KINDS[:BASE_KINDS], ORDINARY):
+    for kind in (*KINDS[:BASE_KINDS], *ORDINARY):
         values = (gathered.filter(F.col("kind") == kind).select("h", "value").distinct()
                   .orderBy("h", "value").limit(sample).collect())
         if values:
             machines[kind] = infer([r["value"].encode() for r in values])
-    ordinary = machines.pop(ORDINARY, Automaton())
+    ordinary = [machines.pop(kind) for kind in ORDINARY if kind in machines] or [Automaton()]
     return FormatScore(list(machines.values()), ordinary) if machines else None
 
 
@@ -274,7 +274,7 @@ def all_spans(data: bytes, score: FormatScore | None, least_gain: float) -> list
     if score:
         for token in long_tokens(data):
             value = data[token[0]:token[1]]
-            if _DIGIT.search(value) and outside(token, base):
+            if outside(token, base):
                 gain = score(value)
                 if gain >= least_gain:
                     found.append((token[0], len(KINDS) - 1, token[1], gain))

@@ -80,6 +80,20 @@ def test_learned_formats_find_unlabelled_credentials(spark, nothing):
     assert learn_formats(nothing) is None and digest_columns(find_secrets(nothing)).count() == 0
 
 
+def test_short_and_letters_only_credentials_are_scored(spark):
+    rng = np.random.default_rng(2)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n, of=signs: "".join(rng.choice(of, n))
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(12, 24)))
+    rows = [(i, f"{word()} token={key(rng.integers(12, 30))} and {word()} end") for i in range(400)]
+    letters, short = key(24, signs[:52]), key(14)
+    rows += [(1000, f"look {letters} here"), (1001, f"look {short} here"), (1002, f"look {word()} here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in digest_columns(find_secrets(df, formats=learn_formats(df))).collect()}
+    assert found[1000] == "format:5:29" and found[1001] == "format:5:19"
+    assert found[1002] == "" and all(found[i].count(":") == 2 and found[i].startswith("assign:") for i in range(400))
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd):
     out = redact_secrets(odd)
     assert out.columns == odd.columns
