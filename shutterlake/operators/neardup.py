@@ -120,7 +120,7 @@ def near_duplicate_join(items: DataFrame, threshold: int = DEFAULT_DISTANCE) ->
     """
     groups = hash_groups(items)
     if threshold < BAND_BITS:
-        pairs = _band_join(groups, threshold)
+        pairs = band_join(groups, threshold)
     else:
         pairs = _tile_join(groups, threshold)
     return pairs.unionByName(copy_links(items, groups))
@@ -147,7 +147,7 @@ def _first_close_band(a: Column, b: Column, radius: int) -> Column:
     return choice
 
 
-def _bands(groups: DataFrame) -> DataFrame:
+def hash_bands(groups: DataFrame) -> DataFrame:
     """(rep, h, band, value): the four 16-bit bands of each hash."""
     bands = F.array(
         *[
@@ -158,18 +158,18 @@ def _bands(groups: DataFrame) -> DataFrame:
     return groups.select("rep", "h", F.explode(bands).alias("b")).select("rep", "h", "b.*")
 
 
-def _band_join(groups: DataFrame, threshold: int, against: DataFrame | None = None) -> DataFrame:
+def band_join(groups: DataFrame, threshold: int, against: DataFrame | None = None) -> DataFrame:
     """Exact: at distance <= T some 16-bit band differs in at most T // 4 bits.
 
     One side lists its bands, the other probes every value within that radius. Buckets that hold
     more than BUSY_BUCKET hashes (flat images share bands) are compared block-wise instead of by
     listing candidates. A pair is reported by its first close band only, so no distinct is needed.
-    ``groups`` is compared with itself (each pair once) or with ``against``.
+    ``groups`` is compared with itself (each pair once) or with the ``hash_bands`` of ``against``.
     """
     radius = threshold // BANDS
-    base = _bands(groups if against is None else against)
+    base = hash_bands(groups) if against is None else against
     masks = F.array(*[F.lit(m) for m in _neighbour_masks(radius)])
-    probes = _bands(groups).select(
+    probes = hash_bands(groups).select(
         "rep", "h", "band",
         F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"),
     )
@@ -276,7 +276,7 @@ def near_duplicates_between(arrivals: DataFrame, pool: DataFrame,
     old = hash_groups(pool.join(arrivals.select("id"), "id", "left_anti"))
     new = hash_groups(arrivals)
     if threshold < BAND_BITS:
-        across = _band_join(new, threshold, against=old)
+        across = band_join(new, threshold, against=hash_bands(old))
     else:
         across = _cross_hash_tiles(new, old, threshold)
     return across.unionByName(near_duplicate_join(arrivals, threshold))
@@ -338,7 +338,7 @@ def near_duplicates_of(items: DataFrame, wanted: DataFrame,
     """
     groups = hash_groups(items)
     member = items.join(groups.select("hash", "rep"), "hash").select("id", "rep")
-    pairs = _band_join(groups, threshold) if threshold < BAND_BITS else _tile_join(groups, threshold)
+    pairs = band_join(groups, threshold) if threshold < BAND_BITS else _tile_join(groups, threshold)
     own = groups.select(
         F.col("rep").alias("item_id"), F.col("rep").alias("other_id"),
         F.lit(0).alias("hamming_distance"),

@@ -102,26 +102,31 @@ def near_duplicate_join(lib: Library):
     return neardup.near_duplicate_join(lib.hash_item, WIDE)
 
 
-@query("""
-    SELECT * FROM (
-      SELECT a.rep AS media_item_id, b.rep AS matching_item_id,
-        bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS hamming_distance
-      FROM text_group a JOIN text_group b ON a.rep < b.rep) WHERE hamming_distance <= 10
-    UNION ALL SELECT g.rep, h.id, 0 FROM text_hash h JOIN text_group g USING (hash) WHERE h.id <> g.rep""",
-       {"text_hash": """
+TEXT_HASHES = {"text_hash": """
           SELECT doc_id AS id, array_to_string(list_transform(
             string_split(substr(md5(lang || '|' || source || '|' || n_chars), 1, 12) || substr(md5(text), 1, 4), ''),
             lambda d: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101',
               '1110','1111'][instr('0123456789abcdef', d)]), '') AS hash
-          FROM documents""",
-        "text_group": "SELECT hash, min(id) AS rep FROM text_hash GROUP BY hash"})
-def near_duplicate_join_banded(lib: Library):
-    """Hashes that share three of four bands between texts of one source, language and length."""
+          FROM documents"""}
+
+
+def text_hashes(lib: Library):
+    """(id, hash): hashes that share three of four bands between texts of one source, language and length."""
     kind = F.substring(F.md5(F.concat_ws("|", "lang", "source", "n_chars")), 1, 12)
     digits = F.concat(kind, F.substring(F.md5("text"), 1, 4))
     bits = F.lpad(F.conv(digits, 16, 2), 64, "0")
-    items = lib.raw("documents").select(F.col("doc_id").alias("id"), bits.alias("hash"))
-    return neardup.near_duplicate_join(items, 10)
+    return lib.raw("documents").select(F.col("doc_id").alias("id"), bits.alias("hash"))
+
+
+@query("""
+    SELECT * FROM (
+      SELECT a.rep AS media_item_id, b.rep AS matching_item_id,
+        bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS hamming_distance
+      FROM text_group a JOIN text_group b ON a.rep < b.rep) WHERE hamming_distance <= 10
+    UNION ALL SELECT g.rep, h.id, 0 FROM text_hash h JOIN text_group g USING (hash) WHERE h.id <> g.rep""",
+       TEXT_HASHES | {"text_group": "SELECT hash, min(id) AS rep FROM text_hash GROUP BY hash"})
+def near_duplicate_join_banded(lib: Library):
+    return neardup.near_duplicate_join(text_hashes(lib), 10)
 
 
 @query("""SELECT media_item_id, matching_item_id, hamming_distance FROM hash_pair

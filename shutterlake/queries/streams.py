@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.plans.library import Library, changes_from_events
 from shutterlake.queries.registry import query
-from shutterlake.queries.similarity import PAIRS, _pairs
+from shutterlake.queries.similarity import PAIRS, TEXT_HASHES, _pairs, text_hashes
 from shutterlake.session import shared_dir
 from shutterlake.streaming import flows
 from shutterlake.streaming.matching import face_pairs_for_batch
@@ -74,3 +74,31 @@ def stream_match(lib: Library):
     ).awaitTermination()
     return lib.spark.read.parquet(out).select(
         "feature_id", "matching_feature_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+    WITH d AS (SELECT t.id, hash, lang = 'en' AS old FROM text_hash t JOIN documents ON doc_id = t.id),
+    g AS (SELECT hash, bool_or(old) AS old, count(*) FILTER (NOT old) AS n FROM d GROUP BY 1),
+    p AS (SELECT a.hash AS hash, b.hash AS other, bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS distance
+      FROM g a JOIN g b ON a.hash < b.hash AND NOT (a.old AND b.old))
+    SELECT hash, other, distance, 1 AS n_links FROM p WHERE distance <= 10
+    UNION ALL SELECT hash, hash, 0, CASE WHEN old THEN n ELSE n - 1 END FROM g WHERE CASE WHEN old THEN n ELSE n - 1 END > 0""",
+       TEXT_HASHES)
+def stream_item_match(lib: Library):
+    """Texts of one language are catalogued, the others arrive in several batches: stored links by their hashes."""
+    root, checkpoint = _folders(lib, "item-match")
+    hashes = text_hashes(lib)
+    old = lib.raw("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
+    hashes.join(old, "id", "left_anti").withColumn("part", F.col("id") % 3).repartition(3, "part").drop(
+        "part").write.parquet(f"{root}-in")
+    arrivals = (lib.spark.readStream.schema("id BIGINT, hash STRING")
+                .option("maxFilesPerTrigger", 1).parquet(f"{root}-in"))
+    flows.stream_item_match(
+        arrivals, root, checkpoint, 10, once=True, catalogued=hashes.join(old, "id", "left_semi")).awaitTermination()
+    links = flows.stored_matches(lib.spark, root)
+    left = hashes.select(F.col("id").alias("media_item_id"), F.col("hash").alias("a"))
+    right = hashes.select(F.col("id").alias("matching_item_id"), F.col("hash").alias("b"))
+    return (links.join(left, "media_item_id").join(right, "matching_item_id")
+            .groupBy(F.least("a", "b").alias("hash"), F.greatest("a", "b").alias("other"),
+                     F.col("hamming_distance").alias("distance"))
+            .agg(F.count("*").alias("n_links")))

@@ -29,7 +29,7 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _finished(self, folder: str, prefix: str) -> list[str]:
+    def finished(self, folder: str, prefix: str) -> list[str]:
         """What follows ``prefix`` in the names of the finished folders inside ``folder``."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
@@ -45,11 +45,11 @@ class TableStore:
         return found
 
     def _versions(self, name: str) -> list[int]:
-        return sorted(int(n) for n in self._finished(name, "v="))
+        return sorted(int(n) for n in self.finished(name, "v="))
 
     def has(self, name: str) -> bool:
         """Whether anything was written to the table."""
-        return bool(self.version(name) or name == LOG and self._finished(f"{LOG}/after=0", "batch="))
+        return bool(self.version(name) or name == LOG and self.finished(f"{LOG}/after=0", "batch="))
 
     def version(self, name: str) -> int:
         return max(self._versions(name), default=0)
@@ -61,7 +61,7 @@ class TableStore:
         folders = [f"{self.root}/{name}/v={number}"] if number else []
         if name == LOG and version is None:
             after = f"{LOG}/after={number}"
-            folders += [f"{self.root}/{after}/batch={b}" for b in self._finished(after, "batch=")]
+            folders += [f"{self.root}/{after}/batch={b}" for b in self.finished(after, "batch=")]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
@@ -88,7 +88,7 @@ class TableStore:
         """
         name = batch or uuid.uuid4().hex
         current = self.version(LOG)
-        if any(name in self._finished(f"{LOG}/after={v}", "batch=") for v in range(current)):
+        if any(name in self.finished(f"{LOG}/after={v}", "batch=") for v in range(current)):
             return
         shaped = rows.select(*[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from shutterlake.operators.neardup import DEFAULT_DISTANCE, PAIR_SCHEMA, canonical_match_insert
 from shutterlake.operators.stats import change_message
 from shutterlake.sources.media import describe_files
 from shutterlake.sources.tables import TableStore, log_rows
+from shutterlake.streaming.matching import CATALOGUE, HashPool
 
 FLUSH_EVERY = "2 minutes"
 
@@ -134,3 +136,34 @@ def stream_match(arrivals: DataFrame, match: Callable[[DataFrame, DataFrame], Da
         match(own, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(arrivals, write, checkpoint, "append", once, "10 seconds")
+
+
+def stream_item_match(arrivals: DataFrame, root: str, checkpoint: str, threshold: int = DEFAULT_DISTANCE,
+                      once: bool = False, catalogued: DataFrame | None = None) -> StreamingQuery:
+    """New ``arrivals(id, hash)`` matched with all items catalogued or seen before; links stored once.
+
+    ``root/index`` keeps the hashes (``matching.HashPool``), of ``catalogued`` from the first start on, and
+    ``root/matches`` the links, lower id first: a pair stored by an earlier batch is not stored again, in either
+    order. ``stored_matches`` reads them.
+    """
+    spark = arrivals.sparkSession
+    pool = HashPool(spark, f"{root}/index", threshold)
+    pool.build(catalogued)
+    spark.createDataFrame([], PAIR_SCHEMA).write.mode("overwrite").parquet(f"{root}/matches/batch={CATALOGUE}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = f"{root}/arrivals/batch={batch_id}"
+        batch.select(F.col("id").cast("bigint").alias("id"), "hash").write.mode("overwrite").parquet(own)
+        items = batch.sparkSession.read.schema("id BIGINT, hash STRING").parquet(own)
+        before = stored_matches(batch.sparkSession, root, batch_id)
+        found = pool.match(items, batch_id)
+        canonical_match_insert(before, found, "media_item_id", "matching_item_id").write.mode(
+            "overwrite").parquet(f"{root}/matches/batch={batch_id}")
+
+    return _start(arrivals, write, checkpoint, "append", once, "10 seconds")
+
+
+def stored_matches(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The links stored by ``stream_item_match``, all or those of earlier batches."""
+    stored = spark.read.schema(f"{PAIR_SCHEMA}, batch BIGINT").parquet(f"{root}/matches")
+    return (stored if before is None else stored.filter(F.col("batch") < before)).drop("batch")

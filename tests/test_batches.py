@@ -1,14 +1,16 @@
 """Work done in pieces ends like work done at once."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.operators import access, facegraph, graph, people
+from shutterlake.operators.neardup import hash_groups
 from shutterlake.plans.indexing import index_listing, remove_orphans
 from shutterlake.sources.tables import TableStore, log_rows, read_table
 from shutterlake.streaming import flows
-from shutterlake.streaming.matching import face_pairs_for_batch
+from shutterlake.streaming.matching import HashPool, face_pairs_for_batch
 
 from conftest import rows
 
@@ -57,6 +59,65 @@ def test_matches_with_earlier_arrivals(spark, tmp_path):
     assert got == [(0, 1), (0, 3), (1, 3)]
 
 
+def test_hash_pool_over_batches_and_a_replay(spark, tmp_path):
+    rng = random.Random(4)
+    seen = [rng.getrandbits(64) for _ in range(12)]
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    values = seen + [flip(rng.choice(seen), rng.randrange(12)) for _ in range(150)] + seen[:5]
+    items = [(i, f"{h:064b}") for i, h in enumerate(values)] + [(900, None), (901, "")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, hash string")
+    batches = [items[60:100], items[100:130], items[60:70] + items[130:]]  # ids come again
+    pool = HashPool(spark, str(tmp_path / "index"), 10)
+    pool.build(frame(items[:60]))
+    pool.build(frame([(1, "1" * 64)]))  # built before
+    found = [rows(pool.match(frame(b), n)) for n, b in enumerate(batches)]
+    assert rows(pool.match(frame(batches[1]), 1)) == found[1]  # a replay
+    by_id = dict(items)
+    distance = lambda a, b: (int(a, 2) ^ int(b, 2)).bit_count()
+    links = [r for part in found for r in part]
+    assert all(a < b and d == distance(by_id[a], by_id[b]) <= 10 for a, b, d in links)
+    old = {h for _, h in items[:60]}
+    new = {h for _, h in items[60:] if h} - old
+    between = [(min(x, y), max(x, y)) for x, y in ((by_id[a], by_id[b]) for a, b, _ in links) if x != y]
+    assert len(between) == len(set(between))
+    assert set(between) == {(min(x, y), max(x, y)) for x in new for y in new | old if x != y and distance(x, y) <= 10}
+    first = {}
+    for i, h in reversed(items[:60]):
+        first[h] = i
+    for b in batches:
+        fresh = {h: min(i for i, x in b if x == h) for _, h in b if h and h not in first}
+        first |= fresh
+    assert {(a, b) for a, b, d in links if d == 0} == {
+        (min(i, first[h]), max(i, first[h])) for i, h in items[60:] if h and i != first[h]}
+
+
+def test_hash_pool_reads_touched_buckets_only(spark, tmp_path):
+    rng = random.Random(6)
+    pool = HashPool(spark, str(tmp_path / "index"), 4)
+    pool.build(spark.createDataFrame([(i, f"{rng.getrandbits(64):064b}") for i in range(3000)], "id long, hash string"))
+    one = hash_groups(spark.createDataFrame([(9000, "01" * 32)], "id long, hash string"))
+    touched = pool.touched(one)
+    assert len(touched) == 4 * 7
+    known = pool.known(0, touched)
+    assert {f.split("bucket=")[1].split("/")[0] for f in
+            (r[0] for r in known.select(F.input_file_name()).distinct().collect())} <= {str(b) for b in touched}
+    assert 0 < known.count() < 4 * 3000 * len(touched) / 256 * 1.3
+    with pytest.raises(ValueError, match="below 16"):
+        HashPool(spark, str(tmp_path), 16)
+
+
+def test_item_match_stream_stores_pairs_once(spark, tmp_path):
+    base = "0" * 64
+    near, far = "1" + base[1:], "1" * 64
+    source = str(tmp_path / "in")
+    for part in ([(5, near)], [(2, base), (7, far)], [(5, near), (9, None)], [(8, base)]):
+        spark.createDataFrame(part, "id long, hash string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long, hash string").option("maxFilesPerTrigger", 1).parquet(source)
+    flows.stream_item_match(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True,
+                            catalogued=spark.createDataFrame([(6, base)], "id long, hash string")).awaitTermination()
+    assert rows(flows.stored_matches(spark, str(tmp_path / "out"))) == [(2, 6, 0), (5, 6, 1), (6, 8, 0)]
+
+
 def test_merge_chain_and_cycle(spark):
     merges = spark.createDataFrame([(1, 2), (2, 3), (5, 3)], "source_id long, target_id long")
     assert rows(people.final_targets(merges)) == [(1, 3), (2, 3), (5, 3)]
