@@ -77,13 +77,14 @@ def stream_match(lib: Library):
 
 
 @query("""
-    WITH d AS (SELECT t.id, hash, lang = 'en' AS old FROM text_hash t JOIN documents ON doc_id = t.id),
-    g AS (SELECT hash, bool_or(old) AS old, count(*) FILTER (NOT old) AS n FROM d GROUP BY 1),
-    p AS (SELECT a.hash AS hash, b.hash AS other, bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS distance
-      FROM g a JOIN g b ON a.hash < b.hash AND NOT (a.old AND b.old))
-    SELECT hash, other, distance, 1 AS n_links FROM p WHERE distance <= 10
-    UNION ALL SELECT hash, hash, 0, CASE WHEN old THEN n ELSE n - 1 END FROM g WHERE CASE WHEN old THEN n ELSE n - 1 END > 0""",
-       TEXT_HASHES)
+    SELECT hash, other, distance, 1 AS n_links FROM (
+      SELECT a.hash AS hash, b.hash AS other, bit_count(xor(CAST(a.hash AS BIT), CAST(b.hash AS BIT))) AS distance
+      FROM hash_seen a JOIN hash_seen b ON a.hash < b.hash AND NOT (a.old AND b.old)) WHERE distance <= 10
+    UNION ALL SELECT hash, hash, 0, copies FROM hash_seen WHERE copies > 0""",
+       TEXT_HASHES | {"hash_seen": """
+          SELECT hash, bool_or(lang = 'en') AS old,
+            count(*) FILTER (lang <> 'en') - CASE WHEN bool_or(lang = 'en') THEN 0 ELSE 1 END AS copies
+          FROM text_hash JOIN documents ON doc_id = id GROUP BY hash"""})
 def stream_item_match(lib: Library):
     """Texts of one language are catalogued, the others arrive in several batches: stored links by their hashes."""
     root, checkpoint = _folders(lib, "item-match")
