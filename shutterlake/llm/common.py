@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,26 @@ def word_table(word: Callable[[int], bool]) -> bytes:
     return bytes(b if word(b) else 0x20 for b in lowered)
 
 
+def release_memory() -> None:
+    """Returns what Arrow and the C allocator keep for later to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+    trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow, whose caches do not stay with the idle Python worker after the task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return tidied
+
+
 def with_columns_from_text(
     df: DataFrame, text: str, fields: list[StructField], prepare: Callable[[], Callable]
 ) -> DataFrame:
@@ -78,7 +99,7 @@ def with_columns_from_text(
             arrays = [pa.array(column, type=kind) for column, kind in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _arrow_type(field: StructField) -> pa.DataType:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from shutterlake.llm.bloom import build_bloom
-from shutterlake.llm.common import byte_texts, fresh_prefix
+from shutterlake.llm.common import byte_texts, fresh_prefix, tidy
 from shutterlake.llm.shingles import PigeonholeKeys, WordHashes, set_hash, shingle_set
 from shutterlake.operators.graph import connected_components
 from shutterlake.session import cut_lineage
@@ -65,7 +65,7 @@ def set_sizes(documents: DataFrame, id_col: str, text_col: str, width: int) -> D
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, first, second))],
                 names=["doc_id", "n_shingles", "h1", "h2"])
 
-    return rows.mapInArrow(measure, "doc_id long, n_shingles long, h1 long, h2 long")
+    return rows.mapInArrow(tidy(measure), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def candidate_keys(documents: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
@@ -93,7 +93,7 @@ def candidate_keys(documents: DataFrame, text_col: str, width: int, percent: int
                     [pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(owners)),
                      pa.array(np.concatenate(places))], names=["key", "h1", "slot"])
 
-    return documents.select(text_col).mapInArrow(emit, "key long, h1 long, slot int")
+    return documents.select(text_col).mapInArrow(tidy(emit), "key long, h1 long, slot int")
 
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def block_sets(documents: DataFrame, members: DataFrame, id_col: str, text_col:
     rows = documents.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(id_col).cast("long")).alias("probe"))
-    made = rows.mapInArrow(pick, "doc_id long, h1 long, h2 long, shingles array<bigint>")
+    made = rows.mapInArrow(tidy(pick), "doc_id long, h1 long, h2 long, shingles array<bigint>")
     return made.join(members, ["doc_id", "h1", "h2"])
 
 
@@ -476,7 +476,7 @@ def keep_one_per_component(documents: DataFrame, width: int = 5, percent: int =
                 [*batch.columns[:at], pa.array(held), pa.array([m[0] for m in marks], pa.int64()),
                  pa.array([m[1] for m in marks], pa.int64())], names=schema.names)
 
-    judged = probed.mapInArrow(judge, schema)
+    judged = probed.mapInArrow(tidy(judge), schema)
     sure = judged.filter(~F.col(hit))
     doubt = judged.filter(F.col(hit)).withColumn(probe, key)
     info = found.groupBy("doc_id", "h1", "h2").agg(F.first("part").alias("part"), F.first("stays").alias("stays"))
