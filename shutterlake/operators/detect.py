@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.boxes import (
@@ -12,12 +17,11 @@ from shutterlake.functions.boxes import (
     iou,
     unscale,
 )
-from shutterlake.session import cut_lineage
 
 NMS_THRESHOLD = 0.3
 NMS_TOP_K = 5000
 MAX_FACES = 20
-WHOLE_IMAGE_BOXES = 1000
+CORNERS_AT_ONCE = 256  # kept boxes compared with a batch at a time
 
 BOX = "image_id", "box_id", "x", "y", "width", "height", "score"
 
@@ -38,89 +42,80 @@ def decode_anchors(anchors: DataFrame, threshold: float = SCORE_THRESHOLD) -> Da
 
 
 def suppress_overlaps(boxes: DataFrame, threshold: float = NMS_THRESHOLD,
-                      top_k: int = NMS_TOP_K, whole: int = WHOLE_IMAGE_BOXES) -> DataFrame:
-    """Greedy suppression per image: best score first, ties by box_id.
+                      top_k: int = NMS_TOP_K) -> DataFrame:
+    """Greedy suppression per image: best score first, ties by box_id, at most ``top_k`` kept.
 
-    ``boxes`` has image_id, box_id, x, y, width, height, score. An image of up to ``whole`` boxes is
-    folded in one row, inside the JVM. Larger ones are settled in rounds (``_suppress_large``)
-    without being gathered.
+    ``boxes`` has image_id, box_id, x, y, width, height, score; a row with a null among them is no
+    box and goes. One shuffle brings the boxes of an image into one sorted run, and a sweep reads
+    these runs batch by batch: it holds a batch and the boxes kept so far of the image it is in,
+    never a whole image. The boxes of all images in a batch are settled together.
     """
-    sizes = boxes.groupBy("image_id").agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > whole).select("image_id")
-    if large.isEmpty():
-        return _suppress_whole(boxes, threshold, top_k)
-    usual = boxes.join(large, "image_id", "left_anti")
-    crowded = boxes.join(large, "image_id", "left_semi")
-    return _suppress_whole(usual, threshold, top_k).unionByName(
-        _suppress_large(crowded, threshold, top_k, whole)
-    )
-
-
-def _suppress_whole(boxes: DataFrame, threshold: float, top_k: int) -> DataFrame:
-    row = F.struct(
-        (-F.col("score")).alias("rank"), F.col("box_id"), "x", "y", "width", "height", "score"
-    )
-    kind = (
-        "array<struct<rank:double,box_id:bigint,x:double,y:double,width:double,"
-        "height:double,score:double>>"
-    )
-    ordered = boxes.select(
-        "image_id",
-        *[F.col(c).cast("bigint" if c == "box_id" else "double").alias(c) for c in BOX[1:]],
-    ).groupBy("image_id").agg(F.sort_array(F.collect_list(row)).cast(kind).alias("b"))
-    kept = F.aggregate(
-        "b",
-        F.array().cast(kind),
-        lambda acc, box: F.when(
-            (F.size(acc) < top_k) & ~F.exists(acc, lambda k: iou(k, box) > threshold),
-            F.concat(acc, F.array(box)),
-        ).otherwise(acc),
+    typed = boxes.select(
+        "image_id", F.col("box_id").cast("bigint").alias("box_id"),
+        *[F.col(c).cast("double").alias(c) for c in BOX[2:]],
+    ).dropna()
+    runs = typed.repartition("image_id").sortWithinPartitions(
+        "image_id", -F.col("score"), *BOX[1:6]
     )
-    return ordered.select("image_id", F.explode(kept).alias("k")).select(
-        "image_id", "k.box_id", "k.x", "k.y", "k.width", "k.height", "k.score"
-    )
-
-
-def _suppress_large(boxes: DataFrame, threshold: float, top_k: int, head_rows: int) -> DataFrame:
-    """Exact greedy suppression of huge images, in rounds.
 
-    Each round folds the best ``head_rows`` undecided boxes of every image and then drops, in
-    parallel, all other boxes that a box kept in this round overlaps too much. Only kept boxes are
-    ever compared with the rest, so overlapping pairs are not listed. An image leaves when it has
-    ``top_k`` kept boxes or nothing undecided.
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, corners = None, np.zeros((0, 4))  # the last image and the boxes kept of it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            starts = np.zeros(batch.num_rows, dtype=bool)
+            starts[1:] = np.asarray(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)))
+            run = np.cumsum(starts)  # numbers the batch's images from 0
+            places = np.column_stack([np.asarray(batch.column(i)) for i in range(2, 6)])
+            if ids[0].as_py() != image:
+                corners = corners[:0]
+            kept = _settle(places, run, corners, threshold, top_k)
+            last = kept[run[kept] == run[-1]]
+            before = corners if run[-1] == 0 else corners[:0]
+            image, corners = ids[-1].as_py(), np.concatenate([before, places[last]])
+            yield batch.take(pa.array(kept))
+
+    return runs.mapInArrow(sweep, runs.schema)
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the boxes (x, y, width, height in the last axis) share more than ``threshold``."""
+    low = np.maximum(a[..., :2], b[..., :2])
+    high = np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:])
+    side = np.maximum(high - low, 0.0)
+    shared = side[..., 0] * side[..., 1]
+    union = a[..., 2] * a[..., 3] + b[..., 2] * b[..., 3] - shared
+    ratio = np.divide(shared, union, out=np.zeros_like(shared), where=shared != 0)
+    return ratio > threshold
+
+
+def _settle(places: np.ndarray, run: np.ndarray, corners: np.ndarray, threshold: float,
+            top_k: int) -> np.ndarray:
+    """The rows of a batch that stay; ``corners`` are boxes kept before of its first image.
+
+    In each round the first open box of every image stays and closes those it overlaps.
     """
-    left = cut_lineage(boxes.select(*BOX))
-    kept: DataFrame | None = None
-    while not left.isEmpty():
-        head = cut_lineage(_best_per_image(left, head_rows))
-        now = cut_lineage(_suppress_whole(head, threshold, top_k))
-        kept = now if kept is None else cut_lineage(kept.unionByName(now))
-        full = kept.groupBy("image_id").count().filter(F.col("count") >= top_k)
-        winners = now.groupBy("image_id").agg(
-            F.collect_list(F.struct("x", "y", "width", "height")).alias("_kept")
-        )
-        box = F.struct("x", "y", "width", "height")
-        left = cut_lineage(
-            left.join(head.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti")
-            .join(full.select("image_id"), "image_id", "left_anti")
-            .join(winners, "image_id")
-            .filter(~F.exists("_kept", lambda k: iou(k, box) > threshold))
-            .select(*BOX)
-        )
-    return _best_per_image(kept, top_k)
-
-
-def _best_per_image(boxes: DataFrame, top_k: int, salts: int = 64) -> DataFrame:
-    """Top k per image in two steps, so that one image does not sit in one task."""
-    order = [F.desc("score"), F.asc("box_id")]
-    salted = boxes.withColumn("_salt", F.pmod(F.xxhash64("box_id"), F.lit(salts)))
-    first = Window.partitionBy("image_id", "_salt").orderBy(*order)
-    part = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= top_k)
-    final = Window.partitionBy("image_id").orderBy(*order)
-    return (
-        part.withColumn("_r", F.row_number().over(final)).filter(F.col("_r") <= top_k)
-        .select(*boxes.columns)
-    )
+    first = np.flatnonzero(run == 0)
+    closed = np.zeros(len(run), dtype=bool)
+    for start in range(0, len(corners), CORNERS_AT_ONCE):
+        part = corners[start:start + CORNERS_AT_ONCE]
+        left = first[~closed[first]]
+        closed[left] = _overlaps(part[None, :, :], places[left][:, None, :], threshold).any(axis=1)
+    room = np.full(run[-1] + 1, top_k)
+    room[0] -= len(corners)
+    still = np.flatnonzero(~closed & (room[run] > 0))
+    kept = []
+    while len(still):
+        heads = np.flatnonzero(np.diff(run[still], prepend=-1))
+        best = still[heads]
+        kept.append(best)
+        room[run[best]] -= 1
+        own = best[np.cumsum(np.diff(run[still], prepend=-1) != 0) - 1]
+        stays = ~_overlaps(places[own], places[still], threshold) & (room[run[still]] > 0)
+        stays[heads] = False
+        still = still[stays]
+    return np.sort(np.concatenate(kept)) if kept else np.zeros(0, dtype=np.int64)
 
 
 def unscale_boxes(boxes: DataFrame, scale: str = "scale") -> DataFrame:

@@ -39,22 +39,52 @@ def greedy(data, threshold, top_k):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("whole", [10_000, 5])
-@pytest.mark.parametrize("top_k", [5000, 6])
-def test_suppression_equals_greedy(spark, whole, top_k):
-    data = random_boxes(1, 120)
+@pytest.fixture
+def batch_rows(spark, request):
+    """Arrow batches of so many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield request.param
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("batch_rows", [10_000, 5, 1], indirect=True)
+@pytest.mark.parametrize("top_k", [5000, 6, 1])
+def test_suppression_equals_greedy(spark, batch_rows, top_k):
+    data = random_boxes(1, 120) + [(5 + i, i, 0.0, 0.0, 1.0, 1.0, 0.5) for i in range(7)]
     df = spark.createDataFrame(data, BOX)
-    got = rows(detect.suppress_overlaps(df, 0.3, top_k, whole), "image_id", "box_id")
+    got = rows(detect.suppress_overlaps(df, 0.3, top_k), "image_id", "box_id")
     assert got == greedy(data, 0.3, top_k)
 
 
-def test_suppression_of_one_dense_image(spark):
+@pytest.mark.parametrize("batch_rows", [10_000, 100], indirect=True)
+def test_suppression_of_one_dense_image(spark, batch_rows):
     """Thousands of boxes on one spot: few are kept and pairs are never listed."""
     data = [(1, i, float(i % 3), 0.0, 50.0, 50.0, 1 - i / 5000) for i in range(4000)] + [(1, 9000, 500.0, 0.0, 5.0, 5.0, 0.0)]
-    got = rows(detect.suppress_overlaps(spark.createDataFrame(data, BOX), 0.3, 5000, 100), "box_id")
+    got = rows(detect.suppress_overlaps(spark.createDataFrame(data, BOX), 0.3), "box_id")
     assert got == [(0,), (9000,)]
 
 
+@pytest.mark.parametrize("batch_rows", [1000], indirect=True)
+def test_suppression_of_ten_thousand_boxes(spark, batch_rows):
+    """Boxes in pairs, far from the next pair: the better of each stays, up to the limit."""
+    data = [(1, i, 100.0 * (i // 2), 0.0, 50.0, 50.0, 1 - i / 20000) for i in range(10_000)]
+    df = spark.createDataFrame(data, BOX)
+    assert rows(detect.suppress_overlaps(df, 0.3), "box_id") == [(i,) for i in range(0, 10_000, 2)]
+    assert rows(detect.suppress_overlaps(df, 0.3, 1500), "box_id") == [(i,) for i in range(0, 3000, 2)]
+
+
+def test_suppression_of_odd_rows(spark):
+    """Nothing in, nothing out; rows with a null go; empty and repeated boxes; other columns are left behind."""
+    odd = [(1, 1, None, 0.0, 5.0, 5.0, 0.9), (None, 2, 0.0, 0.0, 5.0, 5.0, 0.9), (1, 3, 0.0, 0.0, 5.0, 5.0, None),
+           (1, 4, 0.0, 0.0, 0.0, 0.0, 0.5), (1, 5, 0.0, 0.0, 5.0, 5.0, 0.4), (1, 5, 0.0, 0.0, 5.0, 5.0, 0.4)]
+    df = spark.createDataFrame(odd, BOX)
+    got = detect.suppress_overlaps(df.withColumn("label", F.lit("x")))
+    assert got.columns == list(detect.BOX) and rows(got, "box_id") == [(4,), (5,)]
+    assert detect.suppress_overlaps(df.limit(0)).count() == 0
+
+
 def test_overlap_with_best(spark):
     data = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 5.0, 0.0, 10.0, 10.0, 0.5), (1, 3, 50.0, 0.0, 1.0, 1.0, 0.4)]
     got = rows(detect.overlap_with_best(spark.createDataFrame(data, BOX)), "box_id", "best_id", "iou")
