@@ -16,6 +16,7 @@ from shutterlake.plans.library import Library
 from shutterlake.queries.registry import query
 from shutterlake.queries.similarity import PAIRS, _pairs
 from shutterlake.session import shared_dir
+from shutterlake.sources.media import is_mounted
 from shutterlake.sources.media import media_file_scan as media_file_scan_source
 from shutterlake.sources.media import media_file_stream
 from shutterlake.sources.tables import TableStore, log_rows
@@ -351,6 +352,7 @@ def incremental_ingest(lib: Library):
     flows.stream_ingest(
         media_file_stream(lib.spark, root, files_per_batch=40),
         lambda batch, _: index_listing(store, batch, root), f"{root}-checkpoint", once=True,
+        mounted=is_mounted(lib.spark, root),
     ).awaitTermination()
     paths = store.read("path").select(F.col("id").alias("path_id"), "dir")
     return store.read("file").join(paths, "path_id").groupBy(

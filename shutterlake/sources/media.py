@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shutterlake.functions.files import file_class, is_media_file, split_path
 
+ALGORITHMS = ("md5", "sha1")
+CHUNK_BYTES = 4 << 20
 BINARY_STREAM_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -14,20 +22,31 @@ def media_file_scan(spark: SparkSession, directory: str, media_only: bool = Fals
                     checksum: str | None = None) -> DataFrame:
     """Recursive listing: path, dir, name, extension, size, type (and hash when asked for).
 
-    Hidden folders (``.x``, ``_x``) are skipped by the file source. ``content`` is only read when a
-    checksum is requested; otherwise the scan touches file status alone.
+    Hidden folders (``.x``, ``_x``) and empty files are skipped by the file source. The scan itself touches file
+    status alone. Checksums of files on local or mounted folders are computed in chunks, so files
+    have no size limit there; on other file systems Spark reads ``content`` as a cell of at most 2 GB.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(directory)
     )
-    return describe_files(raw, media_only, checksum)
+    return describe_files(raw, media_only, checksum, chunked=is_mounted(spark, directory))
+
+
+def is_mounted(spark: SparkSession, directory: str) -> bool:
+    """Whether tasks can open the files of a folder by their paths."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return (urlsplit(directory).scheme or urlsplit(default).scheme) == "file"
 
 
-def describe_files(raw: DataFrame, media_only: bool = False,
-                   checksum: str | None = None) -> DataFrame:
-    """Batch or streaming binaryFile rows -> the columns of a file listing."""
+def describe_files(raw: DataFrame, media_only: bool = False, checksum: str | None = None,
+                   chunked: bool = False) -> DataFrame:
+    """Batch or streaming binaryFile rows -> the columns of a file listing.
+
+    With ``chunked`` the checksum is that of the file at the path, read in pieces by the task that
+    lists it, and ``content`` is not read.
+    """
     parts = split_path(F.col("path"))
     columns = [
         F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"),
@@ -36,11 +55,13 @@ def describe_files(raw: DataFrame, media_only: bool = False,
         parts["extension"].alias("extension"),
         F.col("length").alias("size"),
     ]
-    if checksum:
+    if checksum and not chunked:
         columns.append(content_checksum(checksum).alias("hash"))
     listed = raw.select(*columns)
     if media_only:
         listed = listed.filter(is_media_file(F.col("extension")))
+    if checksum and chunked:
+        listed = add_file_checksum(listed, checksum)
     return listed.withColumn("type", file_class(F.col("extension")))
 
 
@@ -52,6 +73,39 @@ def content_checksum(algorithm: str = "md5"):
     raise ValueError(f"unknown checksum {algorithm!r}")
 
 
+def add_file_checksum(files: DataFrame, algorithm: str = "md5", path: str = "path",
+                      name: str = "hash") -> DataFrame:
+    """``files`` and the checksum of the file at each ``path``; null for no path or a file that is gone.
+
+    A task holds one chunk of one file. No shuffle: a listing's partitions are balanced by file size.
+    """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown checksum {algorithm!r}")
+    at = files.columns.index(path)
+    schema = StructType([*files.schema.fields, StructField(name, StringType())])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [file_checksum(p, algorithm) for p in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=schema.names)
+
+    return files.mapInArrow(compute, schema)
+
+
+def file_checksum(path: str | None, algorithm: str) -> str | None:
+    """Hex digest of a file, read in chunks."""
+    if path is None:
+        return None
+    digest, chunk = hashlib.new(algorithm), bytearray(CHUNK_BYTES)
+    try:
+        with open(path, "rb", buffering=0) as file:
+            while count := file.readinto(chunk):
+                digest.update(memoryview(chunk)[:count])
+    except FileNotFoundError:
+        return None
+    return digest.hexdigest()
+
+
 def image_pixels(spark: SparkSession, directory: str) -> DataFrame:
     """Decoded images: path, width, height, channels, data (BGR bytes, row by row).
 

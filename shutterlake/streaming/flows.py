@@ -105,12 +105,13 @@ def stream_progress(changes: DataFrame, out: str, checkpoint: str, once: bool =
 
 
 def stream_ingest(files: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str,
-                  once: bool = False) -> StreamingQuery:
+                  once: bool = False, mounted: bool = False) -> StreamingQuery:
     """New files -> ``apply(listing, batch_id)`` with md5 hashes, media files only.
 
-    ``apply`` writes new table versions, as ``plans.indexing.index_listing`` does.
+    ``apply`` writes new table versions, as ``plans.indexing.index_listing`` does. With ``mounted`` (files
+    that tasks can open by path, see ``sources.media.is_mounted``) files are hashed in chunks.
     """
-    listing = describe_files(files, media_only=True, checksum="md5")
+    listing = describe_files(files, media_only=True, checksum="md5", chunked=mounted)
     return _start(listing, apply, checkpoint, "append", once, "10 seconds")
 
 

@@ -1,8 +1,11 @@
 """Files, tables, folders, indexing, metadata."""
 
+import hashlib
 import os
+import shutil
 import struct
 import zlib
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -14,7 +17,7 @@ from shutterlake.operators import browse, catalogue, keyed, maintain, metadata,
 from shutterlake.operators.neardup import phash
 from shutterlake.plans.dedupe import deduplicate_store
 from shutterlake.plans.indexing import index_listing, remove_orphans
-from shutterlake.sources.media import image_pixels, media_file_scan
+from shutterlake.sources.media import add_file_checksum, describe_files, image_pixels, media_file_scan
 from shutterlake.sources.tables import TableStore
 
 LISTING = "dir string, name string, extension string, size long, hash string"
@@ -65,6 +68,48 @@ def test_listing_does_not_read_content(spark, tree):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+@pytest.mark.parametrize("algorithm", ["md5", "sha1"])
+def test_checksums_of_a_tree(spark, tree, algorithm):
+    """In chunks and from Spark's cells alike, whatever the names; two equal trees have equal sums."""
+    Path(tree, "family", "a b%20c+#.png").write_bytes(b"x" * 5_000_000)
+    shutil.copytree(tree, f"{tree}-copy")
+    want = {str(p): hashlib.new(algorithm, p.read_bytes()).hexdigest()
+            for p in Path(tree).rglob("*") if p.is_file() and "hidden" not in str(p) and "_tmp" not in str(p)}
+    scan = media_file_scan(spark, tree, checksum=algorithm)
+    assert {r["path"]: r["hash"] for r in scan.collect()} == want
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tree)
+    assert rows(describe_files(raw, checksum=algorithm)) == rows(scan)
+    copy = media_file_scan(spark, f"{tree}-copy", checksum=algorithm)
+    assert rows(copy, "name", "hash") == rows(scan, "name", "hash")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_checksum_of_a_file_above_two_gigabytes(spark, tmp_path):
+    """One that no cell could hold; the file is sparse."""
+    size = (1 << 31) + 5
+    with open(tmp_path / "film.mp4", "wb") as film:
+        film.truncate(size)
+    digest, block = hashlib.sha1(), bytes(1 << 24)
+    for start in range(0, size, len(block)):
+        digest.update(block[:size - start])
+    row = media_file_scan(spark, str(tmp_path), media_only=True, checksum="sha1").first()
+    assert (row["size"], row["hash"]) == (size, digest.hexdigest())
+
+
+def test_checksum_without_a_file(spark, tmp_path):
+    (tmp_path / "here.jpg").write_bytes(b"here")
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    paths = [str(tmp_path / f"{name}.jpg") for name in ("here", "empty", "gone")]
+    files = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    sums = {r["path"]: r["hash"] for r in add_file_checksum(files).collect()}
+    assert sums == {paths[0]: hashlib.md5(b"here").hexdigest(), paths[1]: hashlib.md5().hexdigest(),
+                    paths[2]: None, None: None}
+    assert add_file_checksum(files.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        add_file_checksum(files, "crc")
+
+
 def group(spark, *files):
     data = [("/d", n, e, s, "h") for n, e, s in files]
     return {(r["name"], r["extension"]) for r in
