@@ -19,6 +19,7 @@ from shutterlake.session import shared_dir
 from shutterlake.sources.media import is_mounted
 from shutterlake.sources.media import media_file_scan as media_file_scan_source
 from shutterlake.sources.media import media_file_stream
+from shutterlake.sources.media import walk_files as walk_files_source
 from shutterlake.sources.tables import TableStore, log_rows
 from shutterlake.sources.tables import read_table as read_stored
 from shutterlake.streaming import flows
@@ -344,6 +345,13 @@ def media_file_scan(lib: Library):
     return listed.groupBy(_relative("dir").alias("dir"), "type").agg(F.sum("size").alias("size"))
 
 
+@query(MEDIA_BYTES)
+def walk_files(lib: Library):
+    """The same tree, walked by the tasks."""
+    listed = walk_files_source(lib.spark, _media_tree(lib), media_only=True)
+    return listed.groupBy(_relative("dir").alias("dir"), "type").agg(F.sum("size").alias("size"))
+
+
 @query(MEDIA_BYTES)
 def incremental_ingest(lib: Library):
     """The same tree taken in by a file stream in several batches, each indexed into versioned tables."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -12,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from shutterlake.functions.files import file_class, is_media_file, split_path
+from shutterlake.session import cut_lineage
 
 ALGORITHMS = ("md5", "sha1")
 CHUNK_BYTES = 4 << 20
+ENTRIES_AT_ONCE = 5000
+ENTRY_SCHEMA = "path string, length long, folder boolean"
 BINARY_STREAM_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -34,6 +40,55 @@ def media_file_scan(spark: SparkSession, directory: str, media_only: bool = Fals
     return describe_files(raw, media_only, checksum, chunked=is_mounted(spark, directory))
 
 
+def walk_files(spark: SparkSession, directory: str, media_only: bool = False,
+               checksum: str | None = None) -> DataFrame:
+    """The listing of ``media_file_scan`` for a local or mounted folder, made by the tasks.
+
+    Each round reads all folders of one depth in parallel and writes what it finds to the shared
+    folder, so neither the driver nor a task ever holds a tree, and a lost round's rows are read back.
+    Folders that start with ``.`` or ``_`` are skipped; files of such names and empty files are
+    listed. Links are neither followed nor listed. A folder that goes away meanwhile has no entries.
+    """
+    if not is_mounted(spark, directory):
+        raise ValueError(f"tasks cannot open {directory!r} by its path")
+    top = "/" + re.sub("^file:", "", directory).strip("/")
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(top,)], "path string")
+    found = []
+    while not level.isEmpty():
+        entries = cut_lineage(level.repartition(tasks, "path").mapInArrow(read_folders, ENTRY_SCHEMA))
+        found.append(entries.filter("NOT folder").select("path", "length"))
+        level = entries.filter("folder").select("path")
+    return describe_files(reduce(DataFrame.unionByName, found), media_only, checksum, chunked=True)
+
+
+def read_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries (path, length, folder) of the folders in column 0, some thousand at a time."""
+    entries: list[tuple[str, int, bool]] = []
+
+    def made() -> pa.RecordBatch:
+        rows = [{"path": p, "length": n, "folder": f} for p, n, f in entries]
+        entries.clear()
+        return pa.RecordBatch.from_pylist(rows, pa.schema(
+            [("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())]))
+
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            try:
+                with os.scandir(folder) as inside:
+                    for entry in inside:
+                        if entry.is_dir(follow_symlinks=False):
+                            if not entry.name.startswith((".", "_")):
+                                entries.append((entry.path, 0, True))
+                        elif entry.is_file(follow_symlinks=False):
+                            entries.append((entry.path, entry.stat(follow_symlinks=False).st_size, False))
+                        if len(entries) >= ENTRIES_AT_ONCE:
+                            yield made()
+            except FileNotFoundError:
+                continue
+    yield made()
+
+
 def is_mounted(spark: SparkSession, directory: str) -> bool:
     """Whether tasks can open the files of a folder by their paths."""
     default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")

@@ -17,7 +17,7 @@ from shutterlake.operators import browse, catalogue, keyed, maintain, metadata,
 from shutterlake.operators.neardup import phash
 from shutterlake.plans.dedupe import deduplicate_store
 from shutterlake.plans.indexing import index_listing, remove_orphans
-from shutterlake.sources.media import add_file_checksum, describe_files, image_pixels, media_file_scan
+from shutterlake.sources.media import add_file_checksum, describe_files, image_pixels, media_file_scan, walk_files
 from shutterlake.sources.tables import TableStore
 
 LISTING = "dir string, name string, extension string, size long, hash string"
@@ -85,6 +85,27 @@ def test_checksums_of_a_tree(spark, tree, algorithm):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_walk_lists_what_the_scan_does_and_more(spark, tree):
+    """Folders at several depths; empty files and files that start with . or _ are listed, links are not."""
+    Path(tree, "vacation", "a", "b c").mkdir(parents=True)
+    Path(tree, "vacation", "a", "b c", "deep.jpg").write_bytes(b"deep")
+    Path(tree, "family", "nobody").mkdir()
+    columns = ["path", "dir", "name", "extension", "size", "type", "hash"]
+    scan = rows(media_file_scan(spark, tree, checksum="md5"), *columns)
+    walked = walk_files(spark, f"file://{tree}", checksum="md5")
+    assert walked.columns == media_file_scan(spark, tree, checksum="md5").columns
+    assert rows(walked, *columns) == scan and len(scan) == 5
+    Path(tree, "family", "empty.jpg").write_bytes(b"")
+    Path(tree, "family", "_own.jpg").write_bytes(b"1")
+    Path(tree, "family", "link.jpg").symlink_to(Path(tree, "family", "_own.jpg"))
+    Path(tree, "family", "loop").symlink_to(tree)
+    more = {r["path"] for r in walk_files(spark, tree + "/").collect()} - {r[0] for r in scan}
+    assert more == {f"{tree}/family/empty.jpg", f"{tree}/family/_own.jpg"}
+    assert walk_files(spark, f"{tree}/family/nobody").count() == walk_files(spark, f"{tree}/gone").count() == 0
+    with pytest.raises(ValueError):
+        walk_files(spark, "hdfs://host/photos")
+
+
 def test_checksum_of_a_file_above_two_gigabytes(spark, tmp_path):
     """One that no cell could hold; the file is sparse."""
     size = (1 << 31) + 5
