@@ -73,6 +73,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, busy):
         assert distance(by_id[a], by_id[b]) == d
 
 
+def test_listed_bands_are_never_broadcast(spark):
+    """Rows that a hash is exploded into meet in a shuffle, and both sides share the radius."""
+    df = spark.createDataFrame(hash_fixture(np.random.default_rng(2), 50), "id long, hash string")
+    groups = neardup.hash_groups(df).select("rep", "h")
+    joined = neardup.band_join(groups, 10)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    against = neardup.band_join(groups, 10, against=neardup.hash_bands(groups))
+    assert "BroadcastHashJoin" not in against._jdf.queryExecution().executedPlan().toString()
+    assert neardup._listed(neardup.hash_bands(groups), 1).count() == 68 * groups.count()
+
+
 @pytest.mark.parametrize("threshold", [10, 18])
 def test_new_items_against_pool(spark, threshold):
     items = sorted({v: i for i, v in hash_fixture(np.random.default_rng(5), 100)[:100]}.items(), key=lambda x: x[1])
