@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shutterlake.operators import facegraph
-from shutterlake.operators.cells import pivot_visits, table_count
+from shutterlake.operators.cells import hashing_saves, pivot_visits, table_count
 
 
 def people(seed, count=600, width=32, centres=25, noise=0.35):
@@ -83,3 +83,19 @@ def test_table_count_follows_the_angle():
 def test_recall_must_be_a_share(spark):
     with pytest.raises(ValueError):
         facegraph.similarity_join(frame(spark, people(5, 2)), 0.5, approx=True, recall=1.0)
+
+
+def test_all_pairs_where_hashing_is_more_work(spark):
+    """At a recall that tables of hyperplanes miss pairs at, and more work than all pairs: nothing is missed."""
+    vectors = people(6)
+    assert not hashing_saves(len(vectors), 0.3, 0.5) and hashing_saves(10**8, 0.9, 0.95)
+    got = rows(facegraph.similarity_join(frame(spark, vectors), 0.3, approx=True, recall=0.5), "feature_id", "matching_feature_id")
+    assert got == all_pairs(vectors, 0.3)
+
+
+def test_hashed_pairs_alone(spark):
+    vectors = people(3)
+    expected = set(all_pairs(vectors, 0.8))
+    groups = facegraph.vector_groups(frame(spark, vectors))
+    got = rows(facegraph._hashed_pairs(groups, 0.8, 0.95), "feature_id", "matching_feature_id")
+    assert len(got) == len(set(got)) and set(got) <= expected and len(got) >= 0.9 * len(expected)
