@@ -110,6 +110,22 @@ def test_person_scores_equal_brute_force(spark, monkeypatch, whole):
     assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=2e-9)
 
 
+def test_person_scores_hold_a_strip_of_similarities(spark, monkeypatch):
+    """Strips of two representatives; a person of 70 faces is never scored against all of them at once."""
+    monkeypatch.setattr(cluster, "STRIP_SCORES", 140)
+    rng = np.random.default_rng(12)
+    linked = [(0, v) for v in people_vectors(rng, 70)] + [(1, v) for v in people_vectors(rng, 3)]
+    reps = [(i, v) for i, v in enumerate(people_vectors(rng, 25))]
+    left = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in reps], "rep_id long, embedding array<float>")
+    right = spark.createDataFrame([(p, n, [float(x) for x in v]) for n, (p, v) in enumerate(linked)],
+                                  "person_id long, feature_id long, embedding array<float>")
+    got = rows(cluster.person_scores(left, right, 0.1).withColumn("score", F.round("score", 9)))
+    wide = [(i, v.astype(np.float64)) for i, v in reps], [(p, v.astype(np.float64)) for p, v in linked]
+    expected = scores(*wide, 0.1)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=2e-9)
+
+
 def triage_tables(spark):
     """Faces A, B, C around one direction, D elsewhere; one person with a linked face near A."""
     width = 128
