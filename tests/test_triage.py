@@ -73,6 +73,22 @@ def test_copies_fill_clusters_up_to_the_cap(spark):
     assert max(np.unique([c for _, c in got], return_counts=True)[1]) == 20
 
 
+def test_blocks_of_faces_equal_greedy(monkeypatch):
+    """Faces screened in blocks of five, next to clusters that are open already."""
+    monkeypatch.setattr(cluster, "SCREEN_FACES", 5)
+    monkeypatch.setattr(cluster, "SCREEN_ROWS", 7)
+    vectors = people_vectors(np.random.default_rng(9), 120, people=4).astype(np.float64)
+    vectors[60:75] = vectors[3]
+    expected = greedy(range(120), vectors, 0.5, 6)
+    first = dict(greedy(range(50), vectors[:50], 0.5, 6))
+    names = np.array(sorted({c for c in first.values() if list(first.values()).count(c) < 6}))
+    members = [[i for i, c in first.items() if c == name] for name in names]
+    clusters = cluster.OpenClusters(names, np.array([vectors[m].sum(axis=0) for m in members]),
+                                    np.array([len(m) for m in members]), 70)
+    got = cluster.place_faces(np.arange(50, 120), vectors[50:], clusters, 0.5, 6)
+    assert sorted([*first.items(), *zip(range(50, 120), got.tolist())]) == expected
+
+
 def test_threshold_bounds(spark):
     with pytest.raises(ValueError):
         cluster.capped_average_linkage(frame(spark, np.eye(3, dtype=np.float32)), 0.9)
