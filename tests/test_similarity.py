@@ -196,6 +196,21 @@ def test_search_in_any_blocks_agrees(spark, monkeypatch):
     assert rows(facegraph.similarity_search(queries, df, 0.2), "query_id", "feature_id") == small
 
 
+def test_search_holds_a_strip_of_similarities():
+    import tracemalloc
+
+    import pandas as pd
+
+    vectors = list(unit(np.random.default_rng(8), 3000))
+    a = pd.DataFrame({"query_id": range(3000), "embedding": vectors})
+    b = pd.DataFrame({"feature_id": range(3000), "embedding": vectors})
+    tracemalloc.start()
+    found = facegraph.search_block(a, b, 0.999999)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and not (found["query_id"] == found["feature_id"]).any()
+
+
 def test_batch_against_pool_gives_every_new_pair(spark):
     rng = np.random.default_rng(7)
     df = features(spark, range(60), unit(rng, 60))
