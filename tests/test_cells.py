@@ -48,6 +48,20 @@ def test_far_tiles_are_skipped(spark):
     assert every == seen["tiles"]
 
 
+def test_cells_that_save_nothing_are_not_used(spark, monkeypatch):
+    """At a threshold that rules out nothing, rows meet in few large tiles."""
+    from shutterlake.operators import cells
+
+    used = []
+    monkeypatch.setattr(cells, "self_tiles", lambda *a: used.append(a[-1]) or facegraph.self_tiles(*a))
+    vectors = people(7, 300)
+    groups = facegraph.vector_groups(frame(spark, vectors))
+    got = rows(facegraph.distinct_vector_pairs(groups, -0.9, 20, 16), "feature_id", "matching_feature_id")
+    assert used == [1] and got == all_pairs(vectors, -0.9)
+    facegraph.distinct_vector_pairs(facegraph.vector_groups(frame(spark, people(2, 800, noise=0.2))), 0.9, 20)
+    assert len(used) == 1
+
+
 def test_hashed_pairs_reach_their_recall(spark):
     vectors = people(3)
     expected = set(all_pairs(vectors, 0.8))
