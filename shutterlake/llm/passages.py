@@ -10,17 +10,24 @@ share a signature: the hash function and the words at c. Similar passages do so
    the representative. It combines before the shuffle, so a passage in a third of all documents costs
    one row per task.
 2. Windows of these signatures (a Bloom filter of fixed size, then an exact join) meet the
-   representative's window, never each other: the work is linear in the windows. Two windows are
-   aligned at c; the stretch both cover is an interval, the distance of their places its delta.
+   representative's window. Two windows are aligned at c; the stretch both cover is an interval, the
+   distance of their places its delta. The smallest document may hold no more than the signature, so a
+   window of the first function also meets others by its runs: exact stretches of ``run_words`` words around
+   c, of which two texts that share ``passage`` words around c share one. Windows whose run differs from the
+   representative's meet the smallest document that holds the same run. A common run is itself a similar
+   stretch, so equal passages are always linked through its smallest document. The work is linear in the windows.
 3. Intervals of the same documents are joined where they overlap and their deltas differ by no more than
    the allowance, as an added or dropped word moves all that follows; ``needed`` different hash
-   functions make a candidate.
+   functions or a common run make a candidate.
 4. The candidates' words are compared: two stretches of ``passage`` words or more, one in each text, count
    where the Jaccard similarity of their shingles is ``percent`` hundredths or more. Shingles are common
    where they are equal and no further apart than the candidate's deltas and the allowance.
 
 The allowance is how many shingles longer than a passage a stretch can be that is similar to one.
 
+Equal passages are all found. A passage with edits closer together than a run is found by its signatures alone: where their smallest
+documents hold other words around them, it can be missed.
+
 Null ids, null and empty texts and texts shorter than ``passage`` words have no passages. Rows that
 repeat an id are parts of one document; passages inside one document do not count.
 """
@@ -28,6 +35,7 @@ repeat an id are parts of one document; passages inside one document do not coun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +50,13 @@ from shutterlake.llm.shingles import WordHashes, mixed, sequence_hashes
 from shutterlake.session import cut_lineage
 
 HASHES = 6
-CONTEXT = 10                # words of a signature, from c on
+CONTEXT = 10                # words of a signature, from c on; one shingle for the first function
 SIGNATURE_BITS = 1 << 26    # Bloom filter of shared signatures: 8 MB
 SEGMENT = 448               # words compared in one row, besides the overlap
 GRID = 64                   # the representative's words are cut out in multiples of this
 ROWS_AT_ONCE = 4096         # rows a task passes on together
-WINDOW_FIELDS = "key long, doc_id long, f int, l int, c int, r int"
+WINDOW_FIELDS = "key long, doc_id long, f int, l int, c int, r int, runs array<int>"
+MULTIPLIER = 0x9E3779B97F4A7C15  # of the hash of a run; odd
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -76,22 +85,70 @@ def signed_windows(words: np.ndarray, width: int, passage: int) -> tuple[np.ndar
     places = np.array(rows, dtype=np.int32)
     context = sequence_hashes(words, CONTEXT)
     at = np.minimum(places[:, 2], len(context) - 1)
-    return mixed(context[at] + places[:, 0].astype(np.uint64)).view(np.int64), places
+    # words behind a passage must not part equal ones for the function that has runs
+    signed = np.where(places[:, 0] == 0, tokens[places[:, 2]], context[at])
+    return mixed(signed + places[:, 0].astype(np.uint64)).view(np.int64), places
+
+
+def run_words(width: int, passage: int, percent: int) -> int:
+    """The fewest words that two texts must share in a row for ``passage`` words there to be similar."""
+    tokens = passage - width + 1
+    common = -(-2 * tokens * percent // (100 + percent))  # common >= percent of (2 tokens - common)
+    return min(common + width - 1, passage)
+
+
+def runs_of(width: int, passage: int, percent: int) -> list[tuple[int, int]]:
+    """(words before c, words from c on) of the runs of a window.
+
+    Texts that share a before c and b from c on, a + b >= passage, share the run of the largest second
+    number up to b: these are so close together that the rest of its words lies within a.
+    """
+    words = run_words(width, passage, percent)
+    step = passage - words + 1
+    return [(max(words - n, 0), n) for n in range(0, words + step, step)]
+
+
+class RunHashes:
+    """Hashes of stretches of a text's words, any of them from two sums."""
+
+    def __init__(self, runs: list[tuple[int, int]]):
+        self.runs = runs
+        self.powers = self.inverse = np.zeros(0, dtype=np.uint64)
+
+    def of(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row for each of the places ``at`` with the hashes of its runs; 0 where the text ends before the run does."""
+        if len(self.powers) <= len(words):
+            more = 2 * len(words) + 1
+            self.powers, self.inverse = (
+                np.cumprod(np.array([1] + [m] * more, dtype=np.uint64), dtype=np.uint64)
+                for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * self.powers[:len(words)], dtype=np.uint64)])
+        found = []
+        for before, on in self.runs:
+            inside = (at >= before) & (at + on <= len(words))
+            low, high = np.where(inside, at - before, 0), np.where(inside, at + on, 0)
+            made = (mixed((sums[high] - sums[low]) * self.inverse[low]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            found.append(np.where(inside, np.where(made == 0, 1, made), 0).astype(np.int32))
+        return np.column_stack(found)
 
 
 def window_table(documents: DataFrame, width: int, passage: int, only: Bloom | None = None,
-                 places: bool = True) -> DataFrame:
-    """The windows of ``documents`` (doc_id, text); without ``places`` just (key, doc_id)."""
+                 places: bool = True, runs: list[tuple[int, int]] = ()) -> DataFrame:
+    """The windows of ``documents`` (doc_id, text); without ``places`` just (key, doc_id).
+
+    With ``places`` also the hashes of the ``runs`` of the first function's windows; the others have none.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(only)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bloom = WordHashes(), shared.value
+        hashes, bloom, run_hashes = WordHashes(), shared.value, RunHashes(list(runs))
         for batch in batches:
             ids, start = np.asarray(batch.column(0)), 0
             for texts in byte_texts(batch.column(1)):
-                keys, rows, owners = [], [], []
+                keys, rows, owners, held = [], [], [], []
                 for doc_id, data in zip(ids[start:start + len(texts)], texts):
-                    made, placed = signed_windows(hashes.of(data.lower().split() if data else []), width, passage)
+                    words = hashes.of(data.lower().split() if data else [])
+                    made, placed = signed_windows(words, width, passage)
                     if bloom is not None and len(made):
                         keep = bloom.holds(made.view(np.uint64))
                         made, placed = made[keep], placed[keep]
@@ -99,6 +156,8 @@ def window_table(documents: DataFrame, width: int, passage: int, only: Bloom | N
                         keys.append(made)
                         rows.append(placed)
                         owners.append(np.full(len(made), doc_id))
+                        if places:
+                            held.append(run_hashes.of(words, placed[placed[:, 0] == 0, 2].astype(np.int64)))
                 start += len(texts)
                 if not keys:
                     continue
@@ -107,7 +166,10 @@ def window_table(documents: DataFrame, width: int, passage: int, only: Bloom | N
                 if places:
                     all_rows = np.concatenate(rows)
                     columns += [pa.array(np.ascontiguousarray(all_rows[:, i])) for i in range(4)]
-                    names += ["f", "l", "c", "r"]
+                    sizes = np.where(all_rows[:, 0] == 0, len(runs), 0)
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).ravel())))
+                    names += ["f", "l", "c", "r", "runs"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return documents.mapInArrow(emit, WINDOW_FIELDS if places else "key long, doc_id long")
@@ -125,19 +187,47 @@ def allowance(tokens: int, percent: int) -> int:
     return tokens * (100 - percent) // percent
 
 
-def candidates(windows: DataFrame, passage_tokens: int, needed: int, slack: int) -> DataFrame:
-    """(doc_id, rep, least, most, low, high): token ranges that ``needed`` hash functions join to the representative.
+def met_windows(windows: DataFrame, runs: list[tuple[int, int]]) -> DataFrame:
+    """``windows`` with the window ``at`` of their representative, and which ``runs`` are not equal to its own."""
+    first = windows.filter("doc_id = rep").groupBy("key").agg(F.min(F.struct("c", "l", "r", "runs")).alias("at"))
+    held = [F.coalesce(F.get("runs", F.lit(i)), F.lit(0)) for i in range(len(runs))]
+    same = [h == F.coalesce(F.get("at.runs", F.lit(i)), F.lit(0)) for i, h in enumerate(held)]
+    equal = reduce(Column.__or__, [(h != 0) & s for h, s in zip(held, same)])
+    # the runs of one text at one place, told apart by their number
+    left = F.array_compact(F.array(*[F.when((h != 0) & ~s, F.struct(F.lit(i).alias("run"), h.alias("words")))
+                                     for i, (h, s) in enumerate(zip(held, same))]))
+    return windows.join(first, "key").select(
+        "key", "doc_id", "rep", "f", "l", "c", "r", F.struct("at.c", "at.l", "at.r").alias("at"),
+        equal.alias("sure"), left.alias("runs"))
+
+
+def run_intervals(met: DataFrame, runs: list[tuple[int, int]], width: int) -> DataFrame:
+    """Intervals (doc_id, rep, delta, f, low, high) of windows that hold one run with the smallest document that does."""
+    single = cut_lineage(met.select("key", "doc_id", "f", "c", F.explode("runs").alias("r"))
+                         .select("key", "doc_id", "f", "c", "r.run", "r.words"))
+    group = ["key", "run", "words"]
+    reps = (single.groupBy(*group).agg(F.min(F.struct("doc_id", "c")).alias("at"), F.max("doc_id").alias("last"))
+            .filter("at.doc_id < last").drop("last"))
+    before, on = (F.element_at(F.array(*[F.lit(r[side]) for r in runs]), F.col("run") + 1) for side in (0, 1))
+    return single.join(reps, group).filter("doc_id <> at.doc_id").select(
+        "doc_id", F.col("at.doc_id").alias("rep"), (F.col("c") - F.col("at.c")).alias("delta"), "f",
+        (F.col("c") - before).alias("low"), (F.col("c") + on - width).alias("high"))
+
+
+def candidates(windows: DataFrame, runs: list[tuple[int, int]], width: int, passage_tokens: int, needed: int,
+               slack: int) -> DataFrame:
+    """(doc_id, rep, least, most, low, high): token ranges that ``needed`` hash functions or a run join to a representative.
 
     ``windows`` are the shared ones with ``rep``; ``least`` and ``most`` are the ends of the deltas found,
     a delta being the document's place less the representative's.
     """
-    first = windows.filter("doc_id = rep").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("at"))
-    met = windows.filter("doc_id <> rep").join(first, "key")
-    intervals = met.select(
+    met = cut_lineage(met_windows(windows, runs))
+    intervals = met.filter("doc_id <> rep").select(
         "doc_id", "rep", (F.col("c") - F.col("at.c")).alias("delta"), "f",
         (F.col("c") - F.least(F.col("c") - F.col("l"), F.col("at.c") - F.col("at.l"))).alias("low"),
-        (F.col("c") + F.least(F.col("r") - F.col("c"), F.col("at.r") - F.col("at.c"))).alias("high"),
-    ).filter(F.col("high") - F.col("low") + 1 >= passage_tokens)
+        (F.col("c") + F.least(F.col("r") - F.col("c"), F.col("at.r") - F.col("at.c"))).alias("high"), "sure",
+    ).filter(F.col("sure") | (F.col("high") - F.col("low") + 1 >= passage_tokens))
+    intervals = intervals.unionByName(run_intervals(met, runs, width).withColumn("sure", F.lit(True)))
     # every interval goes to the two bands of deltas that hold it, so any two within the slack share one; what
     # lies in the lower half of a band only is also in the band before
     size = slack + 1
@@ -147,9 +237,9 @@ def candidates(windows: DataFrame, passage_tokens: int, needed: int, slack: int)
     islands = merged_islands(banded, group, overlap=True)
     return (islands.groupBy(*group, "island")
             .agg(F.min("delta").alias("least"), F.max("delta").alias("most"), F.min("low").alias("low"),
-                 F.max("high").alias("high"), F.count_distinct("f").alias("hashes"))
-            .filter((F.col("hashes") >= needed) & (F.col("most") >= (F.col("band") + 1) * size))
-            .drop("band", "island", "hashes"))
+                 F.max("high").alias("high"), F.count_distinct("f").alias("hashes"), F.max("sure").alias("sure"))
+            .filter((F.col("sure") | (F.col("hashes") >= needed)) & (F.col("most") >= (F.col("band") + 1) * size))
+            .drop("band", "island", "hashes", "sure"))
 
 
 def merged_islands(intervals: DataFrame, group: list[str], overlap: bool) -> DataFrame:
@@ -337,9 +427,10 @@ def repeated_passages(documents: DataFrame, width: int = 5, percent: int = 80, p
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = cut_lineage(shared_signatures(texts, width, passage))
     bloom = build_bloom(shared.select("key"), SIGNATURE_BITS)
-    windows = cut_lineage(window_table(texts, width, passage, bloom).join(shared, "key"))
+    runs = runs_of(width, passage, percent)
+    windows = cut_lineage(window_table(texts, width, passage, bloom, runs=runs).join(shared, "key"))
     slack = allowance(passage - width + 1, percent)
-    found = cut_lineage(candidates(windows, passage - width + 1, needed, slack))
+    found = cut_lineage(candidates(windows, runs, width, passage - width + 1, needed, slack))
     links = cut_lineage(verified(found, texts, width, passage, percent))
 
     def spans(df: DataFrame, group: list[str], *more: Column) -> DataFrame:

@@ -10,7 +10,7 @@ import corpus_pipeline
 from shutterlake.llm import queries
 from shutterlake.llm.jaccard_join import (SignatureTree, block_links, keep_one_per_component, leaf_pairs,
                                           linked_pairs, near_duplicates, similar, similar_pairs)
-from shutterlake.llm.passages import alike_stretches, compact_windows, repeated_passages
+from shutterlake.llm.passages import RunHashes, alike_stretches, compact_windows, repeated_passages, runs_of
 from shutterlake.llm.shingles import PigeonholeKeys
 from shutterlake.session import cut_lineage
 
@@ -261,6 +261,38 @@ def test_passages_with_an_edit(spark, kind):
     assert all(s <= held[d] for d, s in got.items())
 
 
+def test_runs_are_shared_wherever_a_passage_lies():
+    runs = runs_of(5, 50, 80)
+    assert min(a + b for a, b in runs) == 45
+    for before in range(46):
+        assert any(a <= before and b <= 50 - before for a, b in runs)
+    rng = np.random.default_rng(5)
+    x, y, shared = (rng.integers(0, 2 ** 63, size=n).astype(np.uint64) for n in (200, 90, 50))
+    x[70:120], y[3:53] = shared, shared
+    hashes = RunHashes(runs)
+    for c in range(46):
+        a, b = hashes.of(x, np.array([70 + c])), hashes.of(y, np.array([3 + c]))
+        inside = [before <= c and on <= 50 - c for before, on in runs]
+        assert (a[0] == b[0]).tolist() == [i or p == q == 0 for i, p, q in zip(inside, a[0], b[0])]
+        assert any(i and p for i, p in zip(inside, a[0]))
+
+
+def test_passages_behind_smaller_documents_that_quote_a_few_words(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"v{rng.randrange(10 ** 6)}" for _ in range(n)]
+    shared = text(60)
+    rows = []
+    for i in range(306):  # every signature of the passage occurs in smaller documents that are not similar
+        words = text(110)
+        words[50:60] = shared[i % 51:i % 51 + 10]
+        rows.append((i, words))
+    rows += [(1000, text(30) + shared + text(40)), (1001, text(50) + shared + text(20)), (1002, text(90))]
+    rows += [(900 + i, text(80) + shared[25 * i:25 * i + 30] + text(80)) for i in range(2)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = covered(repeated_passages(df))
+    assert got == {1000: set(range(30, 90)), 1001: set(range(50, 110))}
+
+
 def test_passages_odd_rows(spark, odd, nothing):
     assert repeated_passages(odd).filter("doc_id IS NULL").count() == 0
     assert repeated_passages(nothing).count() == 0
