@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.llm.bloom import Bloom, build_bloom
-from shutterlake.llm.common import GrowingTable, arrow_schema, byte_texts
+from shutterlake.llm.common import GrowingTable, arrow_schema, byte_texts, tidy
 from shutterlake.session import cut_lineage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -108,7 +108,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     size = 0
         yield from flush()
 
-    made = _rows(docs, text_col, lang_col).mapInArrow(count, COUNTED)
+    made = _rows(docs, text_col, lang_col).mapInArrow(tidy(count), COUNTED)
     return made.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -143,7 +143,7 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
             out ^= np.array([NODE, TAIL, EVER])[np.asarray(batch.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["hash"])
 
-    return phrases.select("lang", "phrase", "role").mapInArrow(run, "hash long")
+    return phrases.select("lang", "phrase", "role").mapInArrow(tidy(run), "hash long")
 
 
 def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text",
@@ -193,7 +193,7 @@ def numbered_corpus(docs: DataFrame, frequent: DataFrame, text_col: str = "text"
         for lang in list(held):
             yield chunk(lang)
 
-    return cut_lineage(_rows(docs, text_col, lang_col).mapInArrow(run, CHUNKS))
+    return cut_lineage(_rows(docs, text_col, lang_col).mapInArrow(tidy(run), CHUNKS))
 
 
 # --- one pass ---------------------------------------------------------------------------------
@@ -217,7 +217,7 @@ def count_phrases(corpus: DataFrame, wanted: Bloom, longest: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(lang, len(counts)), phrases, pa.array(counts)], schema=kind)
 
-    passed = corpus.mapInArrow(run, COUNTED)
+    passed = corpus.mapInArrow(tidy(run), COUNTED)
     return passed.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
