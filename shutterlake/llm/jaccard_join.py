@@ -97,20 +97,31 @@ def candidate_keys(documents: DataFrame, text_col: str, width: int, percent: int
 
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
-    """(src, dst): neighbours in the order of the sets that share a key.
+    """(src, dst): the pairs of sets that share as many uncommon keys as linked sets must.
 
-    Of a common key, only sets that have too many of these to pass them all over are such neighbours.
+    Linked sets share, at one level, at least each one's room of keys; those that are not common are at least
+    its room less its common keys, its need. Sets that could share common keys alone (need 0 or less)
+    are also joined to their neighbours among such sets, in the order of each common key.
     """
     order = Window.partitionBy("key").orderBy("h1")
+    fresh = ~F.col("h1").eqNullSafe(F.lag("h1").over(order))  # copies come from several tasks
     shared = cut_lineage(
-        keys.withColumns({"src": F.lag("h1").over(order), "n": F.count("*").over(Window.partitionBy("key"))})
-        .filter("n > 1"))
+        keys.withColumn("fresh", fresh).filter("fresh").drop("fresh")
+        .withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
     common = F.col("n") > COMMON_KEY
-    hot = shared.filter(common).select("key", "h1", "slot")
-    bound = hot.groupBy("h1", "slot").agg(F.count("*").alias("hot")).filter("hot >= floor(slot / 2)")
-    chained = hot.join(bound, ["h1", "slot"], "left_semi").withColumn("src", F.lag("h1").over(order))
-    edges = shared.filter(~common).select("src", "h1").unionByName(chained.select("src", "h1"))
-    return edges.filter("src <> h1").select("src", F.col("h1").alias("dst")).distinct()
+    hot = F.sum(common.cast("int")).over(Window.partitionBy("h1", "slot"))
+    needing = cut_lineage(shared.select("key", "h1", "slot", common.alias("common"),
+                                        (F.floor(F.col("slot") / 2) - hot).alias("need")))
+    own = F.struct("h1", "need")
+    before = F.array(*[F.lag(own, i).over(order) for i in range(1, COMMON_KEY)])
+    pairs = (needing.filter("NOT common")
+             .select((F.col("slot") % 2).alias("parity"), own.alias("b"), before.alias("before"))
+             .select("parity", "b", F.explode(F.array_compact("before")).alias("a"))
+             .groupBy("a", "b", "parity").count()
+             .filter(F.col("count") >= F.greatest("a.need", "b.need")))
+    chained = needing.filter("common AND need <= 0").withColumn("src", F.lag("h1").over(order))
+    return (pairs.select(F.col("a.h1").alias("src"), F.col("b.h1").alias("dst"))
+            .unionByName(chained.filter("src IS NOT NULL").select("src", F.col("h1").alias("dst"))).distinct())
 
 
 def block_sets(documents: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shutterlake.llm import queries
-from shutterlake.llm.jaccard_join import (SignatureTree, block_links, keep_one_per_component, leaf_pairs,
-                                          linked_pairs, near_duplicates, similar, similar_pairs)
+from shutterlake.llm.jaccard_join import (SignatureTree, block_links, candidate_edges, candidate_keys,
+                                          keep_one_per_component, leaf_pairs, linked_pairs, near_duplicates, similar,
+                                          similar_pairs)
 from shutterlake.llm.passages import RunHashes, alike_stretches, compact_windows, repeated_passages, runs_of
-from shutterlake.llm.shingles import PigeonholeKeys
+from shutterlake.llm.shingles import PigeonholeKeys, WordHashes, set_hash, shingle_set
 from shutterlake.session import cut_lineage
 
 from tests.llm.conftest import SF_DIR
@@ -96,6 +97,18 @@ def test_similar_sets_share_a_key(percent):
             assert max(levels) >= 0
 
 
+def test_sets_that_share_a_few_keys_are_no_candidates(spark):
+    words = [[f"{name}{i}" for i in range(3000)] for name in "abc"]
+    quoting = words[0][:1500] + words[1][:1500]  # half of another text, far from similar
+    near = words[2][:1400] + ["new"] + words[2][1401:]
+    texts = spark.createDataFrame([(" ".join(t),) for t in (words[0], quoting, words[2], near, words[2])], "text string")
+    keys = candidate_keys(texts, "text", 5, 80)
+    linked = {set_hash(shingle_set(WordHashes().of([w.encode() for w in t]), 5))[0] for t in (words[2], near)}
+    shared = keys.distinct().groupBy("key").count().filter("count > 1").join(keys, "key").select("h1").distinct().count()
+    assert shared == 4  # each of the four sets shares keys with another
+    assert [{r["src"], r["dst"]} for r in candidate_edges(keys).collect()] == [linked]
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(0)
     base = [np.unique(rng.integers(0, 2 ** 63, size=n, dtype=np.uint64)) for n in (1, 3, 40, 41, 200, 900)]
