@@ -1,11 +1,11 @@
 """N-gram Jaccard join with signature trees, and the components of its links.
 
 1. Equal shingle sets form a class (one aggregate on a 128-bit hash), so copies cost one row each.
-2. Each class gets keys of which linked classes share one, by the pigeonhole principle
-   (``PigeonholeKeys``); neighbours in the order of each key are candidates. There are keys to spare:
-   a class passes over its common keys, those of passages that many texts share, as long as another
-   shared key must remain; only classes with too many common keys (those with many near-copies) use
-   them too. The connected candidates are a block; every link lies inside one.
+2. Each class gets keys of which linked classes share several, by the pigeonhole principle
+   (``PigeonholeKeys``). Pairs that share as many uncommon keys as linked classes must are candidates: a
+   class passes over its common keys, those of passages that many texts share, as long as other shared keys
+   must remain; classes with too many common keys (those with many near-copies) are also joined to their
+   neighbours in the order of these. The connected candidates are a block; every link lies inside one.
 3. The sets of a block's classes are joined by signature trees: leaves are sets, a node holds the
    bitmap of all tokens below it, OR-combined, and the range of sizes. Both trees are descended together,
    and a pair of nodes goes no further when the largest overlap that bitmaps and sizes allow is below
