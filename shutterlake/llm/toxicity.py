@@ -1,14 +1,20 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary texts.
 
-From the labelled texts Spark counts words, word pairs and word beginnings, once per document, for each
+Two whole class models (``likelihood``) give every text its log-likelihoods as a toxic and as an ordinary text, all
+words and pairs of the labelled texts included. A logistic function weighs both, per word, beside the evidence of
+single expressions. It is fitted on a bounded sample of training texts (``calibration_rows``); the likelihoods' weights on
+the first fourth of the training texts at most, which the class models do not count, as a model finds the texts it
+has counted too likely. With less than
+ten texts of the rarer class for each of them these weights stay 0.
+
+For the evidence Spark counts words, word pairs and word beginnings, once per document, for each
 class. A pair backs off to its last word, and a word to its beginnings, the longest with evidence
 first, so that rare forms share the counts of what they have in common. Both class models discount
 their counts and end in counts shared by the classes, with one shared back-off weight; an expression
 without evidence is as likely under either model and adds nothing. Evidence is a G test of the class
 counts and an e-fold difference, and the expression must follow several different words of toxic texts
-(its continuation count), so that many copies of one text are not evidence for each of its words. A
-text's log-likelihood ratio, in total and per word, is turned into a score by a logistic function
-fitted on a bounded sample of training texts (``calibration_rows``).
+(its continuation count), so that many copies of one text are not evidence for each of its words.
+The logistic function gets its sum, in total and per word.
 
 The labelled texts are found with a Bloom filter of fixed size before the exact join, so only they are
 shuffled; ordinary texts are only counted for expressions that toxic texts hold. Retained expressions
@@ -34,25 +40,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from shutterlake.llm.bloom import Bloom, build_bloom
-from shutterlake.llm.common import byte_texts, tidy, with_columns_from_text, word_table
+from shutterlake.llm.common import byte_texts, tidy, with_columns_from_text
+from shutterlake.llm.likelihood import ClassModels, log_likelihoods, train_classes, words_of
 from shutterlake.session import cut_lineage
 
-WORDS = word_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 DISCOUNT = 0.75
 LEAST_CONTEXTS = 5
 LEAST_G = 30.0  # one in ten million by chance
 LEAST_GAIN = 1.0
+LEAST_PER_WEIGHT = 10  # texts of the rarer class for each fitted weight of the likelihoods
 BEGINNINGS = range(8, 2, -1)  # lengths, the longest first
 FLUSH_AT = 100_000  # counters a task holds before it passes them on
 ALL_WORDS = ""  # counts the different words of all texts
 
 
-def words_of(data: bytes | None) -> list[str]:
-    if not data:
-        return []
-    return data.decode("utf-8", "replace").lower().encode().translate(WORDS).decode().split()
-
-
 def expressions_of(words: list[str]) -> set[str]:
     """The different words, "first second" pairs and "beginning*" forms."""
     single = set(words)
@@ -68,11 +69,15 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``entries``: (expression, gain), an expression being a word or two words joined by a space."""
+    """``entries``: (expression, gain), an expression being a word or two words joined by a space.
+
+    ``classes``: both class models, or None if the counted texts lack a class.
+    """
 
     entries: DataFrame
     slices: int
     weights: tuple[float, ...]
+    classes: ClassModels | None = None
 
 
 # --- training ---
@@ -167,7 +172,8 @@ def continuations(toxic: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", slice_entries: int = 200_000, calibration_rows: int = 20_000) -> ToxicityModel:
+          label_col: str = "toxic", slice_entries: int = 200_000, calibration_rows: int = 20_000,
+          head_entries: int = 500_000) -> ToxicityModel:
     texts = cut_lineage(labelled_texts(documents, labels, id_col, text_col, label_col))
     classes = texts.groupBy("toxic").count().collect()
     if len(classes) < 2:
@@ -213,10 +219,17 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                           .select("expression", "gain"))
     model = ToxicityModel(entries, max(1, math.ceil(entries.count() / slice_entries)), ())
     # the ids are ranked without their texts; equal hashes are equal ids, which stay together
-    hashed = texts.select(F.xxhash64("id").alias("h"))
-    last = hashed.orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
-    sample = texts.filter(F.xxhash64("id") <= F.lit(last))
-    return ToxicityModel(entries, model.slices, _fit(add_evidence(sample, model, "text")))
+    ranked = cut_lineage(texts.select(F.xxhash64("id").alias("h")).orderBy("h").limit(calibration_rows))
+    aside = max(1, min(calibration_rows, sum(r["count"] for r in classes) // 4))
+
+    def first_rows(n):
+        return F.xxhash64("id") <= F.lit(ranked.orderBy("h").limit(n).agg(F.max("h")).first()[0])
+
+    by_evidence = _fit(add_evidence(texts.filter(first_rows(calibration_rows)), model, "text"))
+    uncounted = first_rows(aside)
+    models = train_classes(texts.filter(~uncounted), head_entries)
+    sample = add_likelihoods(add_evidence(texts.filter(uncounted), model, "text"), models, "text")
+    return ToxicityModel(entries, model.slices, _weigh_likelihoods(sample, by_evidence), models)
 
 
 def _hash_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +301,16 @@ def _add_slice(df: DataFrame, text_col: str, known: dict[str, float], total: str
     }).drop(f"{total}+", f"{count}+")
 
 
+def add_likelihoods(documents: DataFrame, models: ClassModels | None, text_col: str, prefix: str = "") -> DataFrame:
+    """``documents`` with the log-likelihoods ``toxic_ll`` and ``ordinary_ll``, each with ``prefix``."""
+    names = [f"{prefix}toxic_ll", f"{prefix}ordinary_ll"]
+    if models is None:
+        return documents.withColumns({name: F.lit(0.0) for name in names})
+    key = f"{prefix}text_hash"
+    found = log_likelihoods(documents, models, text_col).toDF(key, *names)
+    return documents.withColumn(key, F.xxhash64(text_col)).join(found.hint("merge"), key).drop(key)
+
+
 def _features(evidence, words):
     """Total evidence, evidence per word, and length."""
     return [evidence, evidence / np.maximum(words, 1) * 100.0, np.log1p(words)]
@@ -295,22 +318,40 @@ def _features(evidence, words):
 
 def _constant(rate: float) -> tuple[float, ...]:
     rate = min(max(rate, 0.001), 0.499)
-    return (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
+    return (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
 def _fit(sample: DataFrame) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a small ridge: intercept and one weight per feature."""
+    """Intercept and one weight per feature of the evidence."""
     rows = sample.select("evidence", "words", "toxic").toPandas()
     y = rows["toxic"].to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
-        return _constant(float(y.mean()) if len(y) else 0.0)
-    x = np.column_stack(_features(rows["evidence"].to_numpy(dtype=float), rows["words"].to_numpy(dtype=float)))
+        return _constant(float(y.mean()) if len(y) else 0.0)[:4]
+    return _logistic(_features(rows["evidence"].to_numpy(dtype=float), rows["words"].to_numpy(dtype=float)), y, 0.1)
+
+
+def _weigh_likelihoods(sample: DataFrame, by_evidence: tuple[float, ...]) -> tuple[float, ...]:
+    """``by_evidence`` with the weights of both log-likelihoods per word, fitted beside it, and its new intercept."""
+    rows = sample.select("evidence", "words", "toxic_ll", "ordinary_ll", "toxic").toPandas().astype(float)
+    evidence, words, toxic, ordinary, y = (rows[c].to_numpy() for c in rows.columns)
+    features = [toxic / (words + 1), ordinary / (words + 1)]
+    if min((y > 0).sum(), (y == 0).sum()) < LEAST_PER_WEIGHT * (1 + len(features)):
+        return (*by_evidence, 0.0, 0.0)
+    known = by_evidence[0] + sum(w * x for w, x in zip(by_evidence[1:], _features(evidence, words)))
+    shift, *weights = _logistic(features, y, 1.0, known)
+    return (by_evidence[0] + shift, *by_evidence[1:], *weights)
+
+
+def _logistic(features: list, y: np.ndarray, least: float, known: np.ndarray | float = 0.0) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with the small ridge ``least``: intercept and one weight per
+    feature, added to the log-odds ``known``."""
+    x = np.column_stack(features)
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([np.ones(len(y)), (x - mean) / spread])
     w = np.zeros(z.shape[1])
-    ridge = np.diag([1e-6, 0.1, 0.1, 0.1])
+    ridge = np.diag([1e-6] + [least] * x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(known + z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -321,12 +362,14 @@ def _fit(sample: DataFrame) -> tuple[float, ...]:
 def score_texts(documents: DataFrame, model: ToxicityModel, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``documents`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), each with ``prefix``."""
     own = f"{prefix}toxicity_"
-    gathered = add_evidence(documents, model, text_col, own)
+    gathered = add_likelihoods(add_evidence(documents, model, text_col, own), model.classes, text_col, own)
     evidence, words = F.col(f"{own}evidence"), F.col(f"{own}words")
-    b, total, mean, length = model.weights
+    toxic, ordinary = F.col(f"{own}toxic_ll"), F.col(f"{own}ordinary_ll")
+    b, total, mean, length, as_toxic, as_ordinary = model.weights
     logit = (b + total * evidence + mean * evidence / F.greatest(words, F.lit(1)) * 100.0
-             + length * F.log1p(words.cast("double")))
+             + length * F.log1p(words.cast("double"))
+             + as_toxic * toxic / (words + 1) + as_ordinary * ordinary / (words + 1))
     score = 1 / (1 + F.exp(-logit))
     return gathered.withColumn(f"{prefix}score", score).withColumn(
         f"{prefix}predicted", (F.col(f"{prefix}score") >= 0.5).cast("int")
-    ).drop(f"{own}evidence", f"{own}words")
+    ).drop(f"{own}evidence", f"{own}words", f"{own}toxic_ll", f"{own}ordinary_ll")

@@ -1,7 +1,10 @@
 """Operators that learn from the tables: secrets, toxicity, nearest neighbours; and packing."""
 
 import hashlib
+import math
 import re
+from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm import queries
 from shutterlake.llm.bloom import build_bloom
+from shutterlake.llm.likelihood import log_likelihoods, train_classes
 from shutterlake.llm.nearest import Codes, PieceTables, nearest_neighbours
 from shutterlake.llm.packing import conflict_masks, pack, pack_documents
 from shutterlake.llm.secrets import digest_columns, find_secrets, infer, learn_formats, redact_secrets
@@ -146,6 +150,72 @@ def test_toxicity_slices_agree(spark):
     assert one.keys() == other.keys() and all(abs(one[d] - other[d]) < 1e-9 for d in one)
 
 
+def plain_class_model(texts, known):
+    """p(b | a) of one class in plain Python, texts as lists of words."""
+    pairs = Counter(p for t in texts for p in zip(["<", *t], [*t, "<"]))
+    contexts = Counter(b for _, b in pairs)
+    word = {w: (max(contexts[w] - 1, 0) + len(contexts) / (len(known) + 1)) / len(pairs) for w in [*known, None]}
+    n, types = Counter(), Counter(a for a, _ in pairs)
+    for (a, _), count in pairs.items():
+        n[a] += count
+
+    def p(b, a):
+        b = b if b in known else None
+        if not n[a]:
+            return word[b]
+        return max(pairs[a, b] - 1, 0) / n[a] + types[a] / n[a] * word[b]
+
+    return p
+
+
+def test_class_likelihoods_equal_plain_models(spark):
+    toxic = ["you are a clown", "you are a clown", "a clown are you", "", "You clown"]
+    ordinary = ["you are a friend", "a friend of a friend", "it is a friend", "of it", "of it", None]
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in ordinary]
+    split = [[(t or "").lower().split() for t in texts] for texts in (toxic, ordinary)]
+    known = {w for texts in split for t in texts for w in t} | {"<"}
+    plain = [plain_class_model(texts, known) for texts in split]
+    for p in plain:
+        assert all(abs(sum(p(b, a) for b in [*known, None]) - 1) < 1e-12 for a in [*known, "never"])
+    asked = ["you are a friend of a clown", "never seen", "never", "", None, "it is a friend", "it is a friend"]
+    texts = spark.createDataFrame(rows, "text string, toxic int")
+    documents = spark.createDataFrame([(t,) for t in asked], "text string").repartition(5)
+    for head_entries in (0, 5, 1000):
+        models = train_classes(texts, head_entries)
+        assert (models.tail is None) == (head_entries == 1000)
+        found = documents.distinct().withColumn("text_hash", F.xxhash64("text")).join(
+            log_likelihoods(documents, models, "text"), "text_hash").collect()
+        assert len(found) == 6
+        for r in found:
+            t = (r["text"] or "").lower().split()
+            for p, name in zip(plain, ("toxic", "ordinary")):
+                want = sum(math.log(p(b, a)) for a, b in zip(["<", *t], [*t, "<"]))
+                assert abs(r[name] - want) < 1e-9
+    assert train_classes(texts.filter("toxic = 1"), 5) is None
+
+
+def test_toxicity_weighs_class_likelihoods(spark):
+    sf = SF_DIR.replace("sf0.001", "sf0.01")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole, split = train(documents, labels), train(documents, labels, head_entries=50)
+    assert whole.classes.tail is None and split.classes.tail is not None
+    whole, split = (replace(m, weights=(-1.0, 0.2, 1.0, 0.1, 1.9, -1.4)) for m in (whole, split))
+    one = {r["doc_id"]: r["score"] for r in score_texts(documents, whole).collect()}
+    other = {r["doc_id"]: r["score"] for r in score_texts(documents, split).collect()}
+    assert len(one) == documents.count() and all(abs(one[d] - other[d]) < 1e-9 for d in one)
+
+    # no expression is frequent enough for evidence, so only the likelihoods can tell these classes apart
+    rng = np.random.default_rng(1)
+    words = [[f"{c}{i}" for i in range(400)] for c in "xy"]
+    rows = [(i, " ".join(rng.choice(words[i % 3 == 0], 20)), int(i % 3 == 0)) for i in range(800)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = train(made, made.select("doc_id", "toxic"))
+    assert model.weights[4] > 0 > model.weights[5]
+    unseen = score_texts(made.filter(held_out(F.col("doc_id"))), model).collect()
+    assert len(unseen) > 100 and all(r["predicted"] == r["toxic"] for r in unseen)
+
+
 def test_expression_counts(spark):
     texts = ["idiotic idiot", "Idiot, idiot", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
