@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from shutterlake.session import cut_lineage
 WORDS = word_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 MARK = np.uint64(0x9E3779B97F4A7C15)  # before and after a text
 PAIRS_AT_ONCE = 1_000_000  # pairs a task holds before it adds them up
-KNOWN_WORDS = 200_000      # hashes of words a task keeps
+BUCKETS = 1 << 20          # of the frequent terms' keys, by their first bits
 KNOWN_TEXTS = 200_000      # hashes of texts a task keeps, to read copies once
 TAIL_BITS = 1 << 25        # 4 MB
 
@@ -55,26 +55,19 @@ class ClassModels:
     unseen: tuple[float, float]  # log-probability of a word never seen
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def _sequence(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The words of several texts with a mark before each and one at the end; symbols per text."""
-    flat: list[int] = []
-    sizes = []
-    mark = int(MARK)
-    for data in texts:
-        words = words_of(data)
-        flat.append(mark)
-        flat.extend(map(hashes.__getitem__, words))
-        sizes.append(len(words) + 1)
-    flat.append(mark)
-    return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+def _sequence(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts as hashes, with a mark before each text and one at the end; symbols per text."""
+    words: list[str] = []
+    sizes = np.empty(len(texts), dtype=np.int64)
+    for i, data in enumerate(texts):
+        own = words_of(data)
+        words += own
+        sizes[i] = len(own) + 1
+    symbols = np.full(len(words) + len(texts) + 1, MARK, dtype=np.uint64)
+    is_word = np.ones(len(symbols), dtype=bool)
+    is_word[np.concatenate([[0], np.cumsum(sizes)])] = False
+    symbols[is_word] = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    return symbols, sizes
 
 
 def pair_keys(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -99,12 +92,12 @@ def count_pairs(texts: DataFrame) -> DataFrame:
             names=["a", "b", "toxic", "ordinary"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = _Hashes(), 0
+        held = 0
         first, last, toxic = [], [], []
         for batch in batches:
             marks, start = np.asarray(batch.column(toxic_at)).astype(np.int64), 0
             for block in byte_texts(batch.column(text_at)):
-                symbols, sizes = _sequence(block, hashes)
+                symbols, sizes = _sequence(block)
                 first.append(symbols[:-1])
                 last.append(symbols[1:])
                 toxic.append(np.repeat(marks[start:start + len(block)], sizes))
@@ -121,16 +114,27 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _seen(name: str) -> Column:
-    return F.sum((F.col(name) > 0).cast("long"))
+    return F.sum((F.col(name) > 0).cast("long")).alias(f"seen_{name}")
 
 
 def train_classes(texts: DataFrame, head_entries: int) -> ClassModels | None:
     """Both models from (text, toxic); None unless both classes have texts."""
     classes = ("toxic", "ordinary")
-    pairs = cut_lineage(count_pairs(texts))
-    after = pairs.groupBy(F.col("a").alias("word")).agg(
-        *[f for c in classes for f in (F.sum(c).alias(f"n_{c}"), _seen(c).alias(f"types_{c}"))])
-    before = pairs.groupBy(F.col("b").alias("word")).agg(*[_seen(c).alias(f"contexts_{c}") for c in classes])
+    every = count_pairs(texts)
+    # one table from one shuffle of the pairs: histories, contexts, and the pairs that have terms
+    kept = cut_lineage(
+        every.groupBy("a").agg(*map(_seen, classes), *[F.sum(c).alias(f"n_{c}") for c in classes])
+        .select(F.lit("after").alias("kind"), "a", F.lit(None).cast("long").alias("b"), *[f"seen_{c}" for c in classes],
+                *[f"n_{c}" for c in classes])
+        .unionByName(every.groupBy(F.col("b").alias("a")).agg(*map(_seen, classes)).withColumn("kind", F.lit("before")),
+                     allowMissingColumns=True)
+        .unionByName(every.filter("toxic > 1 OR ordinary > 1").select(
+            F.lit("pair").alias("kind"), "a", "b", *[F.col(c).alias(f"n_{c}") for c in classes]), allowMissingColumns=True))
+    after = kept.filter("kind = 'after'").select(F.col("a").alias("word"), *[
+        f for c in classes for f in (f"n_{c}", F.col(f"seen_{c}").alias(f"types_{c}"))])
+    before = kept.filter("kind = 'before'").select(
+        F.col("a").alias("word"), *[F.col(f"seen_{c}").alias(f"contexts_{c}") for c in classes])
+    pairs = kept.filter("kind = 'pair'").select("a", "b", *[F.col(f"n_{c}").alias(c) for c in classes])
     counted = cut_lineage(after.join(before, "word"))
     total = counted.agg(F.count("*").alias("v"), *[
         f for c in classes for f in (F.sum(f"contexts_{c}").alias(f"contexts_{c}"), _seen(f"contexts_{c}").alias(f"words_{c}"))
@@ -154,7 +158,7 @@ def train_classes(texts: DataFrame, head_entries: int) -> ClassModels | None:
                           (F.col("n_toxic") + F.col("n_ordinary")).alias("n")).filter("toxic <> 0 OR ordinary <> 0")
     first = words.select(F.col("word").alias("a"), *[f"types_{c}" for c in classes])
     last = words.select(F.col("word").alias("b"), *[F.col(f"p_{c}").alias(f"last_{c}") for c in classes])
-    double = pairs.filter("toxic > 1 OR ordinary > 1").join(first, "a").join(last, "b").select(
+    double = pairs.join(first, "a").join(last, "b").select(
         F.col("a").alias("word"), "b", *map(pair_term, classes), (F.col("toxic") + F.col("ordinary")).alias("n"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +200,8 @@ def log_likelihoods(documents: DataFrame, models: ClassModels, text_col: str) ->
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, *terms = head.value
-        hashes, known = _Hashes(), set()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(_bucket(keys), minlength=BUCKETS))])
+        known = set()
         for batch in batches:
             ids, start = np.asarray(batch.column(0)).astype(np.int64), 0
             for block in byte_texts(batch.column(1)):
@@ -209,7 +214,7 @@ def log_likelihoods(documents: DataFrame, models: ClassModels, text_col: str) ->
                 if len(known) > KNOWN_TEXTS:
                     known.clear()
                 if fresh:
-                    yield _asked(own[fresh], _sequence([block[i] for i in fresh], hashes), keys, terms, unseen, bloom.value)
+                    yield _asked(own[fresh], _sequence([block[i] for i in fresh]), (keys, starts), terms, unseen, bloom.value)
 
     texts = documents.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(tidy(ask), "text_hash long, key long, rare boolean, toxic double, ordinary double, times long")
@@ -222,16 +227,32 @@ def log_likelihoods(documents: DataFrame, models: ClassModels, text_col: str) ->
         (F.sum(c) / F.sum("times")).alias(c) for c in ("toxic", "ordinary")])
 
 
-def _asked(ids, sequence, keys, terms, unseen, bloom) -> pa.RecordBatch:
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
+
+
+def _places(keys: np.ndarray, starts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each hash stands among the sorted ``keys``, or -1."""
+    bucket = _bucket(asked)
+    at, end = starts[bucket], starts[bucket + 1]
+    found = np.full(len(asked), -1)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        same = keys[at[left]] == asked[left]
+        found[left[same]] = at[left[same]]
+        left = left[~same]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return found
+
+
+def _asked(ids, sequence, index, terms, unseen, bloom) -> pa.RecordBatch:
     """A row per text with its frequent terms, then a row per rare term it may have."""
     symbols, sizes = sequence
     asked = np.concatenate([symbols[:-1], pair_keys(symbols[:-1], symbols[1:])])
     owner = np.tile(np.repeat(np.arange(len(sizes)), sizes), 2)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        hit = keys[at] == asked
-    else:
-        at, hit = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = _places(*index, asked)
+    hit = at >= 0
     sums = [sizes * none + np.bincount(owner[hit], weights=t[at[hit]], minlength=len(sizes))
             for t, none in zip(terms, unseen)]
     rest = np.flatnonzero(~hit)

@@ -50,6 +50,7 @@ LEAST_G = 30.0  # one in ten million by chance
 LEAST_GAIN = 1.0
 LEAST_PER_WEIGHT = 10  # texts of the rarer class for each fitted weight of the likelihoods
 BEGINNINGS = range(8, 2, -1)  # lengths, the longest first
+SHORTEST = min(BEGINNINGS)
 FLUSH_AT = 100_000  # counters a task holds before it passes them on
 ALL_WORDS = ""  # counts the different words of all texts
 
@@ -173,7 +174,7 @@ def continuations(toxic: DataFrame) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", slice_entries: int = 200_000, calibration_rows: int = 20_000,
-          head_entries: int = 500_000) -> ToxicityModel:
+          head_entries: int = 1_000_000) -> ToxicityModel:
     texts = cut_lineage(labelled_texts(documents, labels, id_col, text_col, label_col))
     classes = texts.groupBy("toxic").count().collect()
     if len(classes) < 2:
@@ -247,7 +248,7 @@ def add_evidence(documents: DataFrame, model: ToxicityModel, text_col: str, pref
     out = documents.withColumns({total: F.lit(0.0), count: F.lit(0)})
     for number in range(model.slices):
         # a slice holds whole words with their beginnings and pairs, so backing off stays inside it
-        root = F.substring(F.substring_index("expression", " ", -1), 1, min(BEGINNINGS))
+        root = F.substring(F.substring_index("expression", " ", -1), 1, SHORTEST)
         rows = model.entries.filter(F.pmod(F.xxhash64(root), F.lit(model.slices)) == number).collect()
         out = _add_slice(out, text_col, {r["expression"]: r["gain"] for r in rows}, total, count)
         if number + 1 < model.slices:
@@ -261,14 +262,17 @@ class Gains(dict):
     def __init__(self, known: dict[str, float]):
         super().__init__()
         self.known = known
+        self.roots = {e[:SHORTEST] for e in known}
 
     def __missing__(self, word: str) -> float:
         if len(self) > FLUSH_AT:
             self.clear()
         gain = self.known.get(word)
         if gain is None:
-            starts = (self.known.get(f"{word[:n]}*") for n in BEGINNINGS if n < len(word))
-            gain = next((g for g in starts if g is not None), 0.0)
+            gain = 0.0
+            if word[:SHORTEST] in self.roots:
+                starts = (self.known.get(f"{word[:n]}*") for n in BEGINNINGS if n < len(word))
+                gain = next((g for g in starts if g is not None), 0.0)
         self[word] = gain
         return gain
 
