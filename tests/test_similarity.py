@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shutterlake.functions import hashing, vectors
-from shutterlake.operators import facegraph, graph, neardup
+from shutterlake.operators import facegraph, graph, neardup, tiles
 from shutterlake.streaming.matching import face_pairs_for_batch
 
 
@@ -236,6 +236,18 @@ def test_vector_functions(spark):
     assert r["n"] == pytest.approx([0.6, 0.8]) and r["z"] == [0.0, 0.0] and r["c"] == 3.0 and r["m"]
 
 
+@pytest.mark.parametrize("length", [1.0, 3e16])
+def test_products_are_exact_at_the_threshold(length):
+    rng = np.random.default_rng(2)
+    a = (rng.integers(-8, 9, (700, 16)) * length / 8).astype(np.float32).astype(np.float64)
+    b = (rng.integers(-8, 9, (300, 16)) * length / 8).astype(np.float32).astype(np.float64)
+    products = a @ b.T
+    threshold = products[3, 5]  # met by several pairs
+    found = [tuple(x.tolist()) for x in np.concatenate(
+        [np.stack([r, c], axis=1) for r, c, _ in tiles.products_from(a, b, threshold)])]
+    assert sorted(found) == sorted(zip(*[x.tolist() for x in np.nonzero(products >= threshold)])) and (3, 5) in found
+
+
 def test_transitive_matches_follow_chains_and_ignores(spark):
     edges = spark.createDataFrame(
         [(1, 2, False), (2, 3, False), (3, 1, False), (3, 4, True), (5, 6, False)],
@@ -251,6 +263,51 @@ def test_reachable_stops_at_depth(spark):
     assert [r[0] for r in rows(found, "node")] == list(range(1, 11))
 
 
+def test_transitive_matches_make_the_matches_once(spark):
+    faces = spark.createDataFrame([(i, i, [1.0, float(i // 2)]) for i in range(12)],
+                                  "id long, item_id long, embedding array<float>")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    pairs = spark.createDataFrame([(i, i + 2) for i in range(0, 10, 2)] + [(i, i + 1) for i in range(0, 12, 2)],
+                                  "feature_id long, matching_feature_id long")
+    found = facegraph.transitive_matches(pairs.mapInPandas(count, pairs.schema), faces, faces.filter("id = 0").select("id"))
+    page = facegraph.matching_faces_page(found).collect()
+    assert [r["feature_id"] for r in page] == list(range(1, 12)) and made.value == 11
+
+
+def test_walk_of_many_sources_equals_plain_search(spark, monkeypatch):
+    """More sources than a bitmap has bits, copies, links between copies and to unknown ids; levels in several parts."""
+    monkeypatch.setattr(graph, "MOST_BROADCAST", 20)
+    rng = np.random.default_rng(5)
+    rep = {i: i % 100 if i % 7 == 0 else i for i in range(200)}
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 230, (200, 2))]
+    near = {}
+    for a, b in links:
+        if a < 200 and b < 200:
+            near.setdefault(rep[a], set()).add(rep[b])
+            near.setdefault(rep[b], set()).add(rep[a])
+    starts = sorted(set(rep.values()))[:90]
+    expected = []
+    for start in starts:
+        seen, level = {start}, {start}
+        for hop in range(1, 5):
+            level = {n for x in level for n in near.get(x, ())} - seen
+            seen |= level
+            expected += [(start, n, hop) for n in level]
+    made = graph.walk(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(i,) for i in starts], "id long"),
+                      4, spark.createDataFrame(sorted(rep.items()), "id long, rep long"))
+    assert rows(made, "source", "node", "hops") == sorted(expected)
+    # a hop writes a row for a node and bitmap, not one for a source and node
+    level = spark.createDataFrame([(i, 0, 1 << i) for i in range(20)], "node long, batch int, bits long")
+    star = spark.createDataFrame([(i, 1000) for i in range(20)], "a long, b long")
+    assert rows(graph._neighbour_bits(star, level)) == [(1000, 0, (1 << 20) - 1)]
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_connected_components(spark, seed):
     rng = np.random.default_rng(seed)
