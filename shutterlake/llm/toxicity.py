@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from shutterlake.llm.bloom import Bloom, build_bloom
 from shutterlake.llm.common import byte_texts, tidy, with_columns_from_text
-from shutterlake.llm.likelihood import ClassModels, log_likelihoods, train_classes, words_of
+from shutterlake.llm.likelihood import ClassModels, log_likelihoods, pair_keys, train_classes, words_of
 from shutterlake.session import cut_lineage
 
 DISCOUNT = 0.75
@@ -102,47 +103,92 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, id_col: str, text_co
     return texts.mapInArrow(tidy(may_be_labelled), texts.schema).drop("h").join(known.hint("merge"), "id")
 
 
-def _hash(expression: str) -> int:
-    return xxhash.xxh64_intdigest(expression)
+def _hashes(expressions: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, expressions), dtype=np.uint64, count=len(expressions))
 
 
 def count_expressions(texts: DataFrame, only: Bloom | None = None) -> DataFrame:
     """(expression, n): the number of texts that hold it. With ``only``, of those the filter holds.
 
-    The expression ``ALL_WORDS`` counts the different words of each text. Counts are added up per task.
+    The filter is one of ``candidate_hashes``. The expression ``ALL_WORDS`` counts the different words of each
+    text. Counts are added up per task.
     """
     shared = texts.sparkSession.sparkContext.broadcast(only)
     at = texts.columns.index("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, known = shared.value, {}
+        forms = KnownForms(shared.value) if shared.value is not None else None
         counter: Counter = Counter()
         for batch in batches:
             for block in byte_texts(batch.column(at)):
-                for data in block:
-                    words = words_of(data)
-                    found = expressions_of(words)
-                    if bloom is not None:
-                        _learn(known, found, bloom)
-                        found = [e for e in found if known[e]]
+                split = [words_of(data) for data in block]
+                for words, found in zip(split, map(expressions_of, split) if forms is None else forms.of(split)):
                     counter.update(found)
                     counter[ALL_WORDS] += len(set(words))
                     if len(counter) > FLUSH_AT:
                         yield _counts_batch(counter)
                         counter = Counter()
-                    if len(known) > 2 * FLUSH_AT:
-                        known.clear()
         yield _counts_batch(counter)
 
     parts = texts.mapInArrow(tidy(count), "expression string, n long")
     return parts.groupBy("expression").agg(F.sum("n").alias("n"))
 
 
-def _learn(known: dict, expressions: set[str], bloom: Bloom) -> None:
-    fresh = [e for e in expressions if e not in known]
-    if fresh:
-        hashes = np.fromiter(map(_hash, fresh), dtype=np.uint64, count=len(fresh))
-        known.update(zip(fresh, bloom.holds(hashes).tolist()))
+class KnownForms:
+    """The expressions of texts that a filter of ``candidate_hashes`` holds.
+
+    A form in the filter has all its beginnings there, as these have no fewer contexts; so longer ones are only
+    looked up where the shorter ones are held.
+    """
+
+    def __init__(self, bloom: Bloom):
+        self.bloom = bloom
+        self.held: dict[str, list[str]] = {}  # of a word: itself and its beginnings
+
+    def of(self, texts: list[list[str]]) -> Iterator[set[str]]:
+        if len(self.held) > 2 * FLUSH_AT:
+            self.held.clear()
+        flat = [word for words in texts for word in words]
+        single = set(flat)
+        self._learn([w for w in single if w not in self.held])
+        hashes = pd.util.hash_array(np.array(flat, dtype=object), categorize=False)
+        ends = np.cumsum([len(words) for words in texts])
+        known = self.bloom.holds(pair_keys(hashes[:-1], hashes[1:]))
+        known[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+        pairs = np.flatnonzero(known)
+        cuts = np.searchsorted(pairs, ends).tolist()
+        pairs, start = pairs.tolist(), 0
+        for words, cut in zip(texts, cuts):
+            found = {form for word in set(words) for form in self.held[word]}
+            found.update([f"{flat[i]} {flat[i + 1]}" for i in pairs[start:cut]])
+            start = cut
+            yield found
+
+    def _learn(self, words: list[str]) -> None:
+        for word in words:
+            self.held[word] = []
+        for n in reversed(BEGINNINGS):
+            self._keep([w for w in words if len(w) <= n], None)
+            words = self._keep([w for w in words if len(w) > n], n)
+        self._keep(words, None)
+
+    def _keep(self, words: list[str], n: int | None) -> list[str]:
+        """Those of ``words`` whose beginning of ``n`` letters, or which themselves, the filter holds."""
+        forms = words if n is None else [f"{w[:n]}*" for w in words]
+        kept = []
+        for place in np.flatnonzero(self.bloom.holds(_hashes(forms))).tolist():
+            self.held[words[place]].append(forms[place])
+            kept.append(words[place])
+        return kept
+
+
+def candidate_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = batch.column(0).to_pylist()
+        pairs = [e.split(" ") for e in found if " " in e]
+        first, last = (pd.util.hash_array(np.array([p[i] for p in pairs], dtype=object), categorize=False) for i in (0, 1))
+        hashes = np.concatenate([_hashes([e for e in found if " " not in e]), pair_keys(first, last)])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
 
 
 def _counts_batch(counter: Counter) -> pa.RecordBatch:
@@ -186,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     pair = toxic.filter(is_pair & (F.col("n") >= 2 * LEAST_CONTEXTS))
     candidates = cut_lineage(single.select("expression", "n").unionByName(pair.select("expression", "n")))
 
-    hashes = candidates.select("expression").mapInArrow(_hash_column, "h long")
+    hashes = candidates.select("expression").mapInArrow(candidate_hashes, "h long")
     ordinary = cut_lineage(count_expressions(texts.filter("toxic = 0"), build_bloom(hashes)))
     total = F.col("expression") == ALL_WORDS
     n_toxic = float(toxic.filter(total).agg(F.sum("n")).first()[0] or 1)
@@ -233,13 +279,6 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return ToxicityModel(entries, model.slices, _weigh_likelihoods(sample, by_evidence), models)
 
 
-def _hash_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = batch.column(0).to_pylist()
-        hashes = np.fromiter(map(_hash, found), dtype=np.uint64, count=len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
-
-
 # --- scoring ---
 
 def add_evidence(documents: DataFrame, model: ToxicityModel, text_col: str, prefix: str = "") -> DataFrame:
@@ -262,7 +301,7 @@ class Gains(dict):
     def __init__(self, known: dict[str, float]):
         super().__init__()
         self.known = known
-        self.roots = {e[:SHORTEST] for e in known}
+        self.roots = {e[:SHORTEST] for e in known if e.endswith("*")}
 
     def __missing__(self, word: str) -> float:
         if len(self) > FLUSH_AT:
@@ -283,18 +322,20 @@ def _add_slice(df: DataFrame, text_col: str, known: dict[str, float], total: str
 
     def prepare():
         gains = Gains(shared.value)
-        pairs = {k: v for k, v in shared.value.items() if " " in k}
-        seconds = {k.partition(" ")[2] for k in pairs}
+        after: dict[str, dict[str, float]] = {}  # of a word: the gains of its pairs, by their first word
+        for expression, gain in shared.value.items():
+            first, space, word = expression.partition(" ")
+            if space:
+                after.setdefault(word, {})[first] = gain
 
         def evidence(data: bytes | None):
             words = words_of(data)
             gained = sum(map(gains.__getitem__, words))
-            if not seconds.isdisjoint(words):
-                for first, word in zip(words, words[1:]):
-                    if word in seconds:
-                        gain = pairs.get(f"{first} {word}")
-                        if gain is not None:
-                            gained += gain - gains[word]
+            for at, pairs in enumerate(map(after.get, words)):
+                if pairs is not None and at:
+                    gain = pairs.get(words[at - 1])
+                    if gain is not None:
+                        gained += gain - gains[words[at]]
             return gained, len(words)
 
         return evidence

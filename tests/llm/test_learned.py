@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm import queries
 from shutterlake.llm.bloom import build_bloom
-from shutterlake.llm.likelihood import log_likelihoods, train_classes
+from shutterlake.llm.likelihood import BUCKETS, _asked, _block_rows, _sequence, log_likelihoods, train_classes
 from shutterlake.llm.nearest import Codes, PieceTables, nearest_neighbours
 from shutterlake.llm.packing import conflict_masks, pack, pack_documents
 from shutterlake.llm.secrets import digest_columns, find_secrets, infer, learn_formats, redact_secrets
-from shutterlake.llm.toxicity import ALL_WORDS, count_expressions, expressions_of, held_out, score_texts, train
+from shutterlake.llm.toxicity import (
+    ALL_WORDS, candidate_hashes, count_expressions, expressions_of, held_out, score_texts, train)
 
 from tests.llm.conftest import SF_DIR
 
@@ -224,6 +225,41 @@ def test_expression_counts(spark):
     assert got[ALL_WORDS] == 3 and expressions_of([]) == set()
 
 
+def test_known_forms_are_those_that_candidates_hold(spark):
+    texts = ["idiotic idiots idiot shout", "Idiot, idiot shouts", "", None, "idiotic shout", "shout"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    kept = {"idi*", "idio*", "idiot*", "idiot", "idiot idiot", "idiotic shout", "shout idiot"}
+    hashes = spark.createDataFrame([(e,) for e in kept], "expression string").repartition(3)
+    bloom = build_bloom(hashes.mapInArrow(candidate_hashes, "h long"))
+    every = {r["expression"]: r["n"] for r in count_expressions(df).collect()}
+    got = {r["expression"]: r["n"] for r in count_expressions(df.coalesce(1), bloom).collect()}
+    # "shout idiot" stands across the end of a text only
+    assert got == {e: n for e, n in every.items() if e in kept | {ALL_WORDS}} and "shout idiot" not in got
+
+
+def test_rare_terms_are_asked_for_in_blocks(spark):
+    """A row for each rare word or pair of each text would be thousands."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{i}" for i in rng.integers(0, 90, 60)) for _ in range(120)]
+    texts = spark.createDataFrame([(t, i % 2) for i, t in enumerate(lines)], "text string, toxic int")
+    documents = spark.createDataFrame([(t,) for t in [*lines, *lines[:50]]], "text string").repartition(2)
+    models = train_classes(texts, 0)
+    assert models.tail_terms == models.tail.count() > 90
+    whole = log_likelihoods(documents, train_classes(texts, 1_000_000), "text")
+    split = log_likelihoods(documents, models, "text")
+    one, other = ({r["text_hash"]: (r["toxic"], r["ordinary"]) for r in d.collect()} for d in (whole, split))
+    assert len(one) == 120 and one.keys() == other.keys()
+    assert all(abs(a - b) < 1e-9 for h in one for a, b in zip(one[h], other[h]))
+    block = [t.encode() for t in lines]
+    sequence = _sequence(block)
+    head = (np.zeros(0, dtype=np.uint64), np.zeros(BUCKETS + 1, dtype=np.int64))
+    bloom = build_bloom(models.tail.select("key"))
+    asked = _asked(sequence, head, [np.zeros(0)] * 2, (0.0, 0.0), bloom)
+    assert len(asked[1]) > 5000
+    rows = _block_rows(7, np.arange(120), *asked, 32)
+    assert rows.num_rows <= 33 and sorted(rows["keys"].flatten().to_pylist()[120:]) == sorted(asked[1].view(np.int64).tolist())
+
+
 def test_bloom_holds_what_was_put_in(spark):
     ids = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bloom = build_bloom(ids)
